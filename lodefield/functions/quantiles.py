@@ -44,26 +44,29 @@ def _bucket(value: Column, iv: _Interval, integral: bool) -> Column:
 
 def _one_pass(df: DataFrame, open_ivs: list[_Interval], types: dict[str, bool]):
     """Count the buckets (or the values, when few rows) of every open interval."""
-    branches = []
+    integral = all(types.values())
+    kind = "bigint" if integral else "double"
     by_col: dict[str, list[int]] = {}
     for i, iv in enumerate(open_ivs):
         by_col.setdefault(iv.col, []).append(i)
-    long = all(types.values())
-    value_type = "bigint" if long else "double"
-    for col, members in by_col.items():
-        v = F.col(col).cast(value_type)
-        slot, bucket, value = F.lit(None).cast("int"), F.lit(None).cast("bigint"), F.lit(None).cast(value_type)
+    # Exploding first makes each value a plain column, computed once per row.
+    values = F.array(*[F.struct(F.lit(j).alias("c"), F.col(col).cast(kind).alias("v")) for j, col in enumerate(by_col)])
+    rows = df.select(F.explode(values).alias("s")).select("s.c", "s.v")
+    v = F.col("v")
+    slot = bucket = value = None
+    for j, members in enumerate(by_col.values()):
         for i in members:
             iv = open_ivs[i]
-            inside = v.between(F.lit(iv.lo), F.lit(iv.hi))
-            slot = F.when(inside, F.lit(i)).otherwise(slot)
+            inside = (F.col("c") == j) & v.between(F.lit(iv.lo), F.lit(iv.hi))
+            slot = (F if slot is None else slot).when(inside, F.lit(i))
             if iv.rows <= FINISH_ROWS:
-                value = F.when(inside, v).otherwise(value)
+                value = (F if value is None else value).when(inside, v)
             else:
-                bucket = F.when(inside, _bucket(v, iv, long).cast("bigint")).otherwise(bucket)
-        branches.append(F.struct(slot.alias("slot"), bucket.alias("bucket"), value.alias("value"), v.alias("v")))
-    rows = df.select(F.explode(F.array(*branches)).alias("s")).select("s.*") if len(branches) > 1 else df.select(
-        branches[0].alias("s")).select("s.*")
+                bucket = (F if bucket is None else bucket).when(inside, _bucket(v, iv, integral).cast("bigint"))
+    none = F.lit(None)
+    rows = rows.select(
+        slot.alias("slot"), (none if bucket is None else bucket).cast("bigint").alias("bucket"),
+        (none if value is None else value).cast(kind).alias("value"), "v")
     return (
         rows.filter("slot is not null")
         .groupBy("slot", "bucket", "value")

@@ -45,9 +45,9 @@ def apply_outliers(df: DataFrame, stats: dict[str, ColumnStats], z_limit: float
     for c, s in stats.items():
         if s.n < 2 or s.std is None:
             return df.filter(F.lit(False))
-        fence = 1.5 * (s.q3 - s.q1)
-        keep &= F.abs((F.col(c) - F.lit(s.mean)) / F.lit(s.std + 1e-9)) <= F.lit(z_limit)
-        keep &= F.col(c).between(F.lit(s.q1 - fence), F.lit(s.q3 + fence))
+        fence, reach = 1.5 * (s.q3 - s.q1), z_limit * (s.std + 1e-9)
+        lo, hi = max(s.q1 - fence, s.mean - reach), min(s.q3 + fence, s.mean + reach)
+        keep &= F.col(c).between(F.lit(lo), F.lit(hi))
     return df.filter(keep)
 
 

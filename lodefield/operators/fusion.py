@@ -42,7 +42,12 @@ def project_weights(w: np.ndarray) -> np.ndarray:
     return clipped / total if total > 0 else np.full(len(w), 1.0 / len(w))
 
 
-def _fusion(m: Moments, preds: list[str], alpha: float, intercept: str) -> FusionWeights:
+def fusion_from_moments(m: Moments, preds: list[str], alpha: float = 1.0, intercept: str = "centred") -> FusionWeights:
+    """Projected ridge weights.
+
+    ``centred`` recomputes the intercept for the projected weights, so the fused
+    estimate is unbiased; ``raw`` keeps the one of the unprojected fit.
+    """
     raw, b = ridge_from_moments(m, alpha)
     w = project_weights(raw)
     if intercept == "centred":
@@ -53,12 +58,7 @@ def _fusion(m: Moments, preds: list[str], alpha: float, intercept: str) -> Fusio
 
 
 def fit_fusion(df: DataFrame, preds: list[str], truth: str = "grade", alpha: float = 1.0, intercept: str = "centred") -> FusionWeights:
-    """Projected ridge weights.
-
-    ``centred`` recomputes the intercept for the projected weights, so the fused
-    estimate is unbiased; ``raw`` keeps the one of the unprojected fit.
-    """
-    return _fusion(moments(df, [*preds, truth]), preds, alpha, intercept)
+    return fusion_from_moments(moments(df, [*preds, truth]), preds, alpha, intercept)
 
 
 def apply_fusion(df: DataFrame, fitted: FusionWeights, out: str = "fusion_pred") -> DataFrame:
@@ -73,7 +73,7 @@ def fold_fusions(
     total = None
     for part in parts.values():
         total = part if total is None else _merge(total, part)
-    return {f: _fusion(total.minus(part), preds, alpha, intercept) for f, part in parts.items()}, _fusion(total, preds, alpha, intercept)
+    return {f: fusion_from_moments(total.minus(part), preds, alpha, intercept) for f, part in parts.items()}, fusion_from_moments(total, preds, alpha, intercept)
 
 
 def _merge(a: Moments, b: Moments) -> Moments:

@@ -100,9 +100,13 @@ def solve_kriging(points: np.ndarray, values: np.ndarray, v: Variogram, dims: in
     return None
 
 
-def distinct_points(train: DataFrame, value: str = "grade") -> DataFrame:
-    """One row per location with the mean value (repeats make a system singular)."""
-    return train.groupBy(*AXES).agg(F.avg(value).alias("value"))
+def distinct_points(train: DataFrame, value: str = "grade", dims: int = 3) -> DataFrame:
+    """One row per location with the mean value (repeats make a system singular).
+
+    With two dimensions a location is (x, y) and its depth is given as 0.
+    """
+    places = train.groupBy(*AXES[:dims]).agg(F.avg(value).alias("value"))
+    return places if dims == 3 else places.withColumn("depth", F.lit(0.0))
 
 
 def _point_hash(seed: int):
@@ -110,18 +114,18 @@ def _point_hash(seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), *AXES), F.lit(2**53)).cast("double") / F.lit(float(2**53))
 
 
-def sample_points(train: DataFrame, n_max: int = FAST_ROWS, seed: int = 42, value: str = "grade") -> pd.DataFrame:
+def sample_points(train: DataFrame, n_max: int = FAST_ROWS, seed: int = 42, value: str = "grade", dims: int = 3) -> pd.DataFrame:
     """At most ``n_max`` distinct locations, as a driver-side frame of bounded size."""
     if n_max > FAST_THRESHOLD:
         raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
-    points = distinct_points(train, value)
+    points = distinct_points(train, value, dims)
     return points.orderBy(_point_hash(seed), *AXES).limit(n_max).toPandas()
 
 
 def fit_global(
     train: DataFrame, v: Variogram, n_max: int = FAST_ROWS, dims: int = 3, seed: int = 42, value: str = "grade", variance: bool = False,
 ) -> KrigingSystem | None:
-    points = sample_points(train, n_max, seed, value)
+    points = sample_points(train, n_max, seed, value, dims)
     return solve_kriging(points[list(AXES)].to_numpy(float), points["value"].to_numpy(float), v, dims, variance)
 
 

@@ -11,15 +11,15 @@ NUMERIC = ("d_from", "d_to", "grade")
 POINT_COLUMNS = ("x", "y", "depth", "grade")
 
 
-def finite(name: str):
-    """The column as a finite double, else NULL (text, NaN and infinities become NULL)."""
-    v = F.col(name).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
-
-
 def parse_intervals(intervals: DataFrame, cols: tuple[str, ...] = NUMERIC) -> DataFrame:
     """Keep intervals whose numbers parse and are finite."""
-    return intervals.withColumns({c: finite(c) for c in cols}).na.drop(subset=list(cols))
+    as_text = [c for c in cols if intervals.schema[c].dataType.typeName() != "double"]
+    parsed = intervals.withColumns({c: F.col(c).try_cast("double") for c in as_text}) if as_text else intervals
+    keep = F.lit(True)
+    for c in cols:
+        # One test for text (NULL), infinities and NaN, which sorts above infinity.
+        keep &= F.abs(c) < F.lit(float("inf"))
+    return parsed.filter(keep)
 
 
 def non_empty(intervals: DataFrame) -> DataFrame:

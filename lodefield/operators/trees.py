@@ -73,7 +73,7 @@ def fit_trees(train: DataFrame, features: list[str], label: str = "grade", param
 
 
 def score_trees(df: DataFrame, model: GBTRegressionModel, features: list[str], out: str) -> DataFrame:
-    return model.copy().setPredictionCol(out).transform(assemble(df, features)).drop("_features")
+    return model.copy().setPredictionCol(out).transform(assemble(df.drop(out), features)).drop("_features")
 
 
 def rmse_of(df: DataFrame, truth: str, pred: str) -> float:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefield.functions.binning import grade_class
-from lodefield.operators import balance, blocks, clean, fusion, metrics, reports, samples, search, split, surface, variogram
+from lodefield.operators import balance, blocks, clean, explain, fusion, kriging, metrics, reports, samples, search, split, surface, trees, variogram
+from lodefield.operators.components import apply_components, fit_components
 from lodefield.operators.proxy import rolling_mean
 from lodefield.functions.moments import moments
 from lodefield.plans import views as V
+from lodefield.plans.modelling import apply_features, fit_features
 from lodefield.plans.views import PREDICTIONS, sql, sql_hash, sql_uniform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,7 +380,8 @@ def _(spark, sf):
     from predicted, {_sql_ridge('predicted')} w""", "predicted"), digits=5)
 def _(spark, sf):
     df = V.predicted(spark, sf)
-    centred, raw = (fusion.fit_fusion(df, _THREE, intercept=i) for i in ("centred", "raw"))
+    m = moments(df, _NAMES)
+    centred, raw = (fusion.fusion_from_moments(m, _THREE, intercept=i) for i in ("centred", "raw"))
     return fusion.apply_fusion(fusion.apply_fusion(df, centred, "fused"), raw, "fused_raw").select("sample_id", "fused", "fused_raw")
 
 
@@ -597,3 +600,137 @@ def _(spark, sf):
     select sample_id, {rnd('z as surface_z')} from samples join hit on samples.x = hit.x and samples.y = hit.y""", "samples", "surface"))
 def _(spark, sf):
     return surface.nearest_surface(V.samples(spark, sf), V.surface(spark, sf)).select("sample_id", "surface_z")
+
+
+# --- estimation: no SQL form; checked by properties in the tests ---------------------------
+
+# Smaller systems than the default of 3,000 points keep the block solves short.
+_SYSTEM = 600
+_TREES = trees.TreeParams(n_trees=20, depth=5, step=0.2)
+_SMALL_TREES = trees.TreeParams(n_trees=10, depth=4, step=0.2)
+_MODEL = variogram.Variogram("spherical", 150.0, 60.0, 2.0)
+
+
+def _modelling(spark, sf):
+    """Training and test rows with scaled features fitted on the training rows."""
+    train, test = split.train_test(V.labelled(spark, sf))
+    params = fit_features(train, 0)
+    return apply_features(train, params), apply_features(test, params), params.features
+
+
+@query("pca", digits=3)
+def _(spark, sf):
+    df = V.featured(spark, sf)
+    return apply_components(df, fit_components(df, _BASE)).select("sample_id", *[f"PC{i}" for i in range(1, 6)])
+
+
+@query("variogram_fit")
+def _(spark, sf):
+    fitted, error = variogram.fit_variogram(variogram.lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _CELL))
+    return spark.createDataFrame([(fitted.model, fitted.range, fitted.sill, fitted.nugget, error)],
+                                 "model string, range double, sill double, nugget double, error double")
+
+
+@query("kriging")
+def _(spark, sf):
+    train, test = split.train_test(V.labelled(spark, sf))
+    out = kriging.krige_blocks(train, test.select("sample_id", "x", "y", "depth", "grade"), _MODEL, "auto", _SYSTEM)
+    return out.select("sample_id", "block_id", "grade", "kriging_pred", "kriging_pred_status")
+
+
+@query("kriging_fast")
+def _(spark, sf):
+    """One system on the 3,000-point subsample; targets are scored in place."""
+    train, test = split.train_test(V.labelled(spark, sf))
+    system = kriging.fit_global(train, _MODEL)
+    return kriging.apply_global(test.select("sample_id", "x", "y", "depth", "grade"), system).drop("kriging_pred_var")
+
+
+@query("kriging_2d")
+def _(spark, sf):
+    train, test = split.train_test(V.labelled(spark, sf))
+    system = kriging.fit_global(train, _MODEL, dims=2, variance=True)
+    return kriging.apply_global(test.select("sample_id", "x", "y", "depth", "grade"), system)
+
+
+@query("kriging_out_of_fold")
+def _(spark, sf):
+    out = kriging.krige_out_of_fold(V.cleaned(spark, sf).select("sample_id", "x", "y", "depth", "grade"), _MODEL, n_max=1500)
+    return out.drop("kriging_pred_var")
+
+
+@query("variogram_search")
+def _(spark, sf):
+    train, _ = split.train_test(V.labelled(spark, sf))
+    return search.search_variogram(train, n_trials=12, k=3)
+
+
+@query("regression_kriging")
+def _(spark, sf):
+    train, test, features = _modelling(spark, sf)
+    model = trees.fit_trees(train, features, params=_TREES)
+    train, test = (trees.score_trees(df, model, features, "ml_pred").select("sample_id", "x", "y", "depth", "grade", "ml_pred") for df in (train, test))
+    residual = train.withColumn("_r", F.col("grade") - F.col("ml_pred"))
+    v, _ = variogram.fit_variogram(variogram.lag_table(residual, _LAG, _LAGS, _CELL, "_r"), ("spherical",))
+    out = kriging.regression_kriging(train, test, v, blocks="auto", n_max=_SYSTEM)
+    return out.select("sample_id", "grade", "ml_pred", "residual_pred", "rk_pred", "residual_pred_status")
+
+
+@query("trees")
+def _(spark, sf):
+    train, test, features = _modelling(spark, sf)
+    return trees.score_trees(test, trees.fit_trees(train, features, params=_TREES), features, "xgb_pred").select("sample_id", "grade", "xgb_pred")
+
+
+@query("grid")
+def _(spark, sf):
+    train, _, features = _modelling(spark, sf)
+    return trees.grid_search(train, features, {"depth": (3, 5), "step": (0.1, 0.2)}, _SMALL_TREES)[0]
+
+
+@query("clusters")
+def _(spark, sf):
+    df = V.cleaned(spark, sf)
+    return trees.assign_clusters(df, trees.fit_clusters(df, restarts=3)).select("sample_id", "cluster")
+
+
+@query("hybrid")
+def _(spark, sf):
+    train, test, features = _modelling(spark, sf)
+    known = kriging.krige_out_of_fold(train, _MODEL, n_max=1500)
+    clusters = trees.fit_clusters(train, restarts=2)
+    residual = trees.assign_clusters(known.withColumn("residual", F.col("grade") - F.col("kriging_pred")), clusters)
+    local = trees.fit_cluster_models(residual, features, params=_SMALL_TREES)
+    kriged = kriging.apply_global(test, kriging.fit_global(train, _MODEL))
+    return trees.predict_hybrid(kriged, clusters, local, features).select("sample_id", "grade", "cluster", "kriging_pred", "hybrid_pred")
+
+
+@query("stack")
+def _(spark, sf):
+    df = V.predicted(spark, sf)
+    stack = fusion.fit_stack(df, _THREE, params=_TREES)
+    return fusion.apply_stack(df, stack, _THREE).select("sample_id", "grade", "fusion_pred")
+
+
+@query("importance")
+def _(spark, sf):
+    train, _, features = _modelling(spark, sf)
+    return explain.feature_importance(spark, trees.fit_trees(train, features, params=_TREES), features)
+
+
+@query("learning_curve")
+def _(spark, sf):
+    train, _, features = _modelling(spark, sf)
+    return explain.learning_curve(train, features, sizes=(0.1, 0.5, 1.0), k=3, params=_SMALL_TREES)
+
+
+@query("pdp")
+def _(spark, sf):
+    train, test, features = _modelling(spark, sf)
+    return explain.partial_dependence(test, trees.fit_trees(train, features, params=_SMALL_TREES), features, points=20)
+
+
+@query("shapley")
+def _(spark, sf):
+    train, test, features = _modelling(spark, sf)
+    return explain.shapley(test, trees.fit_trees(train, features, params=_SMALL_TREES), features)

@@ -8,12 +8,13 @@ source tables is read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodefield.functions.keyed import keyed_uniform
 from lodefield.operators.clean import BASE_FEATURES, engineer_features, remove_outliers
 from lodefield.operators.samples import POINT_COLUMNS, build_samples
 from lodefield.operators.split import split_exact
-from lodefield.functions.keyed import keyed_uniform
-from pyspark.sql import functions as F
+from lodefield.sources.tables import spread_scan
 
 COLLARS = {
     "hole_id": "s_suppkey",
@@ -62,7 +63,9 @@ def collars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "lineitem", INTERVALS)
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    scan = spread_scan(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey", "l_linenumber")
+    return scan.selectExpr(*[f"{expr} as {name}" for name, expr in INTERVALS.items()])
 
 
 def surface(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Session settings and the reliable-checkpoint helper."""
+"""Session settings and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "lodefield", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,19 +22,16 @@ def build_session(app: str = "lodefield", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is set only when the session names none, which is the
-    case in local tests; a cluster must name a shared one.
+    A folder of our own is used only where none is set and the master is local, as in
+    tests; it becomes the session's setting.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="lodefield-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodefield-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

@@ -56,3 +56,13 @@ def read_surface(spark: SparkSession, path: str | None) -> DataFrame | None:
     if not set(SURFACE_COLUMNS) <= set(raw.columns):
         return None
     return raw.select(*[raw[c].try_cast("double").alias(c) for c in SURFACE_COLUMNS]).na.drop()
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a scan over all cores when its files give fewer tasks than cores.
+
+    For a table scan only.  Large tables have more splits than cores and pass
+    through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
