@@ -23,12 +23,15 @@ def quantile_bin(value: Column, edges: list[float]) -> Column:
 def hex_cell(x: Column, y: Column, x_span: tuple[float, float], y_span: tuple[float, float], nx: int = 35) -> tuple[Column, Column]:
     """Hexagon centre (u, v) in lattice units, for nx hexagons across x.
 
-    Two interleaved rectangular lattices; a point belongs to the nearer centre.
+    Two interleaved rectangular lattices; a point belongs to the nearer centre.  Where
+    an axis has no extent only the first lattice is used, as one row of cells.
     """
     ny = int(nx / 3**0.5)
     u = (x - F.lit(x_span[0])) / F.lit((x_span[1] - x_span[0]) / nx) if x_span[1] > x_span[0] else F.lit(0.0)
     v = (y - F.lit(y_span[0])) / F.lit((y_span[1] - y_span[0]) / ny) if y_span[1] > y_span[0] else F.lit(0.0)
     au, av = F.floor(u + 0.5).cast("double"), F.floor(v + 0.5).cast("double")
+    if x_span[1] <= x_span[0] or y_span[1] <= y_span[0]:
+        return au, av
     bu, bv = F.floor(u) + F.lit(0.5), F.floor(v) + F.lit(0.5)
     near_a = (u - au) * (u - au) + 3.0 * (v - av) * (v - av) < (u - bu) * (u - bu) + 3.0 * (v - bv) * (v - bv)
     return F.when(near_a, au).otherwise(bu), F.when(near_a, av).otherwise(bv)
