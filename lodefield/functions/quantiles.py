@@ -53,13 +53,14 @@ def _one_pass(df: DataFrame, open_ivs: list[_Interval], types: dict[str, bool]):
     values = F.array(*[F.struct(F.lit(j).alias("c"), F.col(col).cast(kind).alias("v")) for j, col in enumerate(by_col)])
     rows = df.select(F.explode(values).alias("s")).select("s.c", "s.v")
     v = F.col("v")
+    few = FINISH_ROWS // len(open_ivs)
     slot = bucket = value = None
     for j, members in enumerate(by_col.values()):
         for i in members:
             iv = open_ivs[i]
             inside = (F.col("c") == j) & v.between(F.lit(iv.lo), F.lit(iv.hi))
             slot = (F if slot is None else slot).when(inside, F.lit(i))
-            if iv.rows <= FINISH_ROWS:
+            if iv.rows <= few:
                 value = (F if value is None else value).when(inside, v)
             else:
                 bucket = (F if bucket is None else bucket).when(inside, _bucket(v, iv, integral).cast("bigint"))

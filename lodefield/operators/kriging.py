@@ -26,12 +26,14 @@ from lodefield.functions.joins import lookup_join
 from lodefield.operators.blocks import AXES, DEFAULT_BLOCKS, Grid, assign_blocks, fit_grid, spread_to_blocks
 from lodefield.operators.split import add_fold
 from lodefield.operators.variogram import Variogram
+from lodefield.sources.staging import staged
 
 # Subsample size of fast mode and the row count above which it is used.
 FAST_ROWS = 3000
 FAST_THRESHOLD = 5000
 TARGET_CHUNK = 50_000
-_TARGET_BATCH = 2048
+# Distances held at once, so that a batch stays in the processor's cache.
+_BATCH_CELLS = 200_000
 _REGULARISERS = (0.0, 1e-10, 1e-8, 1e-6)
 
 
@@ -39,8 +41,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for k in range(a.shape[1]):
         gap = a[:, k, None] - b[None, :, k]
-        total += gap * gap
-    return np.sqrt(total)
+        gap *= gap
+        total += gap
+    return np.sqrt(total, out=total)
 
 
 @dataclass(frozen=True)
@@ -57,12 +60,13 @@ class KrigingSystem:
     def predict(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pred, var = np.empty(len(targets)), np.full(len(targets), np.nan)
         dims = self.points.shape[1]
-        for at in range(0, len(targets), _TARGET_BATCH):
-            gamma = self.variogram.gamma(_distances(targets[at:at + _TARGET_BATCH, :dims], self.points))
-            pred[at:at + _TARGET_BATCH] = gamma @ self.weights + self.level
+        size = max(16, _BATCH_CELLS // len(self.points))
+        for at in range(0, len(targets), size):
+            gamma = self.variogram.gamma(_distances(targets[at:at + size, :dims], self.points))
+            pred[at:at + size] = gamma @ self.weights + self.level
             if self.inverse is not None:
                 right = np.column_stack([gamma, np.ones(len(gamma))])
-                var[at:at + _TARGET_BATCH] = np.einsum("ij,ij->i", right @ self.inverse, right)
+                var[at:at + size] = np.einsum("ij,ij->i", right @ self.inverse, right)
         return pred, var
 
 
@@ -85,8 +89,7 @@ def solve_kriging(points: np.ndarray, values: np.ndarray, v: Variogram, dims: in
         system[n, n] = 0.0
         right = np.append(z, 0.0)
         for extra in _REGULARISERS:
-            trial = system.copy()
-            trial[np.arange(n), np.arange(n)] -= extra * max(v.sill, 1e-12)
+            trial = system if extra == 0.0 else system - np.diag(np.append(np.full(n, extra * max(v.sill, 1e-12)), 0.0))
             try:
                 solution = np.linalg.solve(trial, right)
                 off = np.abs(trial @ solution - right).max()
@@ -109,17 +112,29 @@ def distinct_points(train: DataFrame, value: str = "grade", dims: int = 3) -> Da
     return places if dims == 3 else places.withColumn("depth", F.lit(0.0))
 
 
-def _point_hash(seed: int):
+def _point_hash(seed: int, axes: tuple[str, ...] | list[str] = AXES):
     """Uniform in [0, 1) from a point's coordinates."""
-    return F.pmod(F.xxhash64(F.lit(seed), *AXES), F.lit(2**53)).cast("double") / F.lit(float(2**53))
+    return F.pmod(F.xxhash64(F.lit(seed), *axes), F.lit(2**53)).cast("double") / F.lit(float(2**53))
 
 
 def sample_points(train: DataFrame, n_max: int = FAST_ROWS, seed: int = 42, value: str = "grade", dims: int = 3) -> pd.DataFrame:
-    """At most ``n_max`` distinct locations, as a driver-side frame of bounded size."""
+    """At most ``n_max`` distinct locations by keyed hash, as a driver-side frame of bounded size.
+
+    The hash is a function of the location, so a threshold taken from an approximate
+    count drops nearly all rows before the grouping shuffle; should it leave too few
+    locations, all are grouped.
+    """
     if n_max > FAST_THRESHOLD:
         raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
-    points = distinct_points(train, value, dims)
-    return points.orderBy(_point_hash(seed), *AXES).limit(n_max).toPandas()
+    axes = list(AXES[:dims])
+    u = _point_hash(seed, axes)
+    about = train.agg(F.approx_count_distinct(F.struct(*axes), 0.02)).first()[0]
+    share = 1.15 * (n_max + 8 * math.sqrt(n_max) + 32) / max(about, 1)
+    for part in (train.filter(u < F.lit(share)), train) if share < 1 else (train,):
+        found = distinct_points(part, value, dims).orderBy(u, *axes).limit(n_max).toPandas()
+        if len(found) == n_max:
+            break
+    return found
 
 
 def fit_global(
@@ -161,8 +176,17 @@ def krige_out_of_fold(
     out: str = "kriging_pred", key: str = "sample_id",
 ) -> DataFrame:
     """Kriging estimate of each training row from the other folds' rows."""
+    if n_max > FAST_THRESHOLD:
+        raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
     folded = add_fold(train, k, seed, key, "_fold")
-    systems = [fit_global(folded.filter(F.col("_fold") != f), v, n_max, 3, seed, value) for f in range(k)]
+    # One sample of locations serves all folds; it keeps sums per fold (n_max * k rows).
+    chosen = sample_points(train, n_max, seed, value)[list(AXES)]
+    near = F.broadcast(train.sparkSession.createDataFrame(chosen))
+    sums = folded.join(near, list(AXES)).groupBy(*AXES, "_fold").agg(F.sum(value).alias("s"), F.count(value).alias("n")).toPandas()
+    systems = []
+    for f in range(k):
+        rest = sums[sums["_fold"] != f].groupby(list(AXES), as_index=False)[["s", "n"]].sum()
+        systems.append(solve_kriging(rest[list(AXES)].to_numpy(float), (rest["s"] / rest["n"]).to_numpy(float), v))
     shared = train.sparkSession.sparkContext.broadcast(systems)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,8 +249,8 @@ def krige_blocks(
     """
     if n_max > FAST_THRESHOLD:
         raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
-    points = distinct_points(train, value)
-    grid = plan_grid(train, targets, n_max, margin, blocks)
+    points = staged(distinct_points(train, value), "points")
+    grid = plan_grid(points, targets, n_max, margin, blocks)
     near = neighbourhoods(points, grid, n_max, margin, seed)
 
     placed = assign_blocks(targets, grid, edges).drop("bi", "bj", "bk")

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefield.operators.kriging import FAST_ROWS, FAST_THRESHOLD, distinct_points, solve_kriging, _point_hash
 from lodefield.operators.blocks import AXES
+from lodefield.operators.kriging import FAST_ROWS, sample_points, solve_kriging
 from lodefield.operators.variogram import MODELS, Variogram
 
 # Search box and the error given to a fold that fails.
@@ -57,17 +57,12 @@ def trials_near(best: Variogram, n: int, shrink: float = 0.2) -> list[Variogram]
     return trials
 
 
-def cross_validate(
-    train: DataFrame, trials: list[Variogram], first_id: int = 0, n_max: int = FAST_ROWS, k: int = 5, seed: int = 42, value: str = "grade",
-) -> DataFrame:
+def cross_validate(points: DataFrame, trials: list[Variogram], first_id: int = 0, k: int = 5, seed: int = 42) -> DataFrame:
     """``trial, model, range, sill, nugget, rmse``: mean fold RMSE of each trial.
 
-    Fast mode: the points are a keyed subsample of at most ``n_max`` locations; each
-    (trial, fold) is one task's group of that many rows.
+    ``points`` are distinct locations with their ``value``, at most one system's worth;
+    each (trial, fold) is one task's group of that many rows.
     """
-    if n_max > FAST_THRESHOLD:
-        raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
-    points = distinct_points(train, value).orderBy(_point_hash(seed), *AXES).limit(n_max)
     groups = (
         points.withColumn("held", F.pmod(F.xxhash64(F.lit(seed + 1), *AXES), F.lit(k)).cast("int"))
         .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -88,7 +83,7 @@ def cross_validate(
         return pd.DataFrame({"trial": [trial], "fold": [fold], "rmse": [rmse if math.isfinite(rmse) else FAILED_RMSE]})
 
     scored = groups.groupBy("trial", "fold").applyInPandas(score, "trial int, fold int, rmse double")
-    table = train.sparkSession.createDataFrame(
+    table = points.sparkSession.createDataFrame(
         [(i, t.model, t.range, t.sill, t.nugget) for i, t in by_id.items()],
         "trial int, model string, range double, sill double, nugget double")
     mean = scored.groupBy("trial").agg(F.avg("rmse").alias("rmse"))
@@ -99,14 +94,17 @@ def cross_validate(
 def search_variogram(
     train: DataFrame, n_trials: int = 50, n_max: int = FAST_ROWS, k: int = 5, seed: int = 42, value: str = "grade",
 ) -> DataFrame:
-    """Two parallel rounds: an even cover of the box, then a finer one around its best."""
+    """Two parallel rounds: an even cover of the box, then a finer one around its best.
+
+    Both score a keyed subsample of at most ``n_max`` locations.
+    """
     n_first = max(1, math.ceil(0.6 * n_trials))
     columns = "trial int, model string, range double, sill double, nugget double, rmse double"
     spark = train.sparkSession
-    first = cross_validate(train, first_trials(n_first), 0, n_max, k, seed, value).toPandas()
+    points = spark.createDataFrame(sample_points(train, n_max, seed, value))
+    first = cross_validate(points, first_trials(n_first), 0, k, seed).toPandas()
     if n_trials > n_first:
-        second = cross_validate(
-            train, trials_near(best_variogram(first), n_trials - n_first), n_first, n_max, k, seed, value).toPandas()
+        second = cross_validate(points, trials_near(best_variogram(first), n_trials - n_first), n_first, k, seed).toPandas()
         first = pd.concat([first, second], ignore_index=True)
     return spark.createDataFrame(first, columns)
 

@@ -30,16 +30,20 @@ class Variogram:
 
     def gamma(self, h: np.ndarray) -> np.ndarray:
         """Semivariance at distances ``h``; zero at distance zero."""
-        part = self.sill - self.nugget
+        apart = h > 0
         t = h / self.range
         if self.model == "spherical":
-            t = np.minimum(t, 1.0)
-            shape = 1.5 * t - 0.5 * t**3
-        elif self.model == "exponential":
-            shape = -np.expm1(-3.0 * t)
+            np.minimum(t, 1.0, out=t)
+            t *= 1.5 - 0.5 * t * t
         else:
-            shape = -np.expm1(-((1.75 * t) ** 2))
-        return np.where(h > 0, self.nugget + part * shape, 0.0)
+            if self.model == "gaussian":
+                t *= t
+            t *= -3.0 if self.model == "exponential" else -(1.75**2)
+            np.negative(np.expm1(t, out=t), out=t)
+        t *= self.sill - self.nugget
+        t += self.nugget
+        t *= apart
+        return t
 
 
 def gamma_column(h: Column, v: Variogram) -> Column:

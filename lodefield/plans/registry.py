@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefield.functions.binning import grade_class
+from lodefield.functions.moments import moments
 from lodefield.operators import balance, blocks, clean, explain, fusion, kriging, metrics, reports, samples, search, split, surface, trees, variogram
 from lodefield.operators.components import apply_components, fit_components
 from lodefield.operators.proxy import rolling_mean
-from lodefield.functions.moments import moments
 from lodefield.plans import views as V
 from lodefield.plans.modelling import apply_features, fit_features
 from lodefield.plans.views import PREDICTIONS, sql, sql_hash, sql_uniform
+from lodefield.session import ship_package
+from lodefield.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +37,11 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def query(name: str, oracle: str | None = None, digits: int = 6):
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir), digits)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return tidy(fn(spark, sf_dir), digits)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -611,9 +617,14 @@ _SMALL_TREES = trees.TreeParams(n_trees=10, depth=4, step=0.2)
 _MODEL = variogram.Variogram("spherical", 150.0, 60.0, 2.0)
 
 
+def _sets(spark, sf):
+    """Training and test rows from one staged table, which the fits below scan repeatedly."""
+    return split.train_test(staged(V.labelled(spark, sf), "labelled"))
+
+
 def _modelling(spark, sf):
     """Training and test rows with scaled features fitted on the training rows."""
-    train, test = split.train_test(V.labelled(spark, sf))
+    train, test = _sets(spark, sf)
     params = fit_features(train, 0)
     return apply_features(train, params), apply_features(test, params), params.features
 
@@ -633,7 +644,7 @@ def _(spark, sf):
 
 @query("kriging")
 def _(spark, sf):
-    train, test = split.train_test(V.labelled(spark, sf))
+    train, test = _sets(spark, sf)
     out = kriging.krige_blocks(train, test.select("sample_id", "x", "y", "depth", "grade"), _MODEL, "auto", _SYSTEM)
     return out.select("sample_id", "block_id", "grade", "kriging_pred", "kriging_pred_status")
 
@@ -641,14 +652,14 @@ def _(spark, sf):
 @query("kriging_fast")
 def _(spark, sf):
     """One system on the 3,000-point subsample; targets are scored in place."""
-    train, test = split.train_test(V.labelled(spark, sf))
+    train, test = _sets(spark, sf)
     system = kriging.fit_global(train, _MODEL)
     return kriging.apply_global(test.select("sample_id", "x", "y", "depth", "grade"), system).drop("kriging_pred_var")
 
 
 @query("kriging_2d")
 def _(spark, sf):
-    train, test = split.train_test(V.labelled(spark, sf))
+    train, test = _sets(spark, sf)
     system = kriging.fit_global(train, _MODEL, dims=2, variance=True)
     return kriging.apply_global(test.select("sample_id", "x", "y", "depth", "grade"), system)
 
@@ -661,7 +672,7 @@ def _(spark, sf):
 
 @query("variogram_search")
 def _(spark, sf):
-    train, _ = split.train_test(V.labelled(spark, sf))
+    train, _ = _sets(spark, sf)
     return search.search_variogram(train, n_trials=12, k=3)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,19 +21,38 @@ def build_session(app: str = "lodefield", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodefield_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='lodefield-')}/lodefield", "zip", package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._lodefield_shipped = True
+
+
+_local_folders: dict[str, str] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     A folder of our own is used only where none is set and the master is local, as in
-    tests; it becomes the session's setting.
+    tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodefield-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _local_folders:
+        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="lodefield-", dir="/tmp")
+    return _local_folders[sc.applicationId]
