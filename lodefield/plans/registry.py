@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from lodefield.operators.proxy import rolling_mean
 from lodefield.plans import views as V
 from lodefield.plans.modelling import apply_features, fit_features
 from lodefield.plans.views import PREDICTIONS, sql, sql_hash, sql_uniform
-from lodefield.session import ship_package
+from lodefield.session import checkpoint_folder, ship_package
+from lodefield.sources import sinks, tables
 from lodefield.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,6 +551,14 @@ def _(spark, sf):
     return reports.slice_classes(_sliced(spark, sf))
 
 
+@query("slice_classes_wide", sql(f"""
+    , {_sql_slices(20, 10)}, classed as (select z0, {_CLASS} as c from sliced)
+    select {rnd('z0')}, """ + ", ".join(f"nullif(count(*) filter (c = '{c}'), 0) as \"{c}\"" for c in ("<30", "30-40", "40-50", ">=50"))
+    + " from classed group by classed.z0", "labelled"))
+def _(spark, sf):
+    return reports.slice_classes_wide(_sliced(spark, sf))
+
+
 @query("grade_classes", sql(
     f"select interval_id, case when grade is null then null else {_CLASS} end as grade_class, {_CLASS} as parity_class from intervals", "intervals"))
 def _(spark, sf):
@@ -593,10 +603,11 @@ def _(spark, sf):
     return reports.layer_points(V.labelled(spark, sf), "lith")
 
 
-@query("surface_clip", sql(f"select sample_id, {rnd('depth - 1 as depth')} from samples where depth <= 0", "samples"))
+@query("surface_clip", sql(f"select sample_id, {rnd('depth + 250 as depth')} from samples where depth + 250 <= 0", "samples"))
 def _(spark, sf):
-    clipped = surface.clip_to_surface(V.samples(spark, sf), V.surface(spark, sf))
-    return clipped.select("sample_id", (F.col("depth") - 1).alias("depth"))
+    """Points raised by 250, so that about half lie above the surface."""
+    raised = V.samples(spark, sf).withColumn("depth", F.col("depth") + 250)
+    return surface.clip_to_surface(raised, V.surface(spark, sf)).select("sample_id", "depth")
 
 
 @query("surface_nearest", sql(f"""
@@ -608,6 +619,65 @@ def _(spark, sf):
     return surface.nearest_surface(V.samples(spark, sf), V.surface(spark, sf)).select("sample_id", "surface_z")
 
 
+# --- sinks and sources: written to the shared folder and read back ---------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/lodefield-{name}-{uuid.uuid4().hex}"
+
+
+@query("export_sets", sql(f"select sample_id, {rnd('x', 'y', 'depth', 'grade')}, _set from labelled where _set = 'Test'", "labelled"))
+def _(spark, sf):
+    """Both sets written partitioned; one set read back from its own folder."""
+    path = _folder(spark, "sets")
+    sinks.export_sets(V.labelled(spark, sf), path)
+    return spark.read.parquet(path).filter("_set = 'Test'").select("sample_id", "x", "y", "depth", "grade", "_set")
+
+
+@query("export_predictions", sql(f"select sample_id, {rnd('grade', 'kriging_pred')} from predicted", "predicted"))
+def _(spark, sf):
+    path = _folder(spark, "predictions")
+    sinks.export_predictions(V.predicted(spark, sf).select("sample_id", "grade", "kriging_pred"), path)
+    return spark.read.csv(path, header=True, schema="sample_id string, grade double, kriging_pred double")
+
+
+@query("export_summary", sql(_METRICS, "predicted"))
+def _(spark, sf):
+    path = _folder(spark, "summary")
+    df = V.predicted(spark, sf)
+    sinks.export_summary(metrics.evaluate(df, list(PREDICTIONS)), fusion.fit_fusion(df, _THREE).frame(spark), path)
+    return spark.read.json(f"{path}/metrics_json", schema="model string, n bigint, mae double, rmse double, r2 double, evs double, mape double, bias double")
+
+
+@query("export_trials")
+def _(spark, sf):
+    path = _folder(spark, "trials")
+    train, _ = _sets(spark, sf)
+    trials = search.search_variogram(train, n_trials=4, n_max=500, k=2)
+    sinks.export_trials(trials, search.search_stats(trials), path)
+    return spark.read.csv(f"{path}/trials", header=True, schema=trials.schema)
+
+
+@query("read_surface", sql(f"select {rnd('x', 'y', 'z')} from surface", "surface"))
+def _(spark, sf):
+    path = _folder(spark, "surface")
+    V.surface(spark, sf).write.csv(path, header=True)
+    return tables.read_surface(spark, path)
+
+
+@query("read_tables", sql(f"""
+    select i.interval_id, i.hole_id, {rnd('e', 'n', 'd_from', 'd_to', 'grade')} from intervals i join collars c on i.hole_id = c.hole_id
+    where d_to > d_from and grade is not null""", "intervals", "collars"))
+def _(spark, sf):
+    """Collars and intervals written as CSV and read with their fixed schemas."""
+    where, what = _folder(spark, "collars"), _folder(spark, "intervals")
+    V.collars(spark, sf).select("hole_id", "e", "n", "line_no").write.csv(where, header=True)
+    V.intervals(spark, sf).select("hole_id", "d_from", "d_to", "grade", "interval_id").write.csv(what, header=True)
+    collars = tables.read_collars(spark, where, attributes=("line_no",))
+    parsed = samples.non_empty(samples.parse_intervals(tables.read_intervals(spark, what, keys=("interval_id",))))
+    joined = samples.join_collars(parsed, collars)
+    return joined.select("interval_id", F.col("hole_id").cast("bigint").alias("hole_id"), "e", "n", "d_from", "d_to", "grade")
+
+
 # --- estimation: no SQL form; checked by properties in the tests ---------------------------
 
 # Smaller systems than the default of 3,000 points keep the block solves short.
