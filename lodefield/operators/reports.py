@@ -95,8 +95,9 @@ def slice_classes(sliced: DataFrame, nan_class: str | None = None) -> DataFrame:
 
 
 def slice_classes_wide(sliced: DataFrame, nan_class: str | None = None) -> DataFrame:
-    """One row per slice with a column per class, in class order."""
-    return slice_classes(sliced, nan_class).groupBy("z0").pivot("grade_class", list(GRADE_LABELS)).agg(F.sum("n"))
+    """One row per slice with a count per class, in class order; 0 for an empty class."""
+    wide = slice_classes(sliced, nan_class).groupBy("z0").pivot("grade_class", list(GRADE_LABELS)).agg(F.sum("n"))
+    return wide.na.fill(0, list(GRADE_LABELS))
 
 
 def section_summary(df: DataFrame, line: str, min_points: int = MIN_POINTS) -> DataFrame:

@@ -553,7 +553,7 @@ def _(spark, sf):
 
 @query("slice_classes_wide", sql(f"""
     , {_sql_slices(20, 10)}, classed as (select z0, {_CLASS} as c from sliced)
-    select {rnd('z0')}, """ + ", ".join(f"nullif(count(*) filter (c = '{c}'), 0) as \"{c}\"" for c in ("<30", "30-40", "40-50", ">=50"))
+    select {rnd('z0')}, """ + ", ".join(f"count(*) filter (c = '{c}') as \"{c}\"" for c in ("<30", "30-40", "40-50", ">=50"))
     + " from classed group by classed.z0", "labelled"))
 def _(spark, sf):
     return reports.slice_classes_wide(_sliced(spark, sf))

@@ -75,7 +75,7 @@ def test_sections_pick_the_wider_axis(spark):
 def test_wide_classes_keep_order(spark):
     df = spark.createDataFrame([(0.0, 20.0), (0.0, 20.0), (0.0, 55.0)], "z0 double, grade double")
     row = reports.slice_classes_wide(df).first()
-    assert list(row.asDict()) == ["z0", "<30", "30-40", "40-50", ">=50"] and row["<30"] == 2 and row["30-40"] is None
+    assert list(row.asDict()) == ["z0", "<30", "30-40", "40-50", ">=50"] and row["<30"] == 2 and row["30-40"] == 0
 
 
 def test_contour_needs_ten_points(spark):
