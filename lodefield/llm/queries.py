@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from lodefield.llm import exact_dedup, url_filter
+from lodefield.llm import exact_dedup, line_dedup, packing, url_filter, warc
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_warc": warc.op3_warc,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
