@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodefield.llm import exact_dedup, line_dedup, packing, url_filter, warc
+from lodefield.llm import exact_dedup, line_dedup, ngram_join, packing, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_warc": warc.op3_warc,
+    "op4_quality": quality.op4_quality,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
