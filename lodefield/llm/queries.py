@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodefield.llm import exact_dedup, line_dedup, ngram_join, packing, quality, toxicity, url_filter, warc
+from lodefield.llm import embedding_join, exact_dedup, line_dedup, ngram_join, packing, pieces, quality, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_pieces": pieces.op8_pieces,
+    "op9_embedding_join": embedding_join.op9_embedding_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
