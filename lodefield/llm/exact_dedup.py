@@ -4,8 +4,8 @@ Arriving rows are reduced to a digest of the normalised text (A-Z lower-cased),
 identifier and a content locator (the row number in the written table).  A streaming
 aggregation keyed by digest keeps, on disk (RocksDB) and without expiry, the identifier and
 locator of the row that stays and the number of rows seen.  The state is then read back
-as a table.  Rows that hit a digest held by another row are compared with the full text of the
-row that stays; where bytes differ, the rows of that digest are grouped by text instead.
+as a table.  The full texts of rows that hit one digest are compared, as the least and greatest text of the
+digest; where their bytes differ, the rows of that digest are grouped by text instead.
 
 Only DataFrame and SQL functions run on the executors.
 
@@ -31,6 +31,7 @@ _STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no disk space set aside
 }
 
 
@@ -100,13 +101,14 @@ def deduplicate(
     held = spark.read.parquet(held_at)
 
     decided = rows.select("row", "id", "digest").join(held, "digest")
-    hits = held.filter("group_size > 1")
     text = lower_ascii(F.col(f"doc.`{text_col}`")).alias("text")
-    members = rows.select("row", "digest", text).join(hits.select("digest", "keep_row"), "digest")
-    stays = rows.select("row", F.col("digest"), text.alias("keep_text")).join(
-        hits.select(F.col("keep_row").alias("row")), "row").drop("row")
+    # Map tasks keep the least and greatest text of a digest; equal ones mean that all its texts have the same bytes.
     unlike_at = new_folder(spark, "exact-unlike")
-    members.filter("row <> keep_row").join(stays, "digest").filter("text <> keep_text").select("digest").distinct().write.parquet(unlike_at)
+    (
+        rows.select("digest", text).groupBy("digest")
+        .agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+        .filter("least <> greatest").select("digest").write.parquet(unlike_at)
+    )
     unlike = spark.read.parquet(unlike_at)
     if unlike.isEmpty():
         return rows, decided.withColumn("kept", F.col("row") == F.col("keep_row"))
