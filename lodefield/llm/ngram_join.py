@@ -39,7 +39,7 @@ FREQUENT = 40
 #: Frequent tokens in a combination.
 K_TOKENS = 2
 #: Sets of at most this size have all tokens in their counted region.
-SMALL = 96
+SMALL = 64
 _SETS_ROWS = 256
 
 
@@ -50,7 +50,7 @@ def _prefix(n: int, percent: int) -> int:
 
 def _region(n: int, percent: int) -> int:
     """Lowest-hash tokens that are counted: the extended prefix and room for frequent tokens among them."""
-    return n if n <= SMALL else min(n, _prefix(n, percent) + K_TOKENS - 1 + n // 16)
+    return n if n <= SMALL else min(n, _prefix(n, percent) + K_TOKENS - 1 + n // 32)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``id, n, key, region``: size, digest of the set and its counted tokens (lowest hashes first)."""
+    """``id, n, key, low, region``: size, digest of the set, its two lowest tokens and its counted tokens (lowest hashes first)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,9 +74,9 @@ def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) ->
                 yield pd.DataFrame({
                     "id": part["id"].astype("Int64"), "n": [len(s) for s in sets],
                     "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "region": [_signed(s[: _region(len(s), percent)]) for s in sets]})
+                    "low": [_signed(s[:2]) for s in sets], "region": [_signed(s[: _region(len(s), percent)]) for s in sets]})
 
-    return docs.mapInPandas(run, "id bigint, n bigint, key binary, region array<bigint>")
+    return docs.mapInPandas(run, "id bigint, n bigint, key binary, low array<bigint>, region array<bigint>")
 
 
 def whole_sets(docs: DataFrame, k_words: int = K_WORDS) -> DataFrame:
@@ -127,19 +127,23 @@ def _clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .select("id", "n", F.coalesce("component", "id").alias("cluster")), "clusters")
 
 
-def _stars(postings: DataFrame) -> DataFrame:
+def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs of every posting's members with its smallest member, for postings (``token, id, cluster, n``) over several clusters."""
     first = postings.groupBy("token").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.min_by("cluster", "id").alias("hub_cluster"))
     joined = postings.join(first, "token").filter("id <> hub and cluster <> hub_cluster")
-    return joined.filter(_sizes_fit("n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    return joined.filter(_sizes_fit("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _sizes_fit(a: str, b: str, percent: int = PERCENT):
+def _sizes_fit(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
 def _signatures(sets: DataFrame, percent: int) -> DataFrame:
-    """Postings of ``id, n, cluster, rare, frequent`` (sorted token arrays): rare tokens of the prefix, else combinations too."""
+    """Postings of ``id, n, cluster, rare, frequent`` (sorted tokens): the rare ones, and combinations where these are too few.
+
+    ``rare`` holds the shared rare tokens of the prefix, ``missing`` the number of tokens by which all rare
+    tokens of the set fall short of the prefix.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -151,12 +155,10 @@ def _signatures(sets: DataFrame, percent: int) -> DataFrame:
                     "token": _signed(np.concatenate(tokens)), "id": np.repeat(ids, counts), "n": np.repeat(sizes, counts),
                     "cluster": np.repeat(clusters, counts)})
 
-            for doc, n, cluster, rare, frequent in zip(batch["id"], batch["n"], batch["cluster"], batch["rare"], batch["frequent"]):
-                need = _prefix(n, percent)
-                rare = np.asarray(rare, np.int64).view(np.uint64)
-                parts = [rare[:need]]
-                if len(rare) < need:
-                    some = np.asarray(frequent, np.int64).view(np.uint64)[: need + K_TOKENS - 1 - len(rare)]
+            for doc, n, cluster, rare, frequent, missing in batch[["id", "n", "cluster", "rare", "frequent", "missing"]].itertuples(index=False):
+                parts = [np.asarray(rare, np.int64).view(np.uint64)]
+                if missing > 0:
+                    some = np.asarray(frequent, np.int64).view(np.uint64)[: missing + K_TOKENS - 1]
                     for i in range(len(some) - 1):  # combinations of two, one first token at a time
                         with np.errstate(over="ignore"):
                             parts.append(mix(some[i] * np.uint64(0x9E3779B97F4A7C15) + some[i + 1 :]))
@@ -184,51 +186,60 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = _written(sets_of(texts, k_words, percent), "sets")
     groups = sets.filter("n > 0 and id is not null").groupBy("key", "n").agg(F.min("id").alias("rep"))
-    # A representative's row may occur twice (repeated identifiers); one is enough.
-    reps = _written(
-        sets.join(groups.select("key", "rep"), "key").filter("id = rep").select("id", "n", "region").dropDuplicates(["id"]), "representatives")
+    reps = _written(groups.select(F.col("rep").alias("id"), "n").dropDuplicates(["id"]), "representatives")
 
     # First clusters: sets that agree in one of their two lowest tokens, against the smallest of them.
-    low = reps.select("id", "n", F.col("id").alias("cluster"), F.explode(F.slice("region", 1, 2)).alias("token"))
-    links = verify(_stars(low), texts, k_words, percent)
+    lowest = sets.select("id", "n", "low").join(reps, ["id", "n"], "left_semi")
+    low = lowest.select("id", "n", F.col("id").alias("cluster"), F.explode("low").alias("token")).distinct()
+    links = verify(_stars(low, percent), texts, k_words, percent)
     clusters = _clusters(reps, links)
 
-    # Classes of tokens, counted over the regions of all sets.
-    token_rows = reps.select("id", F.explode("region").alias("token")).join(clusters, "id")
+    # Tokens that several clusters share, counted over the regions of all sets; tokens of one cluster can find no pair that counts.
+    regions = sets.select("id", "n", "region").join(clusters, ["id", "n"])
+    token_rows = regions.select("id", "cluster", F.posexplode("region").alias("at", "token"))
     counted = _written(
         token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-        .filter("lo <> hi").select("token", "rows"), "shared-tokens")
-    frequent = _written(counted.filter(F.col("rows") > FREQUENT).select("token"), "frequent-tokens")
-    of_set = _written(
-        token_rows.select("id", "token").join(frequent, "token", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("token")).alias("frequent")),
-        "frequent-of-sets")
-
-    # Sets whose region has too few rare tokens get their whole set, ordered by class.
-    sized = clusters.join(reps.select("id", "region"), "id").join(of_set, "id", "left")
-    sized = sized.withColumn("frequent", F.coalesce("frequent", F.array().cast("array<bigint>")))
+        .filter("lo <> hi").select("token", (F.col("rows") > FREQUENT).alias("often")), "shared-tokens")
+    frequent = _written(counted.filter("often").select("token"), "frequent-tokens")
+    hits = token_rows.select("id", "at", "token").join(counted, "token").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("at", "token", "often"))).alias("hits"))
+    # Of a set's region, how many tokens are frequent, and the shared rare ones with their rank among the rare.
+    known = clusters.join(hits, "id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<at:int,token:bigint,often:boolean>>")))
+    known = known.withColumn("frequent", F.expr("transform(filter(hits, x -> x.often), x -> x.token)")).withColumn(
+        "ranked", F.expr("transform(filter(hits, x -> not x.often), x -> struct(x.token as token, x.at - size(filter(hits, y -> y.often and y.at < x.at)) as rank))"))
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    enough = F.size("region") - F.size("frequent") >= need
-    whole = F.size("region") >= F.col("n")
-    plain = sized.filter(enough | whole).select(
-        "id", "n", "cluster", F.array_except("region", "frequent").alias("rare"), "frequent")
-    short = _written(sized.filter(~enough & ~whole).select("id", "n", "cluster"), "short-of-rare")
-    if not short.isEmpty():
-        full = whole_sets(texts.join(short, "id", "left_semi"), k_words)
-
-        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame({"id": batch["id"], "tokens": [_signed(np.frombuffer(t, np.uint64)) for t in batch["tokens"]]})
-
-        exploded = full.mapInPandas(split, "id bigint, tokens array<bigint>").select("id", F.posexplode("tokens").alias("at", "token"))
-        marked = exploded.join(frequent.withColumn("often", F.lit(True)), "token", "left")
-        regrouped = marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "token", "often"))).alias("all")).select(
-            "id", F.expr("transform(filter(all, x -> x.often is null), x -> x.token)").alias("rare"),
-            F.expr("transform(filter(all, x -> x.often), x -> x.token)").alias("frequent"))
-        plain = plain.unionByName(short.join(regrouped, "id").select(plain.columns))
-
-    postings = _written(_shared(_signatures(plain, percent)), "postings")
+    slack = F.col("n") <= SMALL
+    width = F.when(slack, F.col("n")).otherwise(F.least(F.col("n"), need + K_TOKENS - 1 + F.floor(F.col("n") / 32)))
+    known = _written(known.select(
+        "id", "n", "cluster", "frequent", F.transform(F.filter("ranked", lambda x: x["rank"] < need), lambda x: x["token"]).alias("rare"),
+        (need - (width - F.size("frequent"))).cast("bigint").alias("missing"), (width >= F.col("n")).alias("whole")), "prefixes")
+    columns = ["id", "n", "cluster", "rare", "frequent", "missing"]
+    ready = known.filter("whole or missing <= 0").select(columns)
+    short = known.filter("not whole and missing > 0").select("id", "n", "cluster")
+    # Sets whose region has too few rare tokens get their prefix from the whole set, ordered by class.
+    full = whole_sets(texts.join(short.select("id").distinct(), "id", "left_semi"), k_words)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "tokens": [_signed(np.frombuffer(t, np.uint64)) for t in batch["tokens"]]})
+
+    exploded = full.dropDuplicates(["id"]).mapInPandas(split, "id bigint, tokens array<bigint>").select("id", F.posexplode("tokens").alias("at", "token"))
+    marked = exploded.join(frequent.withColumn("often", F.lit(True)), "token", "left")
+    ordered = marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "token", "often"))).alias("all")).select(
+        "id", F.expr("transform(filter(all, x -> x.often is null), x -> x.token)").alias("rare"),
+        F.expr("transform(filter(all, x -> x.often), x -> x.token)").alias("frequent"))
+    late = _written(short.join(ordered, "id").select(
+        "id", "n", "cluster", F.slice("rare", F.lit(1), need.cast("int")).alias("rare"), "frequent",
+        (need - F.size("rare")).cast("bigint").alias("missing")), "late-prefixes")
+    # Their tokens beyond the region may stand, unshared so far, in the prefixes of others.
+    extra = late.select(F.explode("rare").alias("token")).distinct().join(counted.select("token"), "token", "left_anti")
+    met = token_rows.select("id", "token").join(_written(extra, "late-tokens"), "token")
+    met = met.join(ready.select("id", "n", "cluster"), "id")
+
+    made = _signatures(ready.unionByName(late.select(columns)), percent)
+    postings = _written(_shared(made.unionByName(met.select("token", "id", "n", "cluster"))), "postings")
     # Again against the smallest member first, then all pairs left between clusters.
-    more = verify(_stars(postings.select("token", "id", "n", "cluster")), texts, k_words, percent)
+    more = verify(_stars(postings, percent), texts, k_words, percent)
     links = links.unionByName(more)
     clusters = _clusters(reps, links)
     again = postings.drop("cluster").join(clusters.select("id", "cluster"), "id")
