@@ -17,13 +17,12 @@ gives an empty result; further columns are carried along and may have any names.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodefield.llm.common import lower_ascii, new_folder, table
+from lodefield.llm.common import lower_ascii, new_folder, settings, table
 
 # Settings of the state store.
 _STATE_SETTINGS = {
@@ -39,25 +38,13 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def observe(stream: DataFrame, state: str) -> None:
     """Take every row that has arrived on ``stream`` (``digest, id, row``) into the state at ``state``.
 
     Call it again with the same folder for rows that arrive later.
     """
     keyed = stream.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("stays"), F.count(F.lit(1)).alias("rows"))
-    with _settings(stream.sparkSession, _STATE_SETTINGS):
+    with settings(stream.sparkSession, _STATE_SETTINGS):
         query = (
             keyed.writeStream.format("noop").outputMode("update").trigger(availableNow=True)
             .option("checkpointLocation", state).start()
@@ -67,7 +54,7 @@ def observe(stream: DataFrame, state: str) -> None:
 
 def known(spark: SparkSession, state: str) -> DataFrame:
     """The state as a table: ``digest, keep_id, keep_row, group_size``, a row per digest."""
-    with _settings(spark, _STATE_SETTINGS):
+    with settings(spark, _STATE_SETTINGS):
         kept = spark.read.format("statestore").load(state)
         stays, rows = (f"value.`{name}`" for name in kept.schema["value"].dataType.names)
         return kept.select(

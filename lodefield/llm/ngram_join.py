@@ -1,12 +1,13 @@
 """Jaccard self-join of word shingles: token-combination prefixes.
 
-Texts whose shingle sets are equal are joined to one representative first.  Shingles (tokens) have a global order: rare
-ones before frequent ones, by hash within a class.  Two sets that are similar enough share their first common token
-within the first ``n - ceil(t n) + 1`` tokens of each (the prefix), and their first k common tokens within a
-prefix longer by k - 1.  If the first common token is rare, a posting of that single token finds the
-pair; if it is frequent, all common tokens are, and the extended prefixes share a combination of k frequent
-tokens, which is rare again.  So single rare tokens and k-combinations of frequent ones are indexed; a token is frequent if it
-is in the hash prefixes of more than ``FREQUENT`` sets.  Candidates are verified on the whole sets.
+Texts whose shingle sets are equal are joined to one representative first.  Shingles (tokens) are ordered by
+hash.  Two sets that are similar enough share their first k common tokens within the first
+``n - ceil(t n) + k`` tokens of each: the prefix, extended by k - 1.  Here k is ``2 + n // 64``.  If one of these
+common tokens is rare, a posting of that single token finds the pair.  If all are frequent, the extended
+prefixes share combinations of two frequent tokens, which are rare again, and a posting of a combination finds
+the pair.  Of the combinations only those of one residue class modulo g are indexed: with g < k, two of
+the k common tokens fall in one class.  A token is frequent if more than ``FREQUENT`` sets of different clusters
+hold it in their prefixes.  Candidates are verified on the whole sets.
 
 Groups of near copies do not yield all their pairs: the members of a posting are first verified against its
 smallest member only.  Linked sets become one cluster, and pairs are made only between members of different
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefield.llm.common import new_folder, private, table
+from lodefield.llm.common import new_folder, private, settings, table
 from lodefield.llm.components import components
 from lodefield.llm.shingles import mix, shingle_sets
 
@@ -36,21 +37,21 @@ K_WORDS = 5
 PERCENT = 75
 #: A token in more prefixes than this is frequent and is indexed in combinations only.
 FREQUENT = 40
-#: Frequent tokens in a combination.
-K_TOKENS = 2
-#: Sets of at most this size have all tokens in their counted region.
-SMALL = 64
+#: Sets of at most this size have all their tokens in the prefix.
+SMALL = 32
+#: Tokens are shortened to this many bits in postings; whole sets keep 64.
+_TOKEN_BITS = 48
 _SETS_ROWS = 256
 
 
 def _prefix(n: int, percent: int) -> int:
-    """Tokens of which two similar sets, of which one has ``n``, must share one."""
-    return n - ceil(n * percent / 100) + 1
+    """Length of the extended prefix of a set of ``n`` tokens: similar sets share their first ``2 + n // 64`` common tokens there."""
+    return n if n <= SMALL else min(n, n - ceil(n * percent / 100) + 2 + n // 64)
 
 
-def _region(n: int, percent: int) -> int:
-    """Lowest-hash tokens that are counted: the extended prefix and room for frequent tokens among them."""
-    return n if n <= SMALL else min(n, _prefix(n, percent) + K_TOKENS - 1 + n // 32)
+def _modulus(n: int) -> int:
+    """Residue classes for combinations of a pair whose smaller set has ``n`` tokens; at most ``1 + n // 64``."""
+    return 1 << max(0, (n // 64).bit_length() - 1)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -59,12 +60,12 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - _TOKEN_BITS)).view(np.int64)
 
 
 def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``id, n, key, low, region``: size, digest of the set, its two lowest tokens and its counted tokens (lowest hashes first)."""
+    """``id, n, key, low, prefix``: size, digest of the set, its two lowest tokens and its extended prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,9 +75,9 @@ def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) ->
                 yield pd.DataFrame({
                     "id": part["id"].astype("Int64"), "n": [len(s) for s in sets],
                     "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "low": [_signed(s[:2]) for s in sets], "region": [_signed(s[: _region(len(s), percent)]) for s in sets]})
+                    "low": [_short(s[:2]) for s in sets], "prefix": [_short(s[: _prefix(len(s), percent)]) for s in sets]})
 
-    return docs.mapInPandas(run, "id bigint, n bigint, key binary, low array<bigint>, region array<bigint>")
+    return docs.mapInPandas(run, "id bigint, n bigint, key binary, low array<bigint>, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame, k_words: int = K_WORDS) -> DataFrame:
@@ -102,11 +103,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
+# Let Spark filter the texts by a Bloom filter of the wanted identifiers before it shuffles them.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs ``a, b`` that are linked.  ``docs`` has ``id, text``; sets are made once per wanted document."""
     pairs = _written(pairs.select("a", "b").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _written(whole_sets(docs.join(wanted, "id", "left_semi"), k_words), "candidate-sets")
+    wanted = _written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    least = wanted.agg(F.min("id")).first()[0]
+    with settings(docs.sparkSession, _BLOOM):
+        few = docs.join(wanted.filter(F.col("id") >= F.lit(least)), "id", "left_semi") if least is not None else docs.limit(0)
+        sets = _written(whole_sets(few, k_words), "candidate-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
 
@@ -138,39 +150,39 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _signatures(sets: DataFrame, percent: int) -> DataFrame:
-    """Postings of ``id, n, cluster, rare, frequent`` (sorted tokens): the rare ones, and combinations where these are too few.
-
-    ``rare`` holds the shared rare tokens of the prefix, ``missing`` the number of tokens by which all rare
-    tokens of the set fall short of the prefix.
-    """
+def _combinations(sets: DataFrame, percent: int) -> DataFrame:
+    """Postings of the combinations of two frequent tokens of ``id, n, cluster, frequent``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sizes, clusters, tokens = [], [], [], []
-
-            def frame() -> pd.DataFrame:
-                counts = [len(t) for t in tokens]
-                return pd.DataFrame({
-                    "token": _signed(np.concatenate(tokens)), "id": np.repeat(ids, counts), "n": np.repeat(sizes, counts),
-                    "cluster": np.repeat(clusters, counts)})
-
-            for doc, n, cluster, rare, frequent, missing in batch[["id", "n", "cluster", "rare", "frequent", "missing"]].itertuples(index=False):
-                parts = [np.asarray(rare, np.int64).view(np.uint64)]
-                if missing > 0:
-                    some = np.asarray(frequent, np.int64).view(np.uint64)[: missing + K_TOKENS - 1]
-                    for i in range(len(some) - 1):  # combinations of two, one first token at a time
-                        with np.errstate(over="ignore"):
-                            parts.append(mix(some[i] * np.uint64(0x9E3779B97F4A7C15) + some[i + 1 :]))
-                made = np.concatenate(parts)
-                ids.append(doc), sizes.append(n), clusters.append(cluster), tokens.append(made)
-                if sum(map(len, tokens)) > 200_000:
-                    yield frame()
-                    ids, sizes, clusters, tokens = [], [], [], []
-            if tokens:
-                yield frame()
-
-    return sets.mapInPandas(run, "token bigint, id bigint, n bigint, cluster bigint")
+            for doc, n, cluster, frequent in batch[["id", "n", "cluster", "frequent"]].itertuples(index=False):
+                some = np.sort(np.asarray(frequent, np.int64)).view(np.uint64)
+                for g in sorted({_modulus(n), _modulus(ceil(n * percent / 100))}):
+                    parts, held = [], 0
+                    for residue in range(g):
+                        alike = some[some % np.uint64(g) == np.uint64(residue)]
+                        for i in range(len(alike) - 1):  # one first token at a time
+                            with np.errstate(over="ignore"):
+                                parts.append(mix((alike[i] + np.uint64(g)) * np.uint64(0x9E3779B97F4A7C15) + alike[i + 1 :]).view(np.int64))
+                            held += len(parts[-1])
+                            if held > 100_000:
+                                yield pd.DataFrame({"token": np.concatenate(parts), "id": doc, "n": n, "cluster": cluster})
+                                parts, held = [], 0
+                    if parts:
+                        yield pd.DataFrame({"token": np.concatenate(parts), "id": doc, "n": n, "cluster": cluster})
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, held = [], 0
+        for frame in run(batches):
+            waiting.append(frame)
+            held += len(frame)
+            if held > 200_000:
+                yield pd.concat(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield pd.concat(waiting)
+
+    return sets.mapInPandas(joined, "token bigint, id bigint, n bigint, cluster bigint")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -181,8 +193,6 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k_words: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document."""
-    if K_TOKENS != 2:
-        raise ValueError("combinations are written for two tokens")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = _written(sets_of(texts, k_words, percent), "sets")
     groups = sets.filter("n > 0 and id is not null").groupBy("key", "n").agg(F.min("id").alias("rep"))
@@ -194,50 +204,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verify(_stars(low, percent), texts, k_words, percent)
     clusters = _clusters(reps, links)
 
-    # Tokens that several clusters share, counted over the regions of all sets; tokens of one cluster can find no pair that counts.
-    regions = sets.select("id", "n", "region").join(clusters, ["id", "n"])
-    token_rows = regions.select("id", "cluster", F.posexplode("region").alias("at", "token"))
-    counted = _written(
-        token_rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-        .filter("lo <> hi").select("token", (F.col("rows") > FREQUENT).alias("often")), "shared-tokens")
-    frequent = _written(counted.filter("often").select("token"), "frequent-tokens")
-    hits = token_rows.select("id", "at", "token").join(counted, "token").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("at", "token", "often"))).alias("hits"))
-    # Of a set's region, how many tokens are frequent, and the shared rare ones with their rank among the rare.
-    known = clusters.join(hits, "id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<at:int,token:bigint,often:boolean>>")))
-    known = known.withColumn("frequent", F.expr("transform(filter(hits, x -> x.often), x -> x.token)")).withColumn(
-        "ranked", F.expr("transform(filter(hits, x -> not x.often), x -> struct(x.token as token, x.at - size(filter(hits, y -> y.often and y.at < x.at)) as rank))"))
-    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    slack = F.col("n") <= SMALL
-    width = F.when(slack, F.col("n")).otherwise(F.least(F.col("n"), need + K_TOKENS - 1 + F.floor(F.col("n") / 32)))
-    known = _written(known.select(
-        "id", "n", "cluster", "frequent", F.transform(F.filter("ranked", lambda x: x["rank"] < need), lambda x: x["token"]).alias("rare"),
-        (need - (width - F.size("frequent"))).cast("bigint").alias("missing"), (width >= F.col("n")).alias("whole")), "prefixes")
-    columns = ["id", "n", "cluster", "rare", "frequent", "missing"]
-    ready = known.filter("whole or missing <= 0").select(columns)
-    short = known.filter("not whole and missing > 0").select("id", "n", "cluster")
-    # Sets whose region has too few rare tokens get their prefix from the whole set, ordered by class.
-    full = whole_sets(texts.join(short.select("id").distinct(), "id", "left_semi"), k_words)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [_signed(np.frombuffer(t, np.uint64)) for t in batch["tokens"]]})
-
-    exploded = full.dropDuplicates(["id"]).mapInPandas(split, "id bigint, tokens array<bigint>").select("id", F.posexplode("tokens").alias("at", "token"))
-    marked = exploded.join(frequent.withColumn("often", F.lit(True)), "token", "left")
-    ordered = marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "token", "often"))).alias("all")).select(
-        "id", F.expr("transform(filter(all, x -> x.often is null), x -> x.token)").alias("rare"),
-        F.expr("transform(filter(all, x -> x.often), x -> x.token)").alias("frequent"))
-    late = _written(short.join(ordered, "id").select(
-        "id", "n", "cluster", F.slice("rare", F.lit(1), need.cast("int")).alias("rare"), "frequent",
-        (need - F.size("rare")).cast("bigint").alias("missing")), "late-prefixes")
-    # Their tokens beyond the region may stand, unshared so far, in the prefixes of others.
-    extra = late.select(F.explode("rare").alias("token")).distinct().join(counted.select("token"), "token", "left_anti")
-    met = token_rows.select("id", "token").join(_written(extra, "late-tokens"), "token")
-    met = met.join(ready.select("id", "n", "cluster"), "id")
-
-    made = _signatures(ready.unionByName(late.select(columns)), percent)
-    postings = _written(_shared(made.unionByName(met.select("token", "id", "n", "cluster"))), "postings")
+    # Tokens of more than one prefix, over all sets; a token of one prefix finds no pair.
+    tokens = sets.select("id", F.explode("prefix").alias("token"))
+    repeated = _written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token"), "repeated-tokens")
+    held = _written(tokens.join(repeated, "token").join(clusters, "id").select("token", "id", "n", "cluster"), "held-tokens")
+    classes = _written(
+        held.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
+        .filter("lo <> hi").select("token", (F.col("rows") > FREQUENT).alias("often")), "token-classes")
+    classed = held.join(classes, "token")
+    rare = classed.filter("not often").select("token", "id", "n", "cluster").distinct()
+    often = classed.filter("often").groupBy("id", "n", "cluster").agg(F.collect_set("token").alias("frequent"))
+    postings = _written(rare.unionByName(_shared(_combinations(often, percent))), "postings")
     # Again against the smallest member first, then all pairs left between clusters.
     more = verify(_stars(postings, percent), texts, k_words, percent)
     links = links.unionByName(more)
