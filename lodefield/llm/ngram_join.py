@@ -1,17 +1,17 @@
 """Jaccard self-join of word shingles: token-combination prefixes.
 
 Texts whose shingle sets are equal are joined to one representative first.  Shingles (tokens) are ordered by
-hash.  Two sets that are similar enough share their first k common tokens within the first
-``n - ceil(t n) + k`` tokens of each: the prefix, extended by k - 1.  Here k is ``2 + n // 64``.  If one of these
-common tokens is rare, a posting of that single token finds the pair.  If all are frequent, the extended
-prefixes share combinations of two frequent tokens, which are rare again, and a posting of a combination finds
-the pair.  Of the combinations only those of one residue class modulo g are indexed: with g < k, two of
-the k common tokens fall in one class.  A token is frequent if more than ``FREQUENT`` sets of different clusters
-hold it in their prefixes.  Candidates are verified on the whole sets.
-
-Groups of near copies do not yield all their pairs: the members of a posting are first verified against its
-smallest member only.  Linked sets become one cluster, and pairs are made only between members of different
-clusters, so no link between clusters is lost.
+hash.  Two sets that are similar enough share their first k common tokens within the first ``n - ceil(t n) + k``
+tokens of each: the prefix, extended by k - 1.  A token is frequent if more than ``FREQUENT`` sets of different
+clusters hold it in their prefixes.  Pairs that share a rare token are found by postings of single tokens, and
+stay candidates if the rare tokens they share and the frequent ones they may share can add up to k.  Pairs that
+share frequent tokens only share at least k of them, so only sets with k frequent tokens in their prefix are
+indexed further, by combinations of two frequent tokens of one residue class modulo g: as g < k, two of the k
+common tokens fall in one class.  Candidates are verified on the whole sets.
+
+Groups of near copies do not yield all their pairs: sets that agree in one of their lowest tokens, or in a combination,
+are first verified against the smallest of them only.  Linked sets become one cluster, and pairs are made
+only between members of different clusters, so no link between clusters is lost.
 
 Defined results: null texts and texts without words have no shingles and no links; fewer words than ``k_words`` make one
 shingle; rows with a null identifier are their own component (null); repeated identifiers are one node; an empty
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -37,21 +38,33 @@ K_WORDS = 5
 PERCENT = 75
 #: A token in more prefixes than this is frequent and is indexed in combinations only.
 FREQUENT = 40
-#: Sets of at most this size have all their tokens in the prefix.
-SMALL = 32
+#: Prefixes have at least this many tokens; smaller sets are their own prefix.
+LEAST_PREFIX = 160
+#: Residue classes of combinations, for pairs of sets of at least ``_MANY`` tokens; smaller ones have one class.
+_CLASSES, _MANY = 16, 40
 #: Tokens are shortened to this many bits in postings; whole sets keep 64.
 _TOKEN_BITS = 48
 _SETS_ROWS = 256
 
 
-def _prefix(n: int, percent: int) -> int:
-    """Length of the extended prefix of a set of ``n`` tokens: similar sets share their first ``2 + n // 64`` common tokens there."""
-    return n if n <= SMALL else min(n, n - ceil(n * percent / 100) + 2 + n // 64)
+def _prefix(n: int, percent: int) -> tuple[int, int]:
+    """Length of the extended prefix of a set of ``n`` tokens, and the k of which similar sets share the first k common tokens there."""
+    spare = n - ceil(n * percent / 100)
+    length = min(n, max(LEAST_PREFIX, spare + 2 + n // 16))
+    return length, length - spare
 
 
-def _modulus(n: int) -> int:
-    """Residue classes for combinations of a pair whose smaller set has ``n`` tokens; at most ``1 + n // 64``."""
-    return 1 << max(0, (n // 64).bit_length() - 1)
+@lru_cache(maxsize=100_000)
+def _least_k(n: int, percent: int) -> int:
+    """The least k of the sets that can be similar to a set of ``n`` tokens."""
+    m = np.arange(-(-n * percent // 100), n * 100 // percent + 1)
+    spare = m - -(-m * percent // 100)
+    return int((np.minimum(m, np.maximum(LEAST_PREFIX, spare + 2 + m // 16)) - spare).min()) if n else 0
+
+
+def _moduli(n: int, percent: int) -> list[int]:
+    """Numbers of residue classes under which a set of ``n`` tokens meets the sets of similar size."""
+    return ([1] if n * percent < _MANY * 100 else []) + ([_CLASSES] if n >= _MANY else [])
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -65,7 +78,7 @@ def _short(tokens: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``id, n, key, low, prefix``: size, digest of the set, its two lowest tokens and its extended prefix."""
+    """``id, n, key, low, k, least_k, prefix``: size, digest of the set, its two lowest tokens, k and its extended prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,9 +88,9 @@ def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) ->
                 yield pd.DataFrame({
                     "id": part["id"].astype("Int64"), "n": [len(s) for s in sets],
                     "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "low": [_short(s[:2]) for s in sets], "prefix": [_short(s[: _prefix(len(s), percent)]) for s in sets]})
+                    "low": [_short(s[:2]) for s in sets], "k": [_prefix(len(s), percent)[1] for s in sets], "least_k": [_least_k(len(s), percent) for s in sets], "prefix": [_short(s[: _prefix(len(s), percent)[0]]) for s in sets]})
 
-    return docs.mapInPandas(run, "id bigint, n bigint, key binary, low array<bigint>, prefix array<bigint>")
+    return docs.mapInPandas(run, "id bigint, n bigint, key binary, low array<bigint>, k bigint, least_k bigint, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame, k_words: int = K_WORDS) -> DataFrame:
@@ -157,7 +170,7 @@ def _combinations(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for doc, n, cluster, frequent in batch[["id", "n", "cluster", "frequent"]].itertuples(index=False):
                 some = np.sort(np.asarray(frequent, np.int64)).view(np.uint64)
-                for g in sorted({_modulus(n), _modulus(ceil(n * percent / 100))}):
+                for g in _moduli(n, percent):
                     parts, held = [], 0
                     for residue in range(g):
                         alike = some[some % np.uint64(g) == np.uint64(residue)]
@@ -207,24 +220,33 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Tokens of more than one prefix, over all sets; a token of one prefix finds no pair.
     tokens = sets.select("id", F.explode("prefix").alias("token"))
     repeated = _written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token"), "repeated-tokens")
-    held = _written(tokens.join(repeated, "token").join(clusters, "id").select("token", "id", "n", "cluster"), "held-tokens")
+    sized = clusters.join(sets.select("id", "n", "k", "least_k").distinct(), ["id", "n"])
+    held = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "cluster", "k", "least_k"), "held-tokens")
     classes = _written(
         held.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
         .filter("lo <> hi").select("token", (F.col("rows") > FREQUENT).alias("often")), "token-classes")
-    classed = held.join(classes, "token")
-    rare = classed.filter("not often").select("token", "id", "n", "cluster").distinct()
-    often = classed.filter("often").groupBy("id", "n", "cluster").agg(F.collect_set("token").alias("frequent"))
-    postings = _written(rare.unionByName(_shared(_combinations(often, percent))), "postings")
-    # Again against the smallest member first, then all pairs left between clusters.
-    more = verify(_stars(postings, percent), texts, k_words, percent)
-    links = links.unionByName(more)
+    classed = _written(held.join(classes, "token").distinct(), "classed-tokens")
+    often = _written(
+        classed.filter("often").groupBy("id", "n", "cluster", "least_k").agg(F.collect_set("token").alias("frequent"))
+        .withColumn("f", F.size("frequent").cast("bigint")), "frequent-of-sets")
+
+    rare = classed.filter("not often").join(often.select("id", "f"), "id", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+
+    def side(postings: DataFrame, tag: str, *more: str) -> DataFrame:
+        return postings.select("token", F.col("id").alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in ("n", "cluster", *more)])
+
+    apart = "a < b and cluster_a <> cluster_b"
+    met = side(rare, "a", "k", "f").join(side(rare, "b", "k", "f"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent))
+    short = F.greatest(F.least("k_a", "k_b") - F.least("f_a", "f_b"), F.lit(1))
+    pairs = met.groupBy("a", "b", short.alias("short")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= short").select("a", "b")
+
+    # Combinations: against the smallest member first, then the pairs left between clusters.
+    postings = _written(_shared(_combinations(often.filter("f >= least_k"), percent)), "combinations")
+    links = links.unionByName(verify(pairs.unionByName(_stars(postings, percent)), texts, k_words, percent))
     clusters = _clusters(reps, links)
-    again = postings.drop("cluster").join(clusters.select("id", "cluster"), "id")
-    open_ = _shared(again)
-    left = open_.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("cluster").alias("cluster_a"))
-    right = open_.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("cluster").alias("cluster_b"))
-    pairs = left.join(right, "token").filter("a < b and cluster_a <> cluster_b").filter(_sizes_fit("n_a", "n_b", percent)).select("a", "b")
-    found = components(links.unionByName(verify(pairs, texts, k_words, percent)))
+    open_ = _shared(postings.drop("cluster").join(clusters.select("id", "cluster"), "id"))
+    rest = side(open_, "a").join(side(open_, "b"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent)).select("a", "b")
+    found = components(links.unionByName(verify(rest, texts, k_words, percent)))
 
     member = sets.select("id", "n", "key").join(groups.select("key", "rep"), "key", "left")
     named = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
