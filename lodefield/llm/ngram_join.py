@@ -41,7 +41,7 @@ FREQUENT = 40
 #: Prefixes have at least this many tokens; smaller sets are their own prefix.
 LEAST_PREFIX = 160
 #: Residue classes of combinations, for pairs of sets of at least ``_MANY`` tokens; smaller ones have one class.
-_CLASSES, _MANY = 16, 40
+_CLASSES, _MANY = 32, 44
 #: Tokens are shortened to this many bits in postings; whole sets keep 64.
 _TOKEN_BITS = 48
 _SETS_ROWS = 256

@@ -36,6 +36,8 @@ from lodefield.llm.common import new_folder, table
 
 TOKENS = 1024
 END_ID = 2
+#: Weights of tokens, document count and attention cost in the fit; tokens are what sequences run out of.
+WEIGHTS = (1.0, 0.01, 0.01)
 _SPECIAL = "<|endoftext|>"
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, chunk int, number bigint, ids array<int>"
 
@@ -138,7 +140,7 @@ def best_fit(
     counts: dict[int, int],
     need,
     capacity: tuple[float, ...],
-    weights: tuple[float, ...] = (1.0, 1.0, 1.0),
+    weights: tuple[float, ...] = WEIGHTS,
     score: str = "norm",
 ) -> Plan:
     """Pack ``counts[c]`` items of every class ``c`` into bins of the given capacities.
@@ -208,7 +210,7 @@ def best_fit(
 
 
 def place(pieces: DataFrame, capacity_docs: int = TOKENS, capacity_cost: float = float(TOKENS) ** 2, size: int = TOKENS,
-          weights: tuple[float, ...] = (1.0, 1.0, 1.0), score: str = "norm") -> DataFrame:
+          weights: tuple[float, ...] = WEIGHTS, score: str = "norm") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for the written pieces."""
     per_chunk = pieces.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in per_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}
