@@ -65,12 +65,13 @@ V_SF = "/root/testdata/sf0.001"
 
 
 def test_quick_regression_kriging_improves_structured_residual(spark):
-    rng = np.random.default_rng(7)
+    # Two attributes without any place in them, and a trough along a diagonal that they cannot explain.
+    rng = np.random.default_rng(19)
     n = 400
-    x, y = rng.uniform(0, 1000, (2, n))
-    a1, a2 = np.sin(x / 150) + 0.1 * rng.normal(size=n), np.cos(y / 180) + 0.1 * rng.normal(size=n)
-    bump = 1.5 * np.exp(-((x - 300) ** 2 + (y - 600) ** 2) / (2 * 150**2))
-    pdf = pd.DataFrame({"x": x, "y": y, "a1": a1, "a2": a2, "z": 2 * a1 + 1.5 * a2**2 + bump, "sample_id": [f"s{i}" for i in range(n)]})
+    x, y = rng.uniform(0, 800, n), rng.uniform(0, 500, n)
+    moist, dense = rng.gamma(2.0, 1.0, n), rng.integers(0, 5, n).astype(float)
+    trough = -4.0 / (1.0 + ((x - 1.6 * y) / 120.0) ** 2)
+    pdf = pd.DataFrame({"x": x, "y": y, "a1": moist, "a2": dense, "z": 0.8 * moist - 0.5 * dense + trough, "sample_id": [f"p{i}" for i in range(n)]})
     out, rows = modelling.quick_regression_kriging(spark.createDataFrame(pdf), ["a1", "a2"], params=TreeParams(20, 3, 0.2))
     rmse = {r.model: r.rmse for r in rows.collect()}
     assert out.count() == 100 and out.filter("rk_pred is null").count() == 0
