@@ -9,8 +9,8 @@ share frequent tokens only share at least k of them, so only sets with k frequen
 indexed further, by combinations of two frequent tokens of one residue class modulo g: as g < k, two of the k
 common tokens fall in one class.  Candidates are verified on the whole sets.
 
-Groups of near copies do not yield all their pairs: sets that agree in one of their lowest tokens, or in a combination,
-are first verified against the smallest of them only.  Linked sets become one cluster, and pairs are made
+Groups of near copies do not yield all their pairs: of the sets that share a token, those that share many with the most
+central one, whose tokens are the most widespread, are first verified against it only.  Linked sets become one cluster, and pairs are made
 only between members of different clusters, so no link between clusters is lost.
 
 Defined results: null texts and texts without words have no shingles and no links; fewer words than ``k_words`` make one
@@ -27,7 +27,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefield.llm.common import new_folder, private, settings, table
@@ -62,6 +62,19 @@ def _least_k(n: int, percent: int) -> int:
     return int((np.minimum(m, np.maximum(LEAST_PREFIX, spare + 2 + m // 16)) - spare).min()) if n else 0
 
 
+def _k(n: str, percent: int) -> Column:
+    """The k of ``_prefix`` for a column of sizes."""
+    spare = F.floor(F.col(n) * (100 - percent) / 100)
+    return F.least(F.col(n), F.greatest(F.lit(LEAST_PREFIX), spare + 2 + F.floor(F.col(n) / 16))) - spare
+
+
+def _least_combinations(k: Column) -> Column:
+    """Combinations of two that k tokens have at least, however they fall into ``_CLASSES`` residue classes; sets of few tokens have more."""
+    each, more = F.floor(k / _CLASSES), F.pmod(k, F.lit(_CLASSES))
+    even = _CLASSES * each * (each - 1) / 2 + more * each
+    return F.greatest(even, F.lit(1))
+
+
 def _moduli(n: int, percent: int) -> list[int]:
     """Numbers of residue classes under which a set of ``n`` tokens meets the sets of similar size."""
     return ([1] if n * percent < _MANY * 100 else []) + ([_CLASSES] if n >= _MANY else [])
@@ -78,7 +91,7 @@ def _short(tokens: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``id, n, key, low, k, least_k, prefix``: size, digest of the set, its two lowest tokens, k and its extended prefix."""
+    """``id, n, key, k, least_k, prefix``: size, digest of the set, k and its extended prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,9 +101,9 @@ def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) ->
                 yield pd.DataFrame({
                     "id": part["id"].astype("Int64"), "n": [len(s) for s in sets],
                     "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "low": [_short(s[:2]) for s in sets], "k": [_prefix(len(s), percent)[1] for s in sets], "least_k": [_least_k(len(s), percent) for s in sets], "prefix": [_short(s[: _prefix(len(s), percent)[0]]) for s in sets]})
+                    "k": [_prefix(len(s), percent)[1] for s in sets], "least_k": [_least_k(len(s), percent) for s in sets], "prefix": [_short(s[: _prefix(len(s), percent)[0]]) for s in sets]})
 
-    return docs.mapInPandas(run, "id bigint, n bigint, key binary, low array<bigint>, k bigint, least_k bigint, prefix array<bigint>")
+    return docs.mapInPandas(run, "id bigint, n bigint, key binary, k bigint, least_k bigint, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame, k_words: int = K_WORDS) -> DataFrame:
@@ -152,11 +165,26 @@ def _clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .select("id", "n", F.coalesce("component", "id").alias("cluster")), "clusters")
 
 
-def _stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of every posting's members with its smallest member, for postings (``token, id, cluster, n``) over several clusters."""
-    first = postings.groupBy("token").agg(F.min("id").alias("hub"), F.min_by("n", "id").alias("hub_n"), F.min_by("cluster", "id").alias("hub_cluster"))
-    joined = postings.join(first, "token").filter("id <> hub and cluster <> hub_cluster")
-    return joined.filter(_sizes_fit("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+def _central_stars(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with the most central one of their token and size, for postings (``token, id, n, least_k, p``).
+
+    A set is central if most of its prefix is found elsewhere too, as in the text that copies were edited from.
+    """
+    rows = _written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "shared-tokens")
+    shared = postings.join(rows, "token")
+    central = _written(
+        shared.groupBy("id").agg((F.count(F.lit(1)) / F.max("p")).alias("part"), F.avg(F.log("rows")).alias("spread")), "central-sets")
+    # Two overlapping size classes, each as wide as sizes may differ and more.
+    size = F.log("n") / F.log(F.lit(1.5))
+    classes = F.array(2 * F.floor(size), 2 * F.floor(size + 0.5) + 1)
+    sized = shared.join(central, "id").select("token", F.explode(classes).alias("class"), "id", "n", "least_k", "part", "spread")
+    first = sized.groupBy("token", "class").agg(
+        F.max_by(F.struct(F.col("id").alias("hub"), F.col("n").alias("hub_n")), F.struct("part", "spread", -F.col("id"))).alias("most"))
+    met = sized.select("token", "class", "id", "n", "least_k").join(first.select("token", "class", "most.*"), ["token", "class"])
+    met = met.filter("id <> hub").filter(_sizes_fit("n", "hub_n", percent))
+    # A token may be met in both classes, so this asks for half of the least k at least.
+    often = met.groupBy("hub", "id").agg(F.count(F.lit(1)).alias("shared"), F.min("least_k").alias("least_k")).filter("shared >= least_k")
+    return often.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -211,17 +239,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = sets.filter("n > 0 and id is not null").groupBy("key", "n").agg(F.min("id").alias("rep"))
     reps = _written(groups.select(F.col("rep").alias("id"), "n").dropDuplicates(["id"]), "representatives")
 
-    # First clusters: sets that agree in one of their two lowest tokens, against the smallest of them.
-    lowest = sets.select("id", "n", "low").join(reps, ["id", "n"], "left_semi")
-    low = lowest.select("id", "n", F.col("id").alias("cluster"), F.explode("low").alias("token")).distinct()
-    links = verify(_stars(low, percent), texts, k_words, percent)
-    clusters = _clusters(reps, links)
-
     # Tokens of more than one prefix, over all sets; a token of one prefix finds no pair.
     tokens = sets.select("id", F.explode("prefix").alias("token"))
     repeated = _written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token"), "repeated-tokens")
-    sized = clusters.join(sets.select("id", "n", "k", "least_k").distinct(), ["id", "n"])
-    held = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "cluster", "k", "least_k"), "held-tokens")
+    sized = reps.join(sets.select("id", "n", "k", "least_k", F.size("prefix").alias("p")).distinct(), ["id", "n"])
+    alike = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "k", "least_k", "p"), "repeated-of-sets")
+
+    # First clusters: sets with many tokens of a central set, against that set only.
+    links = verify(_central_stars(alike, percent), texts, k_words, percent)
+    clusters = _clusters(reps, links)
+
+    held = alike.join(clusters.select("id", "cluster"), "id")
     classes = _written(
         held.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
         .filter("lo <> hi").select("token", (F.col("rows") > FREQUENT).alias("often")), "token-classes")
@@ -240,13 +268,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = F.greatest(F.least("k_a", "k_b") - F.least("f_a", "f_b"), F.lit(1))
     pairs = met.groupBy("a", "b", short.alias("short")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= short").select("a", "b")
 
-    # Combinations: against the smallest member first, then the pairs left between clusters.
+    # Pairs of frequent tokens only share at least k of them, which gives them so many combinations in common.
     postings = _written(_shared(_combinations(often.filter("f >= least_k"), percent)), "combinations")
-    links = links.unionByName(verify(pairs.unionByName(_stars(postings, percent)), texts, k_words, percent))
-    clusters = _clusters(reps, links)
-    open_ = _shared(postings.drop("cluster").join(clusters.select("id", "cluster"), "id"))
-    rest = side(open_, "a").join(side(open_, "b"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent)).select("a", "b")
-    found = components(links.unionByName(verify(rest, texts, k_words, percent)))
+    met = side(postings, "a").join(side(postings, "b"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent))
+    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    rest = counted.filter(F.col("shared") >= _least_combinations(F.least(_k("n_a", percent), _k("n_b", percent)))).select("a", "b")
+    found = components(links.unionByName(verify(pairs.unionByName(rest), texts, k_words, percent)))
 
     member = sets.select("id", "n", "key").join(groups.select("key", "rep"), "key", "left")
     named = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
