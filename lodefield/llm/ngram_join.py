@@ -38,6 +38,8 @@ K_WORDS = 5
 PERCENT = 75
 #: A token in more prefixes than this is frequent and is indexed in combinations only.
 FREQUENT = 40
+#: A token in more prefixes than this takes part in the first clustering, which spares large groups their pairs.
+_WIDE = 8
 #: Prefixes have at least this many tokens; smaller sets are their own prefix.
 LEAST_PREFIX = 160
 #: Residue classes of combinations, for pairs of sets of at least ``_MANY`` tokens; smaller ones have one class.
@@ -166,11 +168,11 @@ def _clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _central_stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets with the most central one of their token and size, for postings (``token, id, n, least_k, p``).
+    """Pairs of sets with the most central one of their wide token and size, for postings (``token, id, n, least_k, p``).
 
-    A set is central if most of its prefix is found elsewhere too, as in the text that copies were edited from.
+    A set is central if most of its prefix is found in many others too, as in the text that copies were edited from.
     """
-    rows = _written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "shared-tokens")
+    rows = _written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > _WIDE), "wide-tokens")
     shared = postings.join(rows, "token")
     central = _written(
         shared.groupBy("id").agg((F.count(F.lit(1)) / F.max("p")).alias("part"), F.avg(F.log("rows")).alias("spread")), "central-sets")
@@ -243,7 +245,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = sets.select("id", F.explode("prefix").alias("token"))
     repeated = _written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token"), "repeated-tokens")
     sized = reps.join(sets.select("id", "n", "k", "least_k", F.size("prefix").alias("p")).distinct(), ["id", "n"])
-    alike = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "k", "least_k", "p"), "repeated-of-sets")
+    with settings(docs.sparkSession, _BLOOM):
+        alike = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "k", "least_k", "p"), "repeated-of-sets")
 
     # First clusters: sets with many tokens of a central set, against that set only.
     links = verify(_central_stars(alike, percent), texts, k_words, percent)
