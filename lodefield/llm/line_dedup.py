@@ -63,6 +63,10 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str
     keyed = docs.withColumn(key, F.unhex(F.md5(F.col(text_col))))
     lines = keyed.select(key, F.explode(F.split(text_col, "\n")).alias("line")).select(key, _line_key(F.col("line")).alias("line_key"))
     hit = lines.join(found, "line_key").groupBy(key).agg(F.collect_set("line_key").alias(gone))
+    # Written first, so that the join below is of plain tables and Spark can split the copies of one text over tasks.
+    hit_at = new_folder(docs.sparkSession, "line-hits")
+    hit.write.parquet(hit_at)
+    hit = docs.sparkSession.read.parquet(hit_at)
     parts = F.split(text_col, "\n")
     counted = F.filter(parts, lambda x: _bare(x) != "")
     left = F.filter(parts, lambda x: ~F.array_contains(F.col(gone), _line_key(x)))
