@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are normalised (a leading space, spaces written as U+2581) and split into words: a run of spaces with the
-letters after it.  No piece crosses a word, so words are encoded on their own and each distinct word once: its
+letters after it, cut around ASCII characters that no longer piece holds, such as line breaks.  No piece crosses a
+word, so words are encoded on their own and each distinct word once: its
 substrings of bounded length are exploded and equi-joined to the piece table, the hits are grouped by word as the
 edges of a lattice, and a higher-order ``aggregate`` folds Viterbi over them: the segmentation with the
 greatest sum of piece scores; of equal sums, the one whose last piece is longer.  Characters without a piece become
-byte pieces.  Encoded words are joined back to the places where they stand.
+byte pieces.  The most frequent words, at most ``MOST_WORDS`` of at most 64 characters, are broadcast and looked up where the texts
+are read; the words of a text that are not among them are joined to the encoded words and brought to the text.
 
 The sums are those of a unigram model over the scores in the piece table.  For a table of a BPE model, whose
 scores are merge ranks, that is not the order of merges, so ids can differ from those of a BPE encoder;
@@ -17,12 +19,24 @@ gives an empty result; further columns are kept (columns named ``ids`` are repla
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodefield.llm.common import new_folder, private, table
 
 SPACE = "▁"
+#: The broadcast table has at most so many words, of at most so many characters.
+MOST_WORDS, _SHORT_WORD = 400_000, 64
+#: Words counted at once in a task before they are handed on.
+_BATCH_WORDS = 500_000
+#: Words whose lattices are made in one task.
+_TASK_WORDS = 40_000
 _UNKNOWN_PENALTY = 10.0
 _LOWEST = -1e8  # pieces scored below are never the better choice
 
@@ -41,22 +55,47 @@ def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, int, i
     return found, max((len(p) for p, _, _ in rows), default=1), model.piece_to_id("<0x00>"), lowest - _UNKNOWN_PENALTY
 
 
-def _words(text: Column) -> Column:
-    spaced = F.translate(F.concat(F.lit(" "), text), " ", SPACE)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.regexp_extract_all(spaced, F.lit(f"({SPACE}+[^{SPACE}]*)"), 1))
+def _splitter(pieces: list[str]) -> str:
+    """A pattern of the words that no piece crosses."""
+    joined = {c for p in pieces if len(p) > 1 for c in p}
+    alone = "".join(c for c in map(chr, range(128)) if c not in joined)
+    alone = "".join(f"\\x{ord(c):02x}" for c in alone)
+    return f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]+" if alone else "")
+
+
+def _spaced(text: str) -> str:
+    return (" " + text).replace(" ", SPACE) if text else ""
+
+
+def count_words(texts: DataFrame, pattern: str) -> DataFrame:
+    """``word, n``: the distinct words of a column ``text`` and how often they stand; counted per batch before the shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = re.compile(pattern).findall
+        for batch in batches:
+            held = Counter()
+            for text in batch["text"]:
+                held.update(find(_spaced(text)))
+                if len(held) > _BATCH_WORDS:
+                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    held.clear()
+            if held:
+                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+
+    return texts.filter("text is not null").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: int, unknown: float) -> DataFrame:
-    """``word, ids`` for distinct ``word`` rows."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    """``word, n, ids`` for distinct rows ``word, n``."""
+    words = words if "n" in words.columns else words.withColumn("n", F.lit(1).cast("bigint"))
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     ends = starts.select(
-        "word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + longest))).alias("end"))
+        "word", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + longest))).alias("end"))
     parts = ends.withColumn("piece", F.expr("substring(word, start + 1, end - start)"))
     # The piece table is bounded by the vocabulary.
     hits = parts.join(F.broadcast(pieces), "piece", "left").filter("piece_id is not null or end = start + 1")
     edge = F.struct("end", "start", F.coalesce("piece_id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    lattice = hits.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    lattice = hits.groupBy("word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def better(best: Column, e: Column) -> Column:
         sum_ = F.get(best, e["start"])["sum"] + e["score"]
@@ -68,7 +107,7 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: i
             .otherwise(best))
 
     zero = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(-1).alias("id")))
-    best = lattice.select("word", F.aggregate("edges", zero, better).alias("best"))
+    best = lattice.select("word", "n", F.aggregate("edges", zero, better).alias("best"))
 
     def back(path: Column, k: Column) -> Column:
         node = F.get(F.col("best"), k)
@@ -83,26 +122,58 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, byte_zero: i
     length = F.length("word")
     start = F.struct(length.alias("at"), F.array().cast("array<int>").alias("ids"))
     path = F.aggregate(F.sequence(length, F.lit(1), F.lit(-1)), start, back)
-    return best.select("word", path["ids"].alias("ids"))
+    return best.select("word", "n", path["ids"].alias("ids"))
+
+
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The short words of at least a certain count, which at most ``most`` words have."""
+    short = words.filter(F.length("word") <= _SHORT_WORD)
+    level = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    for r in sorted(short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["level"]
+    return short.filter(level >= least) if least is not None else short.limit(0)
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of the text."""
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """``docs`` with ``ids``, the piece ids of the text; ``most_words`` bounds the broadcast table of frequent words."""
     spark = docs.sparkSession
     pieces, longest, byte_zero, unknown = piece_table(spark, model_file)
-    text = F.col(text_col)
-    # Equal texts have equal ids: places are known by the hash of the text.
-    key = private(docs, "_text_key")
+    pattern = _splitter([r["piece"] for r in pieces.select("piece").collect()])  # bounded by the vocabulary
+    text = F.col(text_col).cast("string")
+    counted_path, words_path = new_folder(spark, "counted-words"), new_folder(spark, "encoded-words")
+    count_words(docs.select(text.alias("text")), pattern).write.parquet(counted_path)
+    counted = spark.read.parquet(counted_path)
+    # Dealt out by word once: the lattice is grouped by word where its edges are made, many times as many as words.
+    tasks = 1 + counted.count() // _TASK_WORDS
+    encode_words(counted.repartition(tasks, "word"), pieces, longest, byte_zero, unknown).write.parquet(words_path)
+    words = spark.read.parquet(words_path)
+
+    known = spark.sparkContext.broadcast({r["word"]: tuple(r["ids"]) for r in _frequent(words, most_words).collect()})
+
+    @F.pandas_udf("array<string>")
+    def rare(texts: pd.Series) -> pd.Series:
+        find, have = re.compile(pattern).findall, known.value
+        return pd.Series([sorted({w for w in find(_spaced(t)) if w not in have}) if t else [] for t in texts], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def ids_of(texts: pd.Series, others: pd.Series) -> pd.Series:
+        find, have, out = re.compile(pattern).findall, known.value, []
+        for t, more in zip(texts, others):
+            own = {} if more is None else {r["word"]: r["ids"] for r in more}
+            out.append(None if t is None else np.fromiter(
+                (i for w in find(_spaced(t)) for i in (have[w] if w in have else own[w])), np.int32))
+        return pd.Series(out, dtype=object)
+
+    # Equal texts have equal ids: texts are known by their digest.
+    key, others = private(docs, "_text_key"), private(docs, "_rare_words")
+    places = docs.filter(text.isNotNull()).select(F.unhex(F.md5(text)).alias(key), F.explode(rare(text)).alias("word"))
+    found = places.join(words.select("word", "ids"), "word").groupBy(key).agg(F.collect_set(F.struct("word", "ids")).alias(others))
     keyed = docs.drop("ids").withColumn(key, F.unhex(F.md5(text)))
-    texts = docs.filter(text.isNotNull()).select(text.alias("text")).distinct()
-    places = texts.select(F.unhex(F.md5("text")).alias(key), F.posexplode(_words(F.col("text"))).alias("at", "word"))
-    path = new_folder(spark, "encoded-words")
-    encode_words(places.select("word").distinct(), pieces, longest, byte_zero, unknown).write.parquet(path)
-    words = spark.read.parquet(path)
-    done = places.join(words, "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all"))
-    done = done.select(key, F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
-    none = F.when(text.isNotNull(), F.array().cast("array<int>"))
-    return keyed.join(done, key, "left").withColumn("ids", F.coalesce("ids", none)).drop(key)
+    return keyed.join(found, key, "left").withColumn("ids", ids_of(text, F.col(others))).drop(key, others)
 
 
 def decode(rows: DataFrame, model_file: str, key: str, ids_col: str = "ids") -> DataFrame:
