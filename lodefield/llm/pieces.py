@@ -32,7 +32,7 @@ from lodefield.llm.common import new_folder, private, table
 
 SPACE = "▁"
 #: The broadcast table has at most so many words, of at most so many characters.
-MOST_WORDS, _SHORT_WORD = 400_000, 64
+MOST_WORDS, _SHORT_WORD = 200_000, 64
 #: Words counted at once in a task before they are handed on.
 _BATCH_WORDS = 500_000
 #: Words whose lattices are made in one task.
@@ -152,7 +152,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", most_words:
     encode_words(counted.repartition(tasks, "word"), pieces, longest, byte_zero, unknown).write.parquet(words_path)
     words = spark.read.parquet(words_path)
 
-    known = spark.sparkContext.broadcast({r["word"]: tuple(r["ids"]) for r in _frequent(words, most_words).collect()})
+    few = _frequent(words, most_words).select("word", "ids").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(few["word"].to_pylist(), map(tuple, few["ids"].to_pylist()))))
 
     @F.pandas_udf("array<string>")
     def rare(texts: pd.Series) -> pd.Series:
