@@ -4,7 +4,7 @@ Texts whose shingle sets are equal are joined to one representative first.  Shin
 hash.  Two sets that are similar enough share their first k common tokens within the first ``n - ceil(t n) + k``
 tokens of each: the prefix, extended by k - 1.  A token is frequent if more than ``FREQUENT`` sets of different
 clusters hold it in their prefixes.  Pairs that share a rare token are found by postings of single tokens, and
-stay candidates if the rare tokens they share and the frequent ones they may share can add up to k.  Pairs that
+stay candidates if the rare tokens they share and the frequent ones they may share can add up to the k of their two sizes.  Pairs that
 share frequent tokens only share at least k of them, so only sets with k frequent tokens in their prefix are
 indexed further, by combinations of two frequent tokens of one residue class modulo g: as g < k, two of the k
 common tokens fall in one class.  Candidates are verified on the whole sets.
@@ -64,10 +64,19 @@ def _least_k(n: int, percent: int) -> int:
     return int((np.minimum(m, np.maximum(LEAST_PREFIX, spare + 2 + m // 16)) - spare).min()) if n else 0
 
 
-def _k(n: str, percent: int) -> Column:
-    """The k of ``_prefix`` for a column of sizes."""
-    spare = F.floor(F.col(n) * (100 - percent) / 100)
-    return F.least(F.col(n), F.greatest(F.lit(LEAST_PREFIX), spare + 2 + F.floor(F.col(n) / 16))) - spare
+def _both_k(a: str, b: str, percent: int) -> Column:
+    """Common tokens that two similar sets of sizes ``a`` and ``b`` have in both prefixes at least.
+
+    Similar sets share ``need`` tokens, so ``n - need`` of a set are not shared: its prefix holds the other's first
+    ``prefix - (n - need)`` common tokens.
+    """
+    need = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+
+    def held(n: str) -> Column:
+        spare = F.floor(F.col(n) * (100 - percent) / 100)
+        return F.least(F.col(n), F.greatest(F.lit(LEAST_PREFIX), spare + 2 + F.floor(F.col(n) / 16))) - F.col(n)
+
+    return F.least(held(a), held(b)) + need
 
 
 def _least_combinations(k: Column) -> Column:
@@ -244,9 +253,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Tokens of more than one prefix, over all sets; a token of one prefix finds no pair.
     tokens = sets.select("id", F.explode("prefix").alias("token"))
     repeated = _written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("token"), "repeated-tokens")
-    sized = reps.join(sets.select("id", "n", "k", "least_k", F.size("prefix").alias("p")).distinct(), ["id", "n"])
+    sized = reps.join(sets.select("id", "n", "least_k", F.size("prefix").alias("p")).distinct(), ["id", "n"])
     with settings(docs.sparkSession, _BLOOM):
-        alike = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "k", "least_k", "p"), "repeated-of-sets")
+        alike = _written(tokens.join(repeated, "token").join(sized, "id").select("token", "id", "n", "least_k", "p"), "repeated-of-sets")
 
     # First clusters: sets with many tokens of a central set, against that set only.
     links = verify(_central_stars(alike, percent), texts, k_words, percent)
@@ -267,15 +276,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return postings.select("token", F.col("id").alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in ("n", "cluster", *more)])
 
     apart = "a < b and cluster_a <> cluster_b"
-    met = side(rare, "a", "k", "f").join(side(rare, "b", "k", "f"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent))
-    short = F.greatest(F.least("k_a", "k_b") - F.least("f_a", "f_b"), F.lit(1))
+    met = side(rare, "a", "f").join(side(rare, "b", "f"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent))
+    short = F.greatest(_both_k("n_a", "n_b", percent) - F.least("f_a", "f_b"), F.lit(1))
     pairs = met.groupBy("a", "b", short.alias("short")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= short").select("a", "b")
 
     # Pairs of frequent tokens only share at least k of them, which gives them so many combinations in common.
     postings = _written(_shared(_combinations(often.filter("f >= least_k"), percent)), "combinations")
     met = side(postings, "a").join(side(postings, "b"), "token").filter(apart).filter(_sizes_fit("n_a", "n_b", percent))
     counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-    rest = counted.filter(F.col("shared") >= _least_combinations(F.least(_k("n_a", percent), _k("n_b", percent)))).select("a", "b")
+    rest = counted.filter(F.col("shared") >= _least_combinations(_both_k("n_a", "n_b", percent))).select("a", "b")
     found = components(links.unionByName(verify(pairs.unionByName(rest), texts, k_words, percent)))
 
     member = sets.select("id", "n", "key").join(groups.select("key", "rep"), "key", "left")
