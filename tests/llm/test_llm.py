@@ -386,6 +386,14 @@ def test_pieces_round_trip(spark):
     assert [back[i] for i in range(1, len(texts) + 1)] == texts
 
 
+def test_pieces_of_rare_words_are_joined(spark):
+    texts = [*EDGE, "one two\nthree 42 " + "x" * 90, "one two\nthree 42", "one two\nthree 42", "two\r\n\tone 7b7"]
+    given = docs(spark, texts)
+    every = {r.doc_id: r.ids for r in pieces.encode(given, pieces.public_model()).collect()}
+    for most in (0, 2):
+        assert {r.doc_id: r.ids for r in pieces.encode(given, pieces.public_model(), most_words=most).collect()} == every
+
+
 # Pipeline
 
 def test_pipeline_keeps_columns_and_packs_what_stays(spark, sf):
