@@ -9,15 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefield.operators.blocks import AXES
-from lodefield.operators.kriging import FAST_ROWS, sample_points, solve_kriging
+from lodefield.operators.blocks import AXES, fit_grid
+from lodefield.operators.kriging import FAST_ROWS, distinct_points, fit_cells, sample_points, solve_kriging
 from lodefield.operators.variogram import MODELS, Variogram
+from lodefield.sources.staging import staged
 
 # Search box and the error given to a fold that fails.
 RANGE_BOX = (10.0, 500.0)
 SILL_BOX = (0.1, 10.0)
 NUGGET_BOX = (0.0, 5.0)
 FAILED_RMSE = 1e6
+# Groups of (cell, trials) wanted at least.
+_GROUPS = 200
 
 
 def _halton(index: int, base: int) -> float:
@@ -57,33 +60,39 @@ def trials_near(best: Variogram, n: int, shrink: float = 0.2) -> list[Variogram]
     return trials
 
 
-def cross_validate(points: DataFrame, trials: list[Variogram], first_id: int = 0, k: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(cells: DataFrame, trials: list[Variogram], first_id: int = 0, k: int = 5, seed: int = 42) -> DataFrame:
     """``trial, model, range, sill, nugget, rmse``: mean fold RMSE of each trial.
 
-    ``points`` are distinct locations with their ``value``, at most one system's worth;
-    each (trial, fold) is one task's group of that many rows.
+    ``cells`` are the points per cell of ``fit_cells`` with their ``value``.  Each location is
+    held out once, in the cell that owns it, and estimated from the other folds' points in
+    and around the cell; each (cell, part of the trials) is one task's group.  A fold
+    fails when a system of it fails.
     """
-    groups = (
-        points.withColumn("held", F.pmod(F.xxhash64(F.lit(seed + 1), *AXES), F.lit(k)).cast("int"))
-        .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1))))
-        .repartition(min(len(trials) * k, 2000), "trial", "fold")
-    )
+    keys = ["block_id", "_cell"]
+    shares = min(len(trials), math.ceil(_GROUPS / max(1, cells.select(*keys).distinct().count())))
+    groups = cells.withColumn("held", F.pmod(F.xxhash64(F.lit(seed + 1), *AXES), F.lit(k)).cast("int")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     by_id = dict(enumerate(trials))
 
     def score(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        trial, fold = keys
-        held = (rows["held"] == fold).to_numpy()
-        xyz, z = rows[list(AXES)].to_numpy(float), rows["value"].to_numpy(float)
-        rmse = FAILED_RMSE
-        if held.any() and not held.all():
-            system = solve_kriging(xyz[~held], z[~held], by_id[trial])
-            if system is not None:
-                rmse = float(np.sqrt(np.mean((system.predict(xyz[held])[0] - z[held]) ** 2)))
-        return pd.DataFrame({"trial": [trial], "fold": [fold], "rmse": [rmse if math.isfinite(rmse) else FAILED_RMSE]})
-
-    scored = groups.groupBy("trial", "fold").applyInPandas(score, "trial int, fold int, rmse double")
-    table = points.sparkSession.createDataFrame(
+        xyz, z, own = rows[list(AXES)].to_numpy(float), rows["value"].to_numpy(float), rows["_own"].to_numpy(bool)
+        found = []
+        for trial in range(int(keys[-1]), len(by_id), shares):
+            for fold in range(k):
+                held = (rows["held"] == fold).to_numpy()
+                wanted, squares, failed = held & own, 0.0, False
+                if wanted.any():
+                    system = None if held.all() else solve_kriging(xyz[~held], z[~held], by_id[trial])
+                    if system is not None:
+                        squares = float(np.sum((system.predict(xyz[wanted])[0] - z[wanted]) ** 2))
+                    failed = system is None or not math.isfinite(squares)
+                found.append((trial, fold, 0.0 if failed else squares, int(wanted.sum()), failed))
+        return pd.DataFrame(found, columns=["trial", "fold", "squares", "n", "failed"])
+
+    parts = groups.groupBy(*keys, "share").applyInPandas(score, "trial int, fold int, squares double, n bigint, failed boolean")
+    scored = parts.groupBy("trial", "fold").agg(
+        F.when(F.bool_or("failed") | (F.sum("n") == 0), F.lit(FAILED_RMSE)).otherwise(F.sqrt(F.try_divide(F.sum("squares"), F.sum("n")))).alias("rmse"))
+    table = cells.sparkSession.createDataFrame(
         [(i, t.model, t.range, t.sill, t.nugget) for i, t in by_id.items()],
         "trial int, model string, range double, sill double, nugget double")
     mean = scored.groupBy("trial").agg(F.avg("rmse").alias("rmse"))
@@ -92,19 +101,22 @@ def cross_validate(points: DataFrame, trials: list[Variogram], first_id: int = 0
 
 
 def search_variogram(
-    train: DataFrame, n_trials: int = 50, n_max: int = FAST_ROWS, k: int = 5, seed: int = 42, value: str = "grade",
+    train: DataFrame, n_trials: int = 50, n_max: int = FAST_ROWS, k: int = 5, seed: int = 42, value: str = "grade", margin: float = 0.25,
+    fast: bool = False,
 ) -> DataFrame:
     """Two parallel rounds: an even cover of the box, then a finer one around its best.
 
-    Both score a keyed subsample of at most ``n_max`` locations.
+    Both score all locations, in cells of at most ``n_max`` points; ``fast`` scores a keyed
+    subsample of at most ``n_max`` locations.
     """
     n_first = max(1, math.ceil(0.6 * n_trials))
     columns = "trial int, model string, range double, sill double, nugget double, rmse double"
     spark = train.sparkSession
-    points = spark.createDataFrame(sample_points(train, n_max, seed, value))
-    first = cross_validate(points, first_trials(n_first), 0, k, seed).toPandas()
+    points = spark.createDataFrame(sample_points(train, n_max, seed, value)) if fast else staged(distinct_points(train, value), "points")
+    cells = staged(fit_cells(points, fit_grid(points, (1, 1, 1)), n_max, margin)[0], "cells")
+    first = cross_validate(cells, first_trials(n_first), 0, k, seed).toPandas()
     if n_trials > n_first:
-        second = cross_validate(points, trials_near(best_variogram(first), n_trials - n_first), n_first, k, seed).toPandas()
+        second = cross_validate(cells, trials_near(best_variogram(first), n_trials - n_first), n_first, k, seed).toPandas()
         first = pd.concat([first, second], ignore_index=True)
     return spark.createDataFrame(first, columns)
 

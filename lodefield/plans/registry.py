@@ -730,8 +730,9 @@ def _(spark, sf):
 @query("kriging_2d")
 def _(spark, sf):
     train, test = _sets(spark, sf)
-    system = kriging.fit_global(train, _MODEL, dims=2, variance=True)
-    return kriging.apply_global(test.select("sample_id", "x", "y", "depth", "grade"), system)
+    test = test.select("sample_id", "x", "y", "depth", "grade")
+    return kriging.krige_blocks(train, test, _MODEL, (1, 1, 1), dims=2, variance=True).drop("block_id")
+    """All places in one system while they fit it, else in cells."""
 
 
 @query("kriging_out_of_fold")
@@ -780,9 +781,10 @@ def _(spark, sf):
     train, test, features = _modelling(spark, sf)
     known = kriging.krige_out_of_fold(train, _MODEL, n_max=1500)
     clusters = trees.fit_clusters(train, restarts=2)
-    residual = trees.assign_clusters(known.withColumn("residual", F.col("grade") - F.col("kriging_pred")), clusters)
+    known = known.withColumn("residual", F.col("grade") - F.col("kriging_pred")).filter("residual is not null")
+    residual = trees.assign_clusters(known, clusters)
     local = trees.fit_cluster_models(residual, features, params=_SMALL_TREES)
-    kriged = kriging.apply_global(test, kriging.fit_global(train, _MODEL))
+    kriged = kriging.krige_blocks(train, test, _MODEL, (1, 1, 1))
     return trees.predict_hybrid(kriged, clusters, local, features).select("sample_id", "grade", "cluster", "kriging_pred", "hybrid_pred")
 
 

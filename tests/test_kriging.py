@@ -159,3 +159,44 @@ def test_edge_rows_and_constant_axis(spark):
     assert half[5.0] == 4 and half[1.0] == 1 and {r.bk for r in blocks.assign_blocks(df, grid).collect()} == {0}
     shared = [r.bi for r in blocks.assign_blocks(df, grid, "shared").filter("x = 1").collect()]
     assert sorted(shared) == [0, 1]
+
+
+def dense_field():
+    # A cluster holds most rows, so that blocks of equal width cannot hold equal numbers.
+    pdf = field(900)
+    pdf.loc[200:, ["x", "y", "depth"]] *= 0.05
+    pdf["grade"] = 30 + np.sin(pdf.x / 20) * 5 + np.cos(pdf.y / 25) * 3 + pdf.depth / 50
+    return pdf
+
+
+def test_every_location_is_in_the_system_of_its_cell(spark):
+    pdf = dense_field()
+    points = kriging.distinct_points(spark.createDataFrame(pdf))
+    near, splits = kriging.fit_cells(points, blocks.fit_grid(points, (2, 2, 1)), 100, 0.25)
+    rows = near.toPandas()
+    own = rows[rows._own]
+    assert len(own) == 900 and len(own.drop_duplicates(["x", "y", "depth"])) == 900 and splits
+    sizes = rows.groupby(["block_id", "_cell"])._own.agg(["size", "sum"])
+    assert sizes["size"].max() <= 100 and sizes["sum"].min() > 0 and (sizes["size"] > sizes["sum"]).any()
+    # Kriging is exact at the data, so a training row that enters no system shows.
+    train = spark.createDataFrame(pdf)
+    out = by_id(kriging.krige_blocks(train, train, V, "auto", 100))
+    assert len(out) == 900 and np.allclose(out.kriging_pred, out.grade)
+    flat = by_id(kriging.krige_blocks(train, train, V, (1, 1, 1), 100, dims=2, variance=True))
+    assert np.allclose(flat.kriging_pred, flat.grade) and np.allclose(flat.depth, out.depth) and np.allclose(flat.kriging_pred_var, 0, atol=1e-6)
+
+
+def test_out_of_fold_and_search_use_rows_beyond_one_system(spark):
+    pdf = dense_field()
+    # A location's own twin in another fold gives its value back, unless the location was not sampled.
+    twins = pd.concat([pdf.assign(sample_id=[f"s{i}-{j}" for i in range(900)]) for j in range(12)])
+    out = by_id(kriging.krige_out_of_fold(spark.createDataFrame(twins), V, n_max=100))
+    assert len(out) == 12 * 900 and np.allclose(out.kriging_pred, out.grade)
+    # An extreme value moves the score, whichever row it is.
+    cells, _ = kriging.fit_cells(kriging.distinct_points(spark.createDataFrame(pdf)), blocks.fit_grid(spark.createDataFrame(pdf), (1, 1, 1)), 100, 0.25)
+    cells = cells.cache()
+    base = search.cross_validate(cells, [V], k=2).first().rmse
+    for at in (0, 899):
+        here = (F.col("x") == float(pdf.x[at])) & (F.col("y") == float(pdf.y[at]))
+        moved = cells.withColumn("value", F.when(here, F.col("value") + 1000).otherwise(F.col("value")))
+        assert search.cross_validate(moved, [V], k=2).first().rmse > base + 5
