@@ -12,8 +12,11 @@ HISTOGRAM_BINS = 40
 CALIBRATION_BINS = 15
 
 
-def evaluate(df: DataFrame, preds: list[str], truth: str = "grade") -> DataFrame:
-    """``model, n, mae, rmse, r2, evs, mape, bias`` in one pass for any number of models."""
+def evaluate(df: DataFrame, preds: list[str], truth: str = "grade", missing: bool = False) -> DataFrame:
+    """``model, n, mae, rmse, r2, evs, mape, bias`` in one pass for any number of models.
+
+    ``missing`` adds ``not_estimated``, the rows with a truth and a NULL estimate.
+    """
     aggs = []
     for i, p in enumerate(preds):
         y = F.when(F.col(p).isNotNull(), F.col(truth))
@@ -27,6 +30,7 @@ def evaluate(df: DataFrame, preds: list[str], truth: str = "grade") -> DataFrame
             (1 - F.try_divide(F.var_pop(err), F.var_pop(y))).alias("evs"),
             (F.avg(F.abs(err) / F.greatest(F.abs(y), F.lit(1e-9))) * 100).alias("mape"),
             F.avg(err).alias("bias"),
+            *([F.count_if(F.col(truth).isNotNull() & F.col(p).isNull()).alias("not_estimated")] if missing else []),
         ).alias(f"m{i}"))
     wide = df.agg(*aggs)
     return wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(preds))])))

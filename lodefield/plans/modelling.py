@@ -113,7 +113,9 @@ def run_model(
     """Kriging, trees, hybrid and fusion; fusion is fitted on held-out training rows.
 
     Every model sees the same fit rows, fusion learns from the validation rows'
-    predictions, and all four are scored on the test rows.
+    predictions, and all four are scored on the test rows.  A test row that kriging
+    cannot estimate stays, with its status and NULL for every model that needs the
+    kriging estimate; the metrics count it as ``not_estimated``.
     """
     table = search.search_variogram(train, n_trials, n_max, seed=seed)
     v = search.best_variogram(table.toPandas())
@@ -122,8 +124,6 @@ def run_model(
 
     rest = samples.union_sets(valid, test)
     rest = staged(krige_blocks(fit_rows, rest, v, blocks, n_max, seed=seed), "kriged")
-    # A failed block has a NULL estimate; models downstream take rows with one.
-    rest = rest.filter("kriging_pred is not null")
 
     tree_trials, tree = trees.grid_search(
         fit_rows, features, grid or {"depth": (4, 6), "step": (0.1, 0.2)}, base_params)
@@ -138,10 +138,13 @@ def run_model(
 
     preds = ["kriging_pred", "xgb_pred", "hybrid_pred"]
     held, final = train_test(scored)
-    stack = fusion.fit_stack(held, preds, params=meta_params, seed=seed)
-    final = fusion.apply_stack(final, stack, preds)
+    # A failed or empty block has NULL estimates, which the fusion neither learns from nor completes.
+    known = F.col("kriging_pred").isNotNull()
+    stack = fusion.fit_stack(held.filter(known), preds, params=meta_params, seed=seed)
+    final = fusion.apply_stack(final.filter(known), stack, preds).unionByName(
+        final.filter(~known).withColumn("fusion_pred", F.lit(None).cast("double")))
     return ModelRun(
-        final, metrics.evaluate(final, [*preds, "fusion_pred"]), table, search.search_stats(table), tree_trials,
+        final, metrics.evaluate(final, [*preds, "fusion_pred"], missing=True), table, search.search_stats(table), tree_trials,
         stack[1].frame(train.sparkSession), v, tree, features, fit_rows)
 
 

@@ -52,6 +52,24 @@ def test_modelling_run_and_exports(spark, prepared, tmp_path):
     assert all(t.limit(1).count() == 1 for t in tables_.values())
 
 
+def test_modelling_run_keeps_targets_without_an_estimate(spark):
+    rng = np.random.default_rng(5)
+
+    def rows(n, name, lo, hi):
+        at = pd.DataFrame({"x": rng.uniform(lo, hi, n), "y": rng.uniform(0, 50, n), "depth": -rng.uniform(0, 50, n)})
+        return spark.createDataFrame(at.assign(grade=30 + at.x / 10, sample_id=[f"{name}{i}" for i in range(n)]))
+
+    train, test = rows(300, "a", 0, 30), rows(60, "b", 0, 30).unionByName(rows(25, "c", 80, 100))
+    run = modelling.run_model(
+        train, test, ["x", "y", "depth"], n_trials=1, grid={"depth": (2,)}, residual_params=QUICK, meta_params=QUICK, base_params=QUICK, blocks=(5, 1, 1))
+    got = run.predictions.toPandas()
+    far = got[got.sample_id.str.startswith("c")]
+    assert len(got) == 85 and len(far) == 25 and set(far.kriging_pred_status) == {"no_data"}
+    assert far[["kriging_pred", "hybrid_pred", "fusion_pred"]].isna().all().all() and got.xgb_pred.notna().all()
+    counts = {r.model: (r.n, r.not_estimated) for r in run.metrics.collect()}
+    assert counts == {"kriging_pred": (60, 25), "xgb_pred": (85, 0), "hybrid_pred": (60, 25), "fusion_pred": (60, 25)}
+
+
 def test_report_tables_and_set_export(spark, prepared, tmp_path):
     train, test, _ = prepared
     out = modelling.report_tables(train, test, V.surface(spark, V_SF), line="line_no")
