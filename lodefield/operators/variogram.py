@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,8 @@ def gamma_column(h: Column, v: Variogram) -> Column:
 
 
 MAX_OFFSETS = 200_000
+# Node pairs held at once.
+_MEET_CELLS = 1_000_000
 
 
 def variogram_nodes(df: DataFrame, cell: tuple[float, float, float], value: str = "grade") -> DataFrame:
@@ -89,10 +93,74 @@ def lag_table(
 ) -> DataFrame:
     """Experimental variogram ``lag, h, pairs, gamma`` over all point pairs within the last lag.
 
-    Points are first reduced to nodes of a grid of ``cell`` size.  The squared
-    differences of all pairs between two nodes follow from the nodes' sums, so the
-    work grows with occupied nodes times a fixed number of offsets, never with the
-    pairs.  Pair distance is the distance between nodes; ``cell`` sets its precision.
+    Points are first reduced to nodes of a grid of ``cell`` size.  The squared differences
+    of all pairs between two nodes follow from the nodes' sums, and their mean squared
+    distance from the nodes' mean places and spreads; its root decides their lag.  So only
+    pairs of nodes that straddle a lag's edge can be in the wrong one: take cells well below
+    half a lag.  Nodes meet in boxes as wide as the last lag and the boxes next to them, so
+    a task holds at most a box's cells, however many points there are.
+    """
+    reach = float(lag * n_lags)
+    rows = df.filter(F.col(value).isNotNull())
+    # Centring keeps n*sum(z^2) from cancelling against the squared sum.
+    mean = rows.agg(F.avg(value)).first()[0] or 0.0
+    z = F.col(value) - F.lit(mean)
+    axes = ("x", "y", "depth")
+    keys = [F.floor(F.col(a) / F.lit(float(c))).cast("bigint").alias(k) for a, c, k in zip(axes, cell, "ijk")]
+    nodes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(z).alias("s"), F.sum(z * z).alias("q"),
+        *[F.avg(a).alias(f"m_{a}") for a in axes], sum((F.var_pop(a) for a in axes), F.lit(0.0)).alias("v"))
+    # Nodes so many cells apart are beyond the last lag.
+    span = [math.floor(reach / c) + 1 for c in cell]
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
+    offsets = F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(o, ("oi", "oj", "ok"))]) for o in ahead])
+    boxes = nodes.withColumn("o", F.explode(offsets)).select(
+        *[(F.floor(F.col(k) / F.lit(s)) - F.col(f"o.o{k}")).cast("bigint").alias(f"b{k}") for k, s in zip("ijk", span)],
+        (F.expr("o.oi = 0 and o.oj = 0 and o.ok = 0")).alias("home"), "n", "s", "q", *[f"m_{a}" for a in axes], "v")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((3, n_lags))
+
+        def add(h2: np.ndarray, pairs: np.ndarray, squares: np.ndarray) -> None:
+            h = np.sqrt(h2)
+            near = (h < reach) & (pairs > 0)
+            at = np.minimum((h[near] / lag).astype(int), n_lags - 1)
+            for row, weight in enumerate((pairs[near], pairs[near] * h[near], squares[near])):
+                total[row] += np.bincount(at, weight, n_lags)
+
+        rows = rows.sort_values("home", ascending=False)
+        n, s, q, v = (rows[c].to_numpy(float) for c in ("n", "s", "q", "v"))
+        places, own = rows[[f"m_{a}" for a in axes]].to_numpy(float), int(rows["home"].sum())
+        m = n[:own]
+        add(2 * v[:own] * m / np.maximum(m - 1, 1), m * (m - 1) / 2, m * q[:own] - s[:own] ** 2)
+        size = max(1, _MEET_CELLS // len(rows))
+        for lo in range(0, own, size):
+            a = np.arange(lo, min(own, lo + size))[:, None]
+            b = np.arange(lo, len(rows))[None, :]
+            h2 = v[a] + v[b]
+            for axis in places.T:
+                h2 = h2 + (axis[a] - axis[b]) ** 2
+            ia, ib = np.nonzero((b > a) & (h2 < reach * reach))
+            near, a, b = h2[ia, ib], a[ia, 0], b[0, ib]
+            add(near, n[a] * n[b], n[b] * q[a] + n[a] * q[b] - 2 * s[a] * s[b])
+        return pd.DataFrame({"lag": np.arange(n_lags, dtype=np.int32), "p": total[0], "hp": total[1], "sq": total[2]})
+
+    met = boxes.groupBy("bi", "bj", "bk").applyInPandas(meet, "lag int, p double, hp double, sq double")
+    return (
+        met.groupBy("lag").agg(F.sum("p").alias("pairs"), F.sum("hp").alias("hp"), F.sum("sq").alias("sq"))
+        .filter("pairs > 0")
+        .select("lag", (F.col("hp") / F.col("pairs")).alias("h"), F.col("pairs").cast("bigint").alias("pairs"),
+                (F.col("sq") / (2 * F.col("pairs"))).alias("gamma"))
+    )
+
+
+def cell_lag_table(
+    df: DataFrame, lag: float, n_lags: int, cell: tuple[float, float, float], value: str = "grade",
+) -> DataFrame:
+    """``lag_table`` by the offsets between cells, as the SQL of ``variogram_lags`` has it.
+
+    Pair distance is the distance between cells, so lags are right only for points on cell
+    centres; nothing is fitted to this table.
     """
     # Centring keeps n*sum(z^2) from cancelling against the squared sum.
     mean = df.agg(F.avg(value)).first()[0] or 0.0

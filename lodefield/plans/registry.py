@@ -297,6 +297,8 @@ def _(spark, sf):
 
 
 _LAG, _LAGS, _CELL = 60.0, 5, (100.0, 100.0, 10.0)
+# Cells of the tables that variograms are fitted to.
+_FIT_CELL = (15.0, 15.0, 2.0)
 
 
 @query("variogram_lags", sql(f"""
@@ -314,7 +316,8 @@ _LAG, _LAGS, _CELL = 60.0, 5, (100.0, 100.0, 10.0)
     select lag, {rnd('sum(h * p) / sum(p) as h')}, cast(sum(p) as bigint) as pairs, {rnd('sum(sq) / (2 * sum(p)) as gamma')}
     from pairs group by lag having sum(p) > 0""", "cleaned"))
 def _(spark, sf):
-    return variogram.lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _CELL)
+    """Lags by cell offsets, as in the SQL; the fits below take lags from the points' own places."""
+    return variogram.cell_lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _CELL)
 
 
 _TRIALS_SQL = """select hole_id as trial, case hole_id % 3 when 0 then 'spherical' when 1 then 'exponential' else 'gaussian' end as model,
@@ -707,7 +710,7 @@ def _(spark, sf):
 
 @query("variogram_fit")
 def _(spark, sf):
-    fitted, error = variogram.fit_variogram(variogram.lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _CELL))
+    fitted, error = variogram.fit_variogram(variogram.lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _FIT_CELL))
     return spark.createDataFrame([(fitted.model, fitted.range, fitted.sill, fitted.nugget, error)],
                                  "model string, range double, sill double, nugget double, error double")
 
@@ -729,10 +732,10 @@ def _(spark, sf):
 
 @query("kriging_2d")
 def _(spark, sf):
+    """All places in one system while they fit it, else in cells."""
     train, test = _sets(spark, sf)
     test = test.select("sample_id", "x", "y", "depth", "grade")
     return kriging.krige_blocks(train, test, _MODEL, (1, 1, 1), dims=2, variance=True).drop("block_id")
-    """All places in one system while they fit it, else in cells."""
 
 
 @query("kriging_out_of_fold")
@@ -753,7 +756,7 @@ def _(spark, sf):
     model = trees.fit_trees(train, features, params=_TREES)
     train, test = (trees.score_trees(df, model, features, "ml_pred").select("sample_id", "x", "y", "depth", "grade", "ml_pred") for df in (train, test))
     residual = train.withColumn("_r", F.col("grade") - F.col("ml_pred"))
-    v, _ = variogram.fit_variogram(variogram.lag_table(residual, _LAG, _LAGS, _CELL, "_r"), ("spherical",))
+    v, _ = variogram.fit_variogram(variogram.lag_table(residual, _LAG, _LAGS, _FIT_CELL, "_r"), ("spherical",))
     out = kriging.regression_kriging(train, test, v, blocks="auto", n_max=_SYSTEM)
     return out.select("sample_id", "grade", "ml_pred", "residual_pred", "rk_pred", "residual_pred_status")
 

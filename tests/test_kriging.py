@@ -134,6 +134,24 @@ def test_lag_table_equals_all_pairs(spark):
     assert set(got.lag) == {0, 1, 2, 3}
 
 
+def test_lags_of_random_places_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    xyz = rng.uniform([-300, 0, -200], [500, 700, 0], (3000, 3))
+    z = 30 + np.sin(xyz[:, 0] / 60) * 5 + rng.normal(0, 1, 3000)
+    df = spark.createDataFrame(pd.DataFrame(xyz, columns=["x", "y", "depth"]).assign(grade=z))
+    i, j = np.triu_indices(3000, 1)
+    h = np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(1))
+    at = [np.floor(h / 60) == k for k in range(5)]
+    want = np.array([[a.sum(), h[a].mean(), 0.5 * np.mean((z[i] - z[j])[a] ** 2)] for a in at])
+
+    def error(table):
+        got = table.orderBy("lag").toPandas()
+        return np.abs(got[["pairs", "h", "gamma"]].to_numpy(float) / want - 1).max(axis=0)
+
+    assert (error(variogram.lag_table(df, 60.0, 5, (15.0, 15.0, 2.0))) < 0.02).all()
+    assert error(variogram.cell_lag_table(df, 60.0, 5, (100.0, 100.0, 10.0)))[0] > 0.1
+
+
 def test_fit_recovers_a_variogram(spark):
     truth = Variogram("exponential", 80.0, 5.0, 1.0)
     h = np.arange(5.0, 150.0, 10.0)
