@@ -11,7 +11,8 @@ are read; the words of a text that are not among them are joined to the encoded
 
 The sums are those of a unigram model over the scores in the piece table.  For a table of a BPE model, whose
 scores are merge ranks, that is not the order of merges, so ids can differ from those of a BPE encoder;
-decoding gives the text back in both cases.
+decoding gives the text back in both cases, but for U+2581 itself: encoding writes spaces as that sign, so a text
+that holds it comes back with a space in its place.
 
 Defined results: null text gives null ids, an empty text no ids; repeated rows are encoded alike; an empty table
 gives an empty result; further columns are kept (columns named ``ids`` are replaced).
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -177,25 +178,32 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", most_words:
     return keyed.join(found, key, "left").withColumn("ids", ids_of(text, F.col(others))).drop(key, others)
 
 
-def decode(rows: DataFrame, model_file: str, key: str, ids_col: str = "ids") -> DataFrame:
-    """``key, text`` of rows with piece ids; ``key`` tells rows apart."""
-    spark = rows.sparkSession
+def _decoder(model_file: str) -> Callable[[Column], Column]:
+    """Ids to text within a row: nothing is shuffled, however long the text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    raw = []
+    raw = []  # by id; bounded by the vocabulary
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
-            raw.append((i, piece[3:5]))
-        elif not (model.is_control(i) or model.is_unknown(i)):
-            raw.append((i, piece.replace(SPACE, " ").encode("utf-8").hex().upper()))
-    table_ = spark.createDataFrame(raw, "id int, raw string")
-    parts = rows.select(key, F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(table_), "id")
-    whole = parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]), "").alias("raw"))
-    text = F.decode(F.unhex(F.expr("substring(raw, 3)")), "utf-8")  # without the leading space
-    return rows.select(key, F.col(ids_col)).join(whole, key, "left").select(
-        key, F.when(F.col(ids_col).isNull(), None).otherwise(F.coalesce(text, F.lit(""))).alias("text"))
+            raw.append(bytes([int(piece[1:-1], 16)]))
+        else:
+            raw.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(SPACE, " ").encode("utf-8"))
+
+    @F.pandas_udf("string")
+    def text_of(ids: pd.Series) -> pd.Series:
+        def one(row) -> str | None:  # without the leading space
+            return None if row is None else b"".join(map(raw.__getitem__, row.tolist()))[1:].decode("utf-8", "replace")
+
+        return pd.Series([one(row) for row in ids], dtype=object)
+
+    return text_of
+
+
+def decode(rows: DataFrame, model_file: str, key: str, ids_col: str = "ids") -> DataFrame:
+    """``key, text`` of rows with piece ids."""
+    return rows.select(key, _decoder(model_file)(F.col(ids_col)).alias("text"))
 
 
 def public_model() -> str:
@@ -205,9 +213,14 @@ def public_model() -> str:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, n_pieces, ids_sum, ids_sha256`` per document (null text: nulls)."""
+    """``doc_id, n_pieces, ids_sum, ids_sha256, decoded_sha256, round_trip`` per document (null text: nulls).
+
+    The last two are the digest of the text decoded from the ids and whether it is the document's text.
+    """
     docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_model())
+    docs = docs.withColumn("decoded", _decoder(public_model())(F.col("ids")))
     total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return docs.select(
         "doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("bigint").alias("n_pieces"), total.alias("ids_sum"),
-        F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"))
+        F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))

@@ -386,6 +386,21 @@ def test_pieces_round_trip(spark):
     assert [back[i] for i in range(1, len(texts) + 1)] == texts
 
 
+def test_op8_decodes_every_document(spark, tmp_path):
+    import hashlib
+
+    texts = [*EDGE, " two  spaces ", "long text, line\n" * 20_000, "a \u2581 b", None]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in pieces.op8_pieces(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts, 1):
+        # U+2581 stands for a space in the ids and comes back as one.
+        back = None if t is None else t.replace("\u2581", " ")
+        assert rows[i].decoded_sha256 == (None if t is None else hashlib.sha256(back.encode()).hexdigest())
+        assert rows[i].round_trip == (None if t is None else back == t)
+    assert [i for i, r in rows.items() if r.round_trip is False] == [len(texts) - 1]
+
+
 def test_pieces_of_rare_words_are_joined(spark):
     texts = [*EDGE, "one two\nthree 42 " + "x" * 90, "one two\nthree 42", "one two\nthree 42", "two\r\n\tone 7b7"]
     given = docs(spark, texts)
