@@ -5,6 +5,11 @@ aggregation, also within a map task, so a line of a third of all rows is no hot
 is clearly above the threshold are boilerplate; for those near it the distinct sites are
 counted exactly.  Boilerplate lines are then taken out of all texts.
 
+Near is within six standard errors of the sketch, and one site at least.  At a threshold of a few sites, such
+as the query's, sketches are practically exact.  At one of several hundred a line is decided by its
+estimate alone only if that is off by more than six standard errors, which for normal errors is about two lines in a
+thousand million; those can get the wrong decision.
+
 A line is what lies between line feeds, without blanks, tabs and carriage returns at its ends; blank lines
 never count.  Lines are told apart by their 128-bit hash.
 
@@ -34,12 +39,17 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
+def _margin(min_sites: int, lg_k: int) -> int:
+    """Sites around the threshold within which lines are counted exactly."""
+    return max(1, math.ceil(6 * 1.04 / math.sqrt(2**lg_k) * min_sites))
+
+
 def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """``line_key`` of every line on at least ``min_sites`` sites, written to the shared folder."""
     spark = docs.sparkSession
     lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(F.split(text_col, "\n")).alias("line"))
     lines = lines.filter((_bare(F.col("line")) != "") & F.col("site").isNotNull()).select("site", _line_key(F.col("line")).alias("line_key"))
-    margin = max(1, math.ceil(3 * 1.04 / math.sqrt(2**lg_k) * min_sites))
+    margin = _margin(min_sites, lg_k)
     spread_at = new_folder(spark, "line-spread")
     (
         lines.groupBy("line_key").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))

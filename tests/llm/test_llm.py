@@ -230,6 +230,15 @@ def test_best_fit_respects_every_capacity():
                 assert plan.bins <= plain_best_fit(counted, 64) * 1.005 + 1
 
 
+def test_lines_within_six_errors_of_the_threshold_are_counted(spark):
+    error = 1.04 / 64
+    assert line_dedup._margin(8, 12) == 1 and all(line_dedup._margin(n, 12) >= 6 * error * n for n in (8, 100, 400, 5000))
+    # A coarse sketch decides as the exact count does.
+    rows = [(f"s{i}", f"line {n}") for n in range(36, 45) for i in range(n)]
+    given = spark.createDataFrame(rows, "source string, text string")
+    assert line_dedup.boilerplate(given, min_sites=40, lg_k=6).count() == 5
+
+
 def test_packed_pieces_hold_every_token(spark, sf):
     vocabulary = packing.public_vocabulary()
     texts = [*EDGE, "word " * 5000, "<|endoftext|> in a text", "日本語 🙂\u2028x"]
