@@ -12,6 +12,10 @@ fits.  The plan, a list of (class, ranks, bins), is bounded by the number of cla
 by the data.  A piece finds its place from its rank within its class, which
 is the number of such pieces in earlier written chunks plus its number within its own chunk.
 
+With the default capacities, which the query and the pipeline use (1,024 documents, a cost of 1,024 squared), only the
+tokens bind: pieces that hold 1,024 tokens together are at most so many and their squares sum to at most that cost.
+The other capacities bind when smaller ones are given; test_best_fit_respects_every_capacity covers them.
+
 Defined results: null text is empty and gives one piece, the end id alone; repeated rows and
 identifiers, also null ones, are separate documents; an empty table gives an empty result; further columns are ignored.
 """
