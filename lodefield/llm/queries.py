@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodefield.llm import embedding_join, exact_dedup, line_dedup, ngram_join, packing, pieces, quality, toxicity, url_filter, warc
+from lodefield.llm import (
+    conversation_trie, embedding_join, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, quality, toxicity, url_filter,
+    vector_codes, warc,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_embedding_join": embedding_join.op9_embedding_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 
 ORACLES = {
@@ -22,4 +28,6 @@ ORACLES = {
     "op3_warc": warc.OP3_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_conversation_trie": conversation_trie.OP13_SQL,
 }
