@@ -6,27 +6,25 @@ that family are then told apart by one-versus-one linear support vector machines
 sample of at most about ``SAMPLE`` rows, the same number for every language, chosen by the hash of their identifiers; every whole text
 is scored.
 
-Features are rates of hashed letter sequences: a word is a run of letters, lower-cased; its beginnings, ends and inner sequences of one to
-four letters and the word itself are counted.  All of a feature's weight is within a word, so the sums of every linear model are added
-up word by word, and the words of a task are looked up once.
+Features are rates of hashed letter sequences: a word is a run of letters, lower-cased, with an edge before and after it; its sequences of
+one to four letters or edges are counted, an array at a time.
 
 The score is the family's probability times the mean over the family's machines of the winner of their logistic function of the margin (1 for
 a family of one language).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as are all texts if nothing can be learned; with
 one family only, its probability is 1; equal votes go to the larger sum of margins, then to the first name; equal texts get equal
-predictions; a very long text is read whole, and a run of more than ``LONGEST`` letters is read in pieces of that length; rows with a null or
+predictions; a very long text is read whole, ``PIECE`` letters at a time; rows with a null or
 repeated identifier are predicted, the former never learned; an empty table gives an empty result; further columns are ignored and may have any names.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
-from collections import Counter
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -39,12 +37,14 @@ from lodefield.llm.common import new_folder, table
 
 #: Most labelled rows that the models look at.
 SAMPLE = 8_000
-BITS = 15
-#: Letters of a sequence at most, and of a word that is looked up as a whole.
+BITS = 14
+#: Letters of a sequence at most, and letters that are hashed at once.
 LETTERS = 4
-LONGEST = 64
+PIECE = 1 << 18
 UNKNOWN = "und"
-_CACHE_WORDS = 200_000
+_EDGE = 32
+#: So few tasks add up a fit's gradients without a shuffle; the sample is bounded.
+_FIT_TASKS = 4
 #: Rates are multiplied by this, so that common letters have values of about one.
 _UNIT = 32.0
 
@@ -63,8 +63,6 @@ FAMILIES = {
     "malayic": "id ms",
 }
 
-_WORDS = re.compile(r"[^\W\d_]+")
-
 
 def held_out(doc_id: Column) -> Column:
     """True for the third of the documents whose language is never learned; false for a null id."""
@@ -80,20 +78,40 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def words_of(text: str) -> Iterator[str]:
-    """Lower-cased runs of letters, in pieces of at most ``LONGEST``."""
-    for word in _WORDS.findall(text.lower()):
-        if len(word) <= LONGEST:
-            yield word
-        else:
-            yield from (word[i : i + LONGEST] for i in range(0, len(word), LONGEST))
-
-
-def buckets_of(word: str) -> list[int]:
-    """Hashed places of the letter sequences of a word and of the word itself."""
-    edged, top = f"<{word}>", (1 << BITS) - 1
-    found = [crc32(edged[i : i + n].encode("utf-8", "surrogatepass")) & top for n in range(1, LETTERS + 1) for i in range(len(edged) - n + 1)]
-    return [*found, crc32(b"word:" + word.encode("utf-8", "surrogatepass")) & top]
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def counts_of(text: str) -> np.ndarray:
+    """How often each bucket's letter sequences are in the text; all zero without letters."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[codes]
+    # Between words one edge is left, and one stands before the first and after the last.
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]
+    words = np.where(letter, codes, np.uint32(_EDGE))[kept]
+    words = np.concatenate(([_EDGE], words, [_EDGE] if len(words) and words[-1] != _EDGE else [])).astype(np.uint32)
+    total = np.zeros(1 << BITS, np.int64)
+    for lo in range(0, len(words), PIECE):
+        piece = words[lo : lo + PIECE + LETTERS - 1]
+        starts = min(PIECE, len(words) - lo)
+        mixed = np.zeros(len(piece), np.uint32)
+        inside = np.ones(len(piece), bool)
+        edge = piece == _EDGE
+        for n in range(1, LETTERS + 1):
+            ends = len(piece) - n + 1
+            if ends <= 0:
+                break
+            # A sequence may begin and end with an edge, but has none within.
+            mixed = (mixed[:ends] ^ piece[n - 1 :]) * np.uint32(16777619)
+            if n > 2:
+                inside = inside[:ends] & ~edge[n - 2 : n - 2 + ends]
+            good = inside[:ends] if n > 1 else ~edge
+            spread = ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+            total += np.bincount(spread[:starts][good[:starts]], minlength=1 << BITS)
+    return total
 
 
 @dataclass(frozen=True)
@@ -133,33 +151,10 @@ class LanguageModel:
         return lang, score.clip(0.0, 1.0)
 
 
-class _Sums:
-    """Linear sums of texts, with the sums of each word remembered."""
-
-    def __init__(self, model: LanguageModel) -> None:
-        self._model, self._seen = model, {}
-        self._rows = np.empty((1024, model.weights.shape[1] + 1))
-
-    def _row(self, word: str) -> int:
-        at = len(self._seen)
-        if at == len(self._rows):
-            self._rows = np.concatenate((self._rows, np.empty_like(self._rows)))
-        found = buckets_of(word)
-        self._rows[at, :-1] = self._model.weights[found].sum(axis=0)
-        self._rows[at, -1] = len(found)
-        self._seen[word] = at
-        return at
-
-    def __call__(self, text: str) -> np.ndarray:
-        if len(self._seen) > _CACHE_WORDS:
-            self._seen.clear()
-        total = np.zeros(self._rows.shape[1])
-        words = words_of(text)
-        while piece := list(itertools.islice(words, 50_000)):
-            counts = Counter(piece)
-            at = [self._seen[w] if w in self._seen else self._row(w) for w in counts]
-            total += np.fromiter(counts.values(), float, len(counts)) @ self._rows[at]
-        return total[:-1] * (_UNIT / max(total[-1], 1.0)) + self._model.offsets
+def sums_of(text: str, model: LanguageModel) -> np.ndarray:
+    """The linear sums of a text."""
+    counts = counts_of(text)
+    return (counts @ model.weights) * (_UNIT / max(int(counts.sum()), 1)) + model.offsets
 
 
 def _sample(docs: DataFrame, most: int) -> DataFrame:
@@ -183,14 +178,10 @@ def _features(sample: DataFrame) -> DataFrame:
         for batch in batches:
             index, value = [], []
             for text in batch["text"]:
-                counts: Counter = Counter()
-                for word, n in Counter(words_of(text)).items():
-                    for bucket in buckets_of(word):
-                        counts[bucket] += n
-                at = np.array(sorted(counts), np.int32)
-                n = np.array([counts[b] for b in at.tolist()], float)
-                index.append(at)
-                value.append(n * (_UNIT / max(n.sum(), 1.0)))
+                counts = counts_of(text)
+                at = np.flatnonzero(counts)
+                index.append(at.astype(np.int32))
+                value.append(counts[at] * (_UNIT / max(int(counts.sum()), 1)))
             yield pd.DataFrame({"lang": batch["lang"], "index": index, "value": value})
 
     return sample.mapInPandas(run, "lang string, index array<int>, value array<double>").filter(F.size("index") > 0)
@@ -210,7 +201,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, families: dict[str, str] = FAMI
     members = tuple(tuple(lang for lang in seen if family_of(lang, families) == name) for name in names)
     vector = F.udf(lambda i, v: Vectors.sparse(1 << BITS, i, v), VectorUDT())
     places = F.create_map(*(F.lit(x) for f, group in enumerate(members) for lang in group for x in (lang, float(f))))
-    rows = rows.select("lang", places[F.col("lang")].alias("family"), vector("index", "value").alias("features")).persist()
+    rows = rows.select("lang", places[F.col("lang")].alias("family"), vector("index", "value").alias("features")).coalesce(_FIT_TASKS).persist()
     pairs = tuple(p for group in members for p in itertools.combinations(group, 2))
     weights = np.zeros((1 << BITS, len(names) + len(pairs)))
     offsets = np.zeros(len(names) + len(pairs))
@@ -234,12 +225,11 @@ def predict(text: Column, model: LanguageModel | None) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        sums = None if model is None else _Sums(model)
         for batch in batches:
             lang, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
-            rows = [i for i, t in enumerate(batch) if sums is not None and has_letter(t)]
+            rows = [i for i, t in enumerate(batch) if model is not None and has_letter(t)]
             if rows:
-                lang[rows], score[rows] = model.predict(np.stack([sums(batch.iloc[i]) for i in rows]))
+                lang[rows], score[rows] = model.predict(np.stack([sums_of(batch.iloc[i], model) for i in rows]))
             yield pd.DataFrame({"lang": lang, "score": score})
 
     return run(text.cast("string"))
