@@ -54,7 +54,7 @@ EDGE = [None, "", " \n\t", "a", "A a", "one two three four five", "One two THREE
 @pytest.fixture(scope="module")
 def con(sf):
     connection = duckdb.connect()
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         connection.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return connection
 
