@@ -7,10 +7,10 @@ points; Spark decides which points meet which targets.  Two forms:
   there are at most ``n_max``, else on a keyed subsample; targets are scored where they
   are, without a shuffle.
 * ``krige_blocks``, ``krige_out_of_fold``: one system per cell from the points in and
-  around it.  A cell is a block, or a part of one: blocks with too many points for a
-  system are split until their own points fit, so every training location is used in
-  the cell that holds it; only the margin around a cell is narrowed.  Cells with many
-  targets are split into chunks.
+  around it.  A cell is a block, or a part of one (``cells``): blocks with too many points
+  for a system are cut until their own points fit, so every training location is used in
+  the cell that holds it, with the nearest ones around it.  Cells with many targets are
+  split into chunks.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodefield.functions.joins import lookup_join
-from lodefield.operators.blocks import AXES, DEFAULT_BLOCKS, Grid, _cells, assign_blocks, block_id, fit_grid, spread_to_blocks
+from lodefield.operators import cells
+from lodefield.operators.blocks import AXES, DEFAULT_BLOCKS, Grid, assign_blocks, fit_grid, spread_to_blocks
+from lodefield.operators.cells import place_in_cells
 from lodefield.operators.split import add_fold
 from lodefield.operators.variogram import Variogram
 from lodefield.sources.staging import staged
@@ -35,9 +37,6 @@ from lodefield.sources.staging import staged
 FAST_ROWS = 3000
 FAST_THRESHOLD = 5000
 TARGET_CHUNK = 50_000
-# A cell over a system's size is split until its own points are this share of one, then its margin is narrowed by these factors.
-_OWN_SHARE = 4
-_MARGIN_STEPS = tuple(0.8**j for j in range(1, 25))
 # Distances held at once, so that a batch stays in the processor's cache.
 _BATCH_CELLS = 200_000
 _REGULARISERS = (0.0, 1e-10, 1e-8, 1e-6)
@@ -235,91 +234,11 @@ def neighbourhoods(points: DataFrame, grid: Grid, n_max: int, margin: float, see
     return thinned.withColumn("_rank", rank).filter(F.col("_rank") <= n_max).drop("_u", "_share", "_rank")
 
 
-def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Points per cell of at most ``n_max``, and the tables of splits that lead from blocks to cells.
-
-    ``points`` has one row per location.  A block is cell 1 of itself.  A cell whose own
-    and margin points exceed ``n_max`` is split in two, 2c and 2c + 1, at the median of its
-    own points' longest axis, until they fit or a quarter of ``n_max`` are its own; then the
-    margin is narrowed.  A location is own (``_own``) in exactly one cell, and none is left
-    out there.  Counts and medians are grouped sums, so no task gathers a dense cell.
-    """
+def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float) -> tuple[DataFrame, cells.Cells]:
+    """``cells.fit_cells`` for systems of an allowed size."""
     if n_max > FAST_THRESHOLD:
         raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
-    names, keys = ("bi", "bj", "bk"), ["block_id", "_cell"]
-    at = [F.col(a) for a in AXES]
-    home = assign_blocks(points, grid).drop("block_id").withColumnsRenamed({n: f"_{n}" for n in names})
-    for i, n in enumerate(names):
-        home = home.withColumn(n, F.explode(F.array_distinct(F.concat(_cells(i, grid, margin), F.array(f"_{n}")))))
-
-    def edge(i: int, more: int) -> Column:
-        return F.lit(float(grid.spans[i][0])) + (F.col(names[i]) + more) * F.lit(float(grid.width(i)))
-
-    copies = home.select(
-        block_id(grid).alias("block_id"), F.lit(1).cast("bigint").alias("_cell"), *points.columns,
-        F.expr(" and ".join(f"{n} = _{n}" for n in names)).alias("_own"),
-        F.array(*[edge(i, 0) for i in range(3)]).alias("_lo"), F.array(*[edge(i, 1) for i in range(3)]).alias("_hi"))
-    outside = [F.greatest(F.get("_lo", F.lit(i)) - at[i], at[i] - F.get("_hi", F.lit(i)), F.lit(0.0)) for i in range(3)]
-    widths = [F.get("_hi", F.lit(i)) - F.get("_lo", F.lit(i)) for i in range(3)]
-    own = [F.when(F.col("_own"), a) for a in at]
-    done, splits = [], []
-    while True:
-        copies = staged(copies, "cells")
-        stats = copies.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.count_if("_own").alias("_owned"),
-            F.array(*[F.min(o) for o in own]).alias("_min"), F.array(*[F.max(o) for o in own]).alias("_max"),
-            F.array(*[F.percentile_approx(o, 0.5, 1000) for o in own]).alias("_mid"))
-        full = stats.filter((F.col("_n") > n_max) & (F.col("_owned") > max(1, n_max // _OWN_SHARE)))
-        extent = F.zip_with("_max", "_min", lambda hi, lo: hi - lo)
-        full = full.withColumn("_axis", (F.array_position(extent, F.array_max(extent)) - 1).cast("int"))
-        lo, hi, mid = (F.get(c, F.col("_axis")) for c in ("_min", "_max", "_mid"))
-        half = lo + (hi - lo) / 2
-        # Points below the cut go to the first part; both parts have points of their own.
-        cut = F.when(mid > lo, mid).when(half > lo, half).otherwise(hi)
-        full = staged(full.select(*keys, "_axis", cut.alias("_cut")), "splits")
-        count = full.count()
-        if not count:
-            break
-        splits.append(full)
-        marked = lookup_join(copies, full, keys, "left", small_rows=count)
-        done.append(marked.filter("_cut is null").drop("_axis", "_cut"))
-        parts = marked.filter("_cut is not null").withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        beyond = F.get(F.array(*at), F.col("_axis")) >= F.col("_cut")
-
-        def moved(name: str, side: int) -> Column:
-            return F.transform(name, lambda x, i: F.when((F.col("_side") == side) & (i == F.col("_axis")), F.col("_cut")).otherwise(x))
-
-        parts = parts.withColumns({
-            "_own": F.col("_own") & (beyond == (F.col("_side") == 1)), "_lo": moved("_lo", 1), "_hi": moved("_hi", 0),
-            "_cell": F.col("_cell") * 2 + F.col("_side")}).drop("_axis", "_cut", "_side")
-        inside = F.lit(True)
-        for o, w in zip(outside, widths):
-            inside = inside & (o <= w * F.lit(float(margin)))
-        copies = parts.filter(F.col("_own") | inside)
-    near = copies
-    for part in done:
-        near = near.unionByName(part)
-    # The widest margin with which the points fit one system.
-    off = F.greatest(*[F.coalesce(F.try_divide(o, w), F.lit(0.0)) for o, w in zip(outside, widths)])
-    near = staged(near.withColumn("_off", F.when(F.col("_own"), F.lit(-1.0)).otherwise(off)).drop("_lo", "_hi"), "near")
-    steps = [float(margin) * m for m in _MARGIN_STEPS]
-    within = near.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.array(*[F.count_if(F.col("_off") <= m) for m in steps]).alias("_fit")).filter(F.col("_n") > n_max)
-    pairs = F.filter(F.zip_with("_fit", F.array(*map(F.lit, steps)), lambda n, m: F.struct(n.alias("n"), m.alias("m"))), lambda p: p["n"] <= n_max)
-    narrow = staged(within.select(*keys, F.coalesce(F.get(pairs, F.lit(0))["m"], F.lit(-0.5)).alias("_reach")), "narrow")
-    kept = lookup_join(near, narrow, keys, "left", small_rows=narrow.count()).filter("_reach is null or _off <= _reach")
-    return kept.drop("_off", "_reach"), splits
-
-
-def place_in_cells(placed: DataFrame, splits: list[DataFrame]) -> DataFrame:
-    """Add ``_cell`` to rows with a ``block_id``."""
-    at = F.array(*[F.col(a) for a in AXES])
-    out = placed.withColumn("_cell", F.lit(1).cast("bigint"))
-    for table in splits:
-        deeper = F.col("_cell") * 2 + F.when(F.get(at, F.col("_axis")) >= F.col("_cut"), 1).otherwise(0)
-        out = lookup_join(out, table, ["block_id", "_cell"], "left").withColumn(
-            "_cell", F.when(F.col("_cut").isNull(), F.col("_cell")).otherwise(deeper)).drop("_axis", "_cut")
-    return out
+    return cells.fit_cells(points, grid, n_max, margin)
 
 
 def _krige_cells(
@@ -328,13 +247,13 @@ def _krige_cells(
 ) -> DataFrame:
     """``score(points, targets)`` of every cell with targets; those of a cell without points get the status ``no_data``."""
     if fast:
-        near, splits = neighbourhoods(points, grid, n_max, margin, seed).withColumn("_cell", F.lit(1).cast("bigint")), []
+        near, found = neighbourhoods(points, grid, n_max, margin, seed).withColumn("_cell", F.lit(0).cast("bigint")), None
     else:
-        near, splits = fit_cells(points, grid, n_max, margin)
+        near, found = fit_cells(points, grid, n_max, margin)
         near = near.drop("_own")
     keys = ["block_id", "_cell"]
-    placed = place_in_cells(assign_blocks(targets, grid, edges).drop("bi", "bj", "bk"), splits)
-    placed = staged(placed, "placed") if splits else placed
+    placed = assign_blocks(targets, grid, edges).drop("bi", "bj", "bk")
+    placed = staged(place_in_cells(placed, found), "placed") if found else placed.withColumn("_cell", F.lit(0).cast("bigint"))
     chunks = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("_chunks"))
     # Only cells over one chunk need a lookup; the rest are chunk 0.
     many = chunks.filter("_chunks > 1")
@@ -375,7 +294,7 @@ def krige_blocks(
 ) -> DataFrame:
     """Block-wise kriging: targets with ``block_id``, estimate, variance and status.
 
-    Blocks with more points than a system holds are solved in cells (``fit_cells``); only
+    Blocks with more points than a system holds are solved in cells; only
     ``fast`` thins them instead.  A block without points, or a cell whose system cannot be
     solved, keeps its targets with a NULL estimate and a status.  ``margin`` is in block
     widths, or cell widths in a split block.  With two dimensions blocks are columns over
