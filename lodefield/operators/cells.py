@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,9 @@ LARGEST_SHARD = 4_000_000
 SAMPLE = 200_000
 _PER_SHARD = 50
 #: A cell whose own and margin points exceed a system is cut until its own points are this share of one.
-_OWN_SHARE = 4
+OWN_SHARE = 4
 _CELL_BITS = 24
+_ROWS_PER_TASK = 50_000
 #: Bytes of cuts that are broadcast to the targets.
 _BROADCAST_BYTES = 32 << 20
 _NAMES = ("bi", "bj", "bk")
@@ -125,7 +126,9 @@ def _median(xyz: np.ndarray) -> tuple[int, float] | None:
     return axis, middle if middle > low[axis] else float(x[x > low[axis]].min())
 
 
-def grow(xyz: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_max: int, margin: float) -> tuple[Cuts, list[tuple[int, np.ndarray, np.ndarray]]]:
+def grow(
+    xyz: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_max: int, margin: float, own_share: int = OWN_SHARE,
+) -> tuple[Cuts, list[tuple[int, np.ndarray, np.ndarray]]]:
     """Cuts of a box and, for each leaf, its rows and which of them it owns.
 
     A leaf has at most ``n_max`` rows: its own and, of those within the margin, as many of the nearest as fit.
@@ -133,7 +136,7 @@ def grow(xyz: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_max
     cuts, found, todo = Cuts(), [], [(0, np.arange(len(xyz)), own, lo, hi)]
     while todo:
         node, rows, mine, lo, hi = todo.pop()
-        if len(rows) > n_max and mine.sum() > max(1, n_max // _OWN_SHARE) and (where := _median(xyz[rows[mine]])):
+        if len(rows) > n_max and mine.sum() > max(1, n_max // own_share) and (where := _median(xyz[rows[mine]])):
             beyond = xyz[rows, where[0]] >= where[1]
             sides = zip(cuts.split(node, *where), (~beyond, beyond), _halves(lo, hi, *where))
             for child, side, box in sides:
@@ -253,12 +256,12 @@ def _plan_shards(points: DataFrame, grid: Grid) -> dict[int, Cuts]:
             _graft(shards.setdefault(int(block), Cuts()), int(shard), more)
 
 
-def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float) -> tuple[DataFrame, Cells]:
+def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float, own_share: int = OWN_SHARE) -> tuple[DataFrame, Cells]:
     """Points per cell (``block_id, _cell``, the columns of ``points``, ``_own``), at most ``n_max`` of each, and how to find a place's cell.
 
     ``points`` has one row per location and should be a staged table: it is read three times at most, and once more for each time
-    that overfull shards are cut again.  A location is own in exactly one cell.  A cell is a block, or a part of one with up to a
-    quarter of ``n_max`` own points; its other points are the nearest of those within ``margin`` of its widths.
+    that overfull shards are cut again.  A location is own in exactly one cell.  A cell is a block, or a part of one with up to
+    ``n_max / own_share`` own points; its other points are the nearest of those within ``margin`` of its widths.
     """
     shards = _plan_shards(points, grid)
     home = assign_blocks(points, grid).drop("block_id").withColumnsRenamed({n: f"_{n}" for n in _NAMES})
@@ -276,7 +279,7 @@ def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float) -> tuple
         lo, hi = _box(grid, block)
         if block in shards:
             lo, hi = shards[block].boxes(lo, hi)[shard]
-        cuts, leaves = grow(xyz, own, lo, hi, n_max, margin)
+        cuts, leaves = grow(xyz, own, lo, hi, n_max, margin, own_share)
         at = np.concatenate([rows for _, rows, _ in leaves])
         taken = table.select(columns).take(pa.array(at))
         cell = np.concatenate([np.full(len(rows), (shard << _CELL_BITS) + leaf, np.int64) for leaf, rows, _ in leaves])
@@ -326,3 +329,13 @@ def place_in_cells(placed: DataFrame, cells: Cells) -> DataFrame:
     out = lookup_join(out, cells.planes, ["block_id", "_shard"], "left", small_rows=size[1], max_broadcast=_BROADCAST_BYTES)
     leaf = F.when(F.col("_planes").isNull(), 0).otherwise(leaf_of("_planes", *AXES))
     return out.withColumn("_cell", F.shiftleft(F.col("_shard").cast("bigint"), _CELL_BITS) + leaf).drop("_shard", "_planes")
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for systems of ``rows`` points: solving takes long for few bytes, so their number is not left to Spark, which goes by bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, math.ceil(rows / _ROWS_PER_TASK))
+
+
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Deal a table of ``rows`` points by ``keys`` to as many tasks as their systems are worth."""
+    return df.repartition(tasks_for(df.sparkSession, rows), *keys)

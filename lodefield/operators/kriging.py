@@ -21,9 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodefield.functions.joins import lookup_join
 from lodefield.operators import cells
@@ -39,10 +41,12 @@ FAST_THRESHOLD = 5000
 TARGET_CHUNK = 50_000
 # Distances held at once, so that a batch stays in the processor's cache.
 _BATCH_CELLS = 200_000
+# Elements of the systems that are inverted together.
+_STACK_CELLS = 200_000
 _REGULARISERS = (0.0, 1e-10, 1e-8, 1e-6)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     total = np.zeros((len(a), len(b)))
     for k in range(a.shape[1]):
         gap = a[:, k, None] - b[None, :, k]
@@ -67,7 +71,7 @@ class KrigingSystem:
         dims = self.points.shape[1]
         size = max(16, _BATCH_CELLS // len(self.points))
         for at in range(0, len(targets), size):
-            gamma = self.variogram.gamma(_distances(targets[at:at + size, :dims], self.points))
+            gamma = self.variogram.gamma(distances(targets[at:at + size, :dims], self.points))
             pred[at:at + size] = gamma @ self.weights + self.level
             if self.inverse is not None:
                 right = np.column_stack([gamma, np.ones(len(gamma))])
@@ -90,7 +94,7 @@ def solve_kriging(points: np.ndarray, values: np.ndarray, v: Variogram, dims: in
         if n == 0 or not (np.isfinite(places).all() and np.isfinite(z).all()):
             return None
         system = np.ones((n + 1, n + 1))
-        system[:n, :n] = v.gamma(_distances(places, places))
+        system[:n, :n] = v.gamma(distances(places, places))
         system[n, n] = 0.0
         right = np.append(z, 0.0)
         for extra in _REGULARISERS:
@@ -108,6 +112,96 @@ def solve_kriging(points: np.ndarray, values: np.ndarray, v: Variogram, dims: in
     return None
 
 
+def inverse_system(points: np.ndarray, values: np.ndarray, v: Variogram, apart: np.ndarray | None = None) -> tuple[np.ndarray, str] | None:
+    """Inverse of the system of distinct points and its status, regularised when singular; None when it does not solve for ``values``.
+
+    ``apart`` are the points' distances, where the caller has them.
+    """
+    n = len(points)
+    if n == 0 or not (np.isfinite(points).all() and np.isfinite(values).all()):
+        return None
+    system = np.ones((n + 1, n + 1))
+    system[:n, :n] = v.gamma(distances(points, points) if apart is None else apart)
+    system[n, n] = 0.0
+    right = np.append(values, 0.0)
+    for extra in _REGULARISERS:
+        trial = system if extra == 0.0 else system - np.diag(np.append(np.full(n, extra * max(v.sill, 1e-12)), 0.0))
+        try:
+            inverse = np.linalg.inv(trial)
+        except np.linalg.LinAlgError:
+            continue
+        off = np.abs(trial @ (inverse @ right) - right).max()
+        if np.isfinite(off) and off <= 1e-6 * max(1.0, np.abs(values).max()):
+            return inverse, "ok" if extra == 0.0 else "ok_regularised"
+    return None
+
+
+def held_out_estimates(inverse: np.ndarray, values: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Estimates of the points ``out`` (a mask) from the other points, from the inverse of the system of all.
+
+    With B the inverse, the errors of a held-out set F are ``inv(B[F, F]) @ (B @ (values, 0))[F]``, whatever the values at F are, so one
+    factorisation serves every fold.
+    """
+    n = len(values)
+    given = np.where(out, 0.0, values)
+    seen = inverse[:n, :n] @ given
+    return -np.linalg.solve(inverse[np.ix_(np.flatnonzero(out), np.flatnonzero(out))], seen[out])
+
+
+def fold_estimates(
+    points: np.ndarray, values: np.ndarray, folds: np.ndarray, v: Variogram, apart: np.ndarray | None = None,
+) -> np.ndarray | None:
+    """Every point's estimate from the points of the other folds; NaN in a fold that has all; None when a system fails.
+
+    Systems that cannot be inverted are solved fold by fold, with what ``solve_kriging`` falls back to.
+    """
+    found = np.full(len(values), np.nan)
+    inverted = inverse_system(points, values, v, apart)
+    for fold in np.unique(folds):
+        out = folds == fold
+        if out.all():
+            continue
+        if inverted is not None:
+            found[out] = held_out_estimates(inverted[0], values, out)
+        if inverted is None or not np.isfinite(found[out]).all():
+            system = solve_kriging(points[~out], values[~out], v)
+            if system is None:
+                return None
+            found[out] = system.predict(points[out])[0]
+    return found
+
+
+def fold_estimates_of(
+    points: np.ndarray, values: np.ndarray, folds: np.ndarray, trials: list[Variogram],
+) -> list[np.ndarray | None]:
+    """``fold_estimates`` for several variograms, whose systems are inverted as one stack while they are small."""
+    n, out = len(points), []
+    apart = distances(points, points)
+    size = max(1, _STACK_CELLS // max(n * n, 1))
+    right = np.append(values, 0.0)
+    masks = [m for m in (folds == f for f in np.unique(folds)) if not m.all()]
+    for lo in range(0, len(trials), size):
+        some = trials[lo : lo + size]
+        stack = np.ones((len(some), n + 1, n + 1))
+        stack[:, n, n] = 0.0
+        for i, v in enumerate(some):
+            stack[i, :n, :n] = v.gamma(apart)
+        found, sound = np.full((len(some), n), np.nan), np.zeros(len(some), bool)
+        try:
+            inverse = np.linalg.inv(stack)
+            off = np.abs(np.einsum("tij,tj->ti", stack, inverse @ right) - right).max(axis=1)
+            sound = off <= 1e-6 * max(1.0, np.abs(values).max(initial=0.0))
+            for m in masks:
+                at = np.flatnonzero(m)
+                seen = inverse[:, at, :n] @ np.where(m, 0.0, values)
+                found[:, at] = -np.linalg.solve(inverse[:, at[:, None], at[None, :]], seen[:, :, None])[:, :, 0]
+                sound &= np.isfinite(found[:, at]).all(axis=1)
+        except np.linalg.LinAlgError:  # one of the stack is singular: each is solved by itself
+            sound[:] = False
+        out += [found[i] if sound[i] else fold_estimates(points, values, folds, v, apart) for i, v in enumerate(some)]
+    return out
+
+
 def distinct_points(train: DataFrame, value: str = "grade", dims: int = 3) -> DataFrame:
     """One row per location with the mean value (repeats make a system singular).
 
@@ -155,11 +249,26 @@ def _scored_schema(df: DataFrame, out: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + extra
 
 
-def _score(frame: pd.DataFrame, system: KrigingSystem | None, out: str) -> pd.DataFrame:
+Scores = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _failed(n: int, status: str) -> Scores:
+    return np.full(n, np.nan), np.full(n, np.nan), np.full(n, status, object)
+
+
+def _scores(xyz: np.ndarray, system: KrigingSystem | None) -> Scores:
     if system is None:
-        return frame.assign(**{out: np.nan, f"{out}_var": np.nan, f"{out}_status": "failed"})
-    pred, var = system.predict(frame[list(AXES)].to_numpy(float))
-    return frame.assign(**{out: pred, f"{out}_var": var, f"{out}_status": system.status})
+        return _failed(len(xyz), "failed")
+    return *system.predict(xyz), np.full(len(xyz), system.status, object)
+
+
+def _places(table: pa.Table) -> np.ndarray:
+    return np.column_stack([table.column(a).to_numpy().astype(float) for a in AXES])
+
+
+def _score(frame: pd.DataFrame, system: KrigingSystem | None, out: str) -> pd.DataFrame:
+    pred, var, status = _scores(frame[list(AXES)].to_numpy(float), system)
+    return frame.assign(**{out: pred, f"{out}_var": var, f"{out}_status": status})
 
 
 def _null_nan(df: DataFrame, out: str) -> DataFrame:
@@ -177,31 +286,86 @@ def apply_global(targets: DataFrame, system: KrigingSystem | None, out: str = "k
     return _null_nan(targets.mapInPandas(score, _scored_schema(targets, out)), out)
 
 
+def _fold_sums(rows: DataFrame, value: str) -> DataFrame:
+    """Locations with their sum and number of rows by fold (at most one entry per fold)."""
+    sums = rows.groupBy(*AXES, "_fold").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    return staged(sums.groupBy(*AXES).agg(F.collect_list(F.struct("_fold", "s", "n")).alias("_sums")), "points")
+
+
+def _score_folds(known: pa.Table, wanted: pa.Table, v: Variogram, k: int) -> Scores:
+    """Estimates of rows with a fold from the rows of the other folds, and of rows with fold -1 from all; one inverse serves all."""
+    points, targets = _places(known), _places(wanted)
+    folds = wanted.column("_fold").to_numpy().astype(int)
+    s, n = np.zeros((len(points), k)), np.zeros((len(points), k))
+    for i, parts in enumerate(known.column("_sums").to_pylist()):
+        for part in parts:
+            s[i, part["_fold"]], n[i, part["_fold"]] = part["s"] or 0.0, part["n"]
+    some = n.sum(axis=1) > 0
+    points, s, n = points[some], s[some], n[some]
+    pred, var, status = _failed(len(targets), "no_data")
+    if not len(points):
+        return pred, var, status
+    mean = s.sum(axis=1) / n.sum(axis=1)
+    inverted = inverse_system(points, mean, v)
+    place = {p: i for i, p in enumerate(map(tuple, points))}
+    for fold in np.unique(folds):
+        rows = np.flatnonzero(folds == fold)
+        left = n.sum(axis=1) - (n[:, fold] if fold >= 0 else 0)
+        gone = left == 0
+        if gone.all():
+            continue
+        z = np.divide(s.sum(axis=1) - (s[:, fold] if fold >= 0 else 0), left, out=np.zeros(len(left)), where=~gone)
+        if inverted is None:
+            system = solve_kriging(points[~gone], z[~gone], v)
+        elif fold < 0:
+            solution = inverted[0] @ np.append(z, 0.0)
+            system = KrigingSystem(points, solution[:-1], float(solution[-1]), v, inverted[1])
+        else:
+            # A location with rows in other folds has their mean, because kriging is exact at its points.
+            if gone.any():
+                z[gone] = held_out_estimates(inverted[0], z, gone)
+            at = np.array([place.get(p, -1) for p in map(tuple, targets[rows])])
+            pred[rows], status[rows] = np.where(at >= 0, z[at], np.nan), inverted[1]
+            rows = rows[at < 0]
+            if not len(rows):
+                continue
+            # Rows without a value of their own, at a place where no row has one.
+            system = solve_kriging(points[~gone], z[~gone], v)
+        pred[rows], var[rows], status[rows] = _scores(targets[rows], system)
+    return pred, np.full(len(pred), np.nan), status
+
+
 def krige_out_of_fold(
     train: DataFrame, v: Variogram, k: int = 5, n_max: int = FAST_ROWS, seed: int = 42, value: str = "grade",
     out: str = "kriging_pred", key: str = "sample_id", margin: float = 0.25, chunk_rows: int = TARGET_CHUNK,
 ) -> DataFrame:
     """Kriging estimate of each training row from all rows of the other folds in and around its cell."""
     folded = add_fold(train, k, seed, key, "_fold")
-    sums = folded.groupBy(*AXES, "_fold").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    # At most k sums per location.
-    points = staged(sums.groupBy(*AXES).agg(F.collect_list(F.struct("_fold", "s", "n")).alias("_sums")), "points")
+    points = _fold_sums(folded, value)
     grid = fit_grid(points, (1, 1, 1))
-    schema = _scored_schema(folded, out)
+    return _krige_cells(
+        points, folded, grid, n_max, margin, lambda known, wanted: _score_folds(known, wanted, v, k), folded.columns, out, chunk_rows).drop("_fold")
 
-    def solve(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*at, e["_fold"], e["s"], e["n"]) for *at, folds in known[[*AXES, "_sums"]].itertuples(index=False) for e in folds]
-        rows = pd.DataFrame(rows, columns=[*AXES, "_fold", "s", "n"])
-        parts = []
-        for fold, part in wanted.groupby("_fold"):
-            rest = rows[rows["_fold"] != fold].groupby(list(AXES), as_index=False)[["s", "n"]].sum()
-            if rest.empty:
-                parts.append(_score(part, None, out).assign(**{f"{out}_status": "no_data"}))
-            else:
-                parts.append(_score(part, solve_kriging(rest[list(AXES)].to_numpy(float), (rest["s"] / rest["n"]).to_numpy(float), v), out))
-        return pd.concat(parts)
 
-    return _null_nan(_krige_cells(points, folded, grid, n_max, margin, solve, folded.columns, schema, out, chunk_rows), out).drop("_fold")
+def krige_with_held_out(
+    train: DataFrame, targets: DataFrame, v: Variogram, k: int = 5, n_max: int = FAST_ROWS, seed: int = 42, value: str = "grade",
+    out: str = "kriging_pred", key: str = "sample_id", margin: float = 0.25, chunk_rows: int = TARGET_CHUNK,
+    blocks: tuple[int, ...] | str = "auto",
+) -> tuple[DataFrame, DataFrame]:
+    """One estimator for training rows and targets: both are estimated in the same cells from the same systems.
+
+    A training row is estimated without the rows of its fold, a target from all training rows.  Returns the training rows and the targets,
+    with ``block_id``, estimate, variance (NULL) and status.
+    """
+    folded = add_fold(train, k, seed, key, "_fold")
+    points = _fold_sums(folded, value)
+    both = folded.unionByName(targets.withColumn("_fold", F.lit(-1).cast(folded.schema["_fold"].dataType)), allowMissingColumns=True)
+    grid = plan_grid(points, both, n_max, margin, blocks)
+    found = staged(_krige_cells(
+        points, both, grid, n_max, margin, lambda known, wanted: _score_folds(known, wanted, v, k), [*both.columns, "block_id"], out, chunk_rows),
+        "estimated")
+    added = ["block_id", out, f"{out}_var", f"{out}_status"]
+    return (found.filter("_fold >= 0").select(*train.columns, *added), found.filter("_fold < 0").select(*targets.columns, *added))
 
 
 def plan_grid(train: DataFrame, targets: DataFrame, n_max: int, margin: float, blocks: tuple[int, ...] | str) -> Grid:
@@ -234,18 +398,21 @@ def neighbourhoods(points: DataFrame, grid: Grid, n_max: int, margin: float, see
     return thinned.withColumn("_rank", rank).filter(F.col("_rank") <= n_max).drop("_u", "_share", "_rank")
 
 
-def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float) -> tuple[DataFrame, cells.Cells]:
+def fit_cells(points: DataFrame, grid: Grid, n_max: int, margin: float, own_share: int = cells.OWN_SHARE) -> tuple[DataFrame, cells.Cells]:
     """``cells.fit_cells`` for systems of an allowed size."""
     if n_max > FAST_THRESHOLD:
         raise ValueError(f"one system may hold at most {FAST_THRESHOLD} points")
-    return cells.fit_cells(points, grid, n_max, margin)
+    return cells.fit_cells(points, grid, n_max, margin, own_share)
 
 
 def _krige_cells(
-    points: DataFrame, targets: DataFrame, grid: Grid, n_max: int, margin: float, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-    result: list[str], schema: str, out: str, chunk_rows: int, edges: str = "half_open", fast: bool = False, seed: int = 42,
+    points: DataFrame, targets: DataFrame, grid: Grid, n_max: int, margin: float, score: Callable[[pa.Table, pa.Table], Scores],
+    result: list[str], out: str, chunk_rows: int, edges: str = "half_open", fast: bool = False, seed: int = 42,
 ) -> DataFrame:
-    """``score(points, targets)`` of every cell with targets; those of a cell without points get the status ``no_data``."""
+    """``result`` columns of the targets with ``score(points, targets)`` of their cell; without points the status is ``no_data``.
+
+    The targets' columns stay as Arrow has them, so that no type changes on the way.
+    """
     if fast:
         near, found = neighbourhoods(points, grid, n_max, margin, seed).withColumn("_cell", F.lit(0).cast("bigint")), None
     else:
@@ -266,14 +433,21 @@ def _krige_cells(
         *points.columns,
     )
 
-    def solve(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if wanted.empty:
-            return pd.DataFrame(columns=[*result, out, f"{out}_var", f"{out}_status"])
-        if known.empty:
-            return _score(wanted[result], None, out).assign(**{f"{out}_status": "no_data"})
-        return score(known, wanted[result])
+    schema = T.StructType([
+        *[placed.schema[c] for c in result], T.StructField(out, T.DoubleType()), T.StructField(f"{out}_var", T.DoubleType()),
+        T.StructField(f"{out}_status", T.StringType())])
+
+    def solve(known: pa.Table, wanted: pa.Table) -> pa.Table:
+        n = wanted.num_rows
+        pred, var, status = score(known, wanted) if n and known.num_rows else _failed(n, "no_data")
+        added = [pa.array(pred, pa.float64(), from_pandas=True), pa.array(var, pa.float64(), from_pandas=True), pa.array(status, pa.string())]
+        kept = wanted.select(result)
+        return pa.Table.from_arrays([*kept.columns, *added], names=[*result, out, f"{out}_var", f"{out}_status"])
 
-    return right.groupBy("_block", "_near", "_part").cogroup(left.groupBy(*keys, "_chunk")).applyInPandas(solve, schema)
+    # In fast mode the points are no written table; counting them would thin them twice.
+    rows = 0 if fast else near.count()
+    ours, theirs = ["_block", "_near", "_part"], [*keys, "_chunk"]
+    return cells.spread(right, ours, rows).groupBy(*ours).cogroup(cells.spread(left, theirs, rows).groupBy(*theirs)).applyInArrow(solve, schema)
 
 
 def krige_blocks(
@@ -307,13 +481,11 @@ def krige_blocks(
         targets = targets.withColumn("_depth", F.col("depth")).withColumn("depth", F.lit(0.0))
     grid = plan_grid(points, targets, n_max, margin, blocks)
     result = [*targets.columns, "block_id"]
-    schema = _scored_schema(targets.withColumn("block_id", F.lit(0)), out)
 
-    def solve(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        system = solve_kriging(known[list(AXES)].to_numpy(float), known["value"].to_numpy(float), v, dims, variance)
-        return _score(wanted, system, out)
+    def solve(known: pa.Table, wanted: pa.Table) -> Scores:
+        return _scores(_places(wanted), solve_kriging(_places(known), known.column("value").to_numpy().astype(float), v, dims, variance))
 
-    found = _null_nan(_krige_cells(points, targets, grid, n_max, margin, solve, result, schema, out, chunk_rows, edges, fast, seed), out)
+    found = _krige_cells(points, targets, grid, n_max, margin, solve, result, out, chunk_rows, edges, fast, seed)
     return found.withColumn("depth", F.col("_depth")).drop("_depth") if dims == 2 else found
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodefield.operators import balance, clean, explain, fusion, metrics, reports, samples, search, surface, trees
 from lodefield.operators.components import apply_components, fit_components
-from lodefield.operators.kriging import FAST_ROWS, krige_blocks, krige_out_of_fold, regression_kriging
+from lodefield.operators.kriging import FAST_ROWS, krige_with_held_out, regression_kriging
 from lodefield.operators.split import split_exact, split_fraction, train_test
 from lodefield.operators.trees import TreeParams
 from lodefield.operators.variogram import Variogram, fit_variogram, lag_table
@@ -123,13 +123,13 @@ def run_model(
     fit_rows = staged(fit_rows, "fit")
 
     rest = samples.union_sets(valid, test)
-    rest = staged(krige_blocks(fit_rows, rest, v, blocks, n_max, seed=seed), "kriged")
+    # The residual models learn from training rows that are estimated as the others are: in the same cells, without their fold.
+    own, rest = krige_with_held_out(fit_rows, rest, v, n_max=n_max, seed=seed, blocks=blocks)
 
     tree_trials, tree = trees.grid_search(
         fit_rows, features, grid or {"depth": (4, 6), "step": (0.1, 0.2)}, base_params)
     scored = trees.score_trees(rest, tree, features, "xgb_pred")
 
-    own = krige_out_of_fold(fit_rows, v, n_max=n_max, seed=seed)
     residual = own.withColumn("residual", F.col("grade") - F.col("kriging_pred")).filter("residual is not null")
     clusters = trees.fit_clusters(fit_rows, seed=seed)
     local = trees.fit_cluster_models(

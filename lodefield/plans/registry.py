@@ -655,7 +655,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = _folder(spark, "trials")
     train, _ = _sets(spark, sf)
-    trials = search.search_variogram(train, n_trials=4, n_max=500, k=2)
+    trials = search.search_variogram(train)
     sinks.export_trials(trials, search.search_stats(trials), path)
     return spark.read.csv(f"{path}/trials", header=True, schema=trials.schema)
 
@@ -747,7 +747,7 @@ def _(spark, sf):
 @query("variogram_search")
 def _(spark, sf):
     train, _ = _sets(spark, sf)
-    return search.search_variogram(train, n_trials=12, k=3)
+    return search.search_variogram(train)
 
 
 @query("regression_kriging")
@@ -782,12 +782,11 @@ def _(spark, sf):
 @query("hybrid")
 def _(spark, sf):
     train, test, features = _modelling(spark, sf)
-    known = kriging.krige_out_of_fold(train, _MODEL, n_max=1500)
+    known, kriged = kriging.krige_with_held_out(train, test, _MODEL, n_max=_SYSTEM)
     clusters = trees.fit_clusters(train, restarts=2)
     known = known.withColumn("residual", F.col("grade") - F.col("kriging_pred")).filter("residual is not null")
     residual = trees.assign_clusters(known, clusters)
     local = trees.fit_cluster_models(residual, features, params=_SMALL_TREES)
-    kriged = kriging.krige_blocks(train, test, _MODEL, (1, 1, 1))
     return trees.predict_hybrid(kriged, clusters, local, features).select("sample_id", "grade", "cluster", "kriging_pred", "hybrid_pred")
 
 
