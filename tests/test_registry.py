@@ -3,6 +3,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, compare
+from lodefield.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +14,7 @@ def con(sf):
     return connection
 
 
-@pytest.mark.parametrize("name", list(oracle_sql()))
+@pytest.mark.parametrize("name", list(registry.ORACLES))
 def test_query_equals_sql(spark, con, sf, name):
     assert compare(spark, con, name, sf).startswith("ok")
 
