@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodefield.functions.joins import is_small
+from lodefield.functions.joins import lookup_join
+from lodefield.sources.staging import staged
 
 # Fixed value: the model names.
 MODELS = ("spherical", "exponential", "gaussian")
@@ -60,129 +61,174 @@ def gamma_column(h: Column, v: Variogram) -> Column:
     return F.when(h > 0, F.lit(v.nugget) + F.lit(v.sill - v.nugget) * shape).otherwise(F.lit(0.0))
 
 
-MAX_OFFSETS = 200_000
-# Node pairs held at once.
+# Node pairs held at once, and those that one group compares at most (about).
 _MEET_CELLS = 1_000_000
+_GROUP_PAIRS = 20_000_000
+# Halvings of the cells before straddling nodes are taken apart into locations.
+_HALVINGS = 4
+_AXES = ("x", "y", "depth")
+_SUMS = ("p", "hp", "h2p", "sq")
 
 
-def variogram_nodes(df: DataFrame, cell: tuple[float, float, float], value: str = "grade") -> DataFrame:
-    """Count, sum and sum of squares per grid node (partial aggregation before the shuffle)."""
-    axes = [F.floor(F.col(c) / F.lit(float(s))).cast("bigint").alias(k) for c, s, k in zip(("x", "y", "depth"), cell, "ijk")]
-    z = F.col(value)
-    return df.groupBy(*axes).agg(
-        F.count(z).cast("double").alias("n"), F.sum(z).alias("s"), F.sum(z * z).alias("q"))
+def _nodes(rows: DataFrame, keys: list[Column], z: Column) -> DataFrame:
+    """Per node: count, sum and sum of squares of the value, mean place, spread, and the middle and half diagonal of its box."""
+    grouped = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(z).alias("s"), F.sum(z * z).alias("q"),
+        *[F.avg(a).alias(f"m_{a}") for a in _AXES], sum((F.var_pop(a) for a in _AXES), F.lit(0.0)).alias("v"),
+        *[((F.min(a) + F.max(a)) / 2).alias(f"c_{a}") for a in _AXES],
+        (F.sqrt(sum(((F.max(a) - F.min(a)) * (F.max(a) - F.min(a)) for a in _AXES), F.lit(0.0))) / 2).alias("r"))
+    # The mean of equal numbers need not be that number.
+    return grouped.withColumns({f"m_{a}": F.when(F.col("r") == 0, F.col(f"c_{a}")).otherwise(F.col(f"m_{a}")) for a in _AXES})
 
 
-def _with_offsets(nodes: DataFrame, cell: tuple[float, float, float], lag: float, n_lags: int) -> DataFrame:
-    """Each node once per offset of one half-space within the last lag (zero offset included)."""
-    reach = lag * n_lags
-    span = [math.ceil(reach / c) - 1 for c in cell]
-    if (span[0] + 1) * (2 * span[1] + 1) * (2 * span[2] + 1) > MAX_OFFSETS:
-        raise ValueError("cells too small for the maximum lag")
-    out = nodes
-    for name, lo, hi in (("di", 0, span[0]), ("dj", -span[1], span[1]), ("dk", -span[2], span[2])):
-        out = out.withColumn(name, F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"))))
-    ahead = "di > 0 or (di = 0 and (dj > 0 or (dj = 0 and dk >= 0)))"
-    parts = [F.col(d) * F.lit(float(c)) for d, c in zip(("di", "dj", "dk"), cell)]
-    out = out.filter(ahead).withColumn("h", F.sqrt(sum((p * p for p in parts), F.lit(0.0))))
-    return out.filter(F.col("h") < F.lit(float(reach))).withColumn("lag", F.floor(F.col("h") / F.lit(float(lag))).cast("int"))
+def _edge_lags(d, r, lag: float):
+    """Least and greatest lag of the pairs of nodes at distance ``d`` with half diagonals that add up to ``r``; for arrays."""
+    slack = np.where(r > 0, r + 1e-9 * (1 + d), 0.0)
+    return np.floor(np.maximum(d - slack, 0.0) / lag), np.floor((d + slack) / lag)
 
 
-def lag_table(
-    df: DataFrame, lag: float, n_lags: int, cell: tuple[float, float, float], value: str = "grade",
-) -> DataFrame:
-    """Experimental variogram ``lag, h, pairs, gamma`` over all point pairs within the last lag.
-
-    Points are first reduced to nodes of a grid of ``cell`` size.  The squared differences
-    of all pairs between two nodes follow from the nodes' sums, and their mean squared
-    distance from the nodes' mean places and spreads; its root decides their lag.  So only
-    pairs of nodes that straddle a lag's edge can be in the wrong one: take cells well below
-    half a lag.  Nodes meet in boxes as wide as the last lag and the boxes next to them, so
-    a task holds at most a box's cells, however many points there are.
-    """
+def _meetings(nodes: DataFrame, cell: tuple[float, float, float], lag: float, n_lags: int) -> DataFrame:
+    """Sums of the node pairs that lie within one lag (``lag, p, hp, h2p, sq``), and the keys ``a, b`` of those across a lag's edge."""
     reach = float(lag * n_lags)
-    rows = df.filter(F.col(value).isNotNull())
-    # Centring keeps n*sum(z^2) from cancelling against the squared sum.
-    mean = rows.agg(F.avg(value)).first()[0] or 0.0
-    z = F.col(value) - F.lit(mean)
-    axes = ("x", "y", "depth")
-    keys = [F.floor(F.col(a) / F.lit(float(c))).cast("bigint").alias(k) for a, c, k in zip(axes, cell, "ijk")]
-    nodes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(z).alias("s"), F.sum(z * z).alias("q"),
-        *[F.avg(a).alias(f"m_{a}") for a in axes], sum((F.var_pop(a) for a in axes), F.lit(0.0)).alias("v"))
     # Nodes so many cells apart are beyond the last lag.
     span = [math.floor(reach / c) + 1 for c in cell]
     ahead = [o for o in itertools.product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(o, ("oi", "oj", "ok"))]) for o in ahead])
+    box = ["bi", "bj", "bk"]
     boxes = nodes.withColumn("o", F.explode(offsets)).select(
         *[(F.floor(F.col(k) / F.lit(s)) - F.col(f"o.o{k}")).cast("bigint").alias(f"b{k}") for k, s in zip("ijk", span)],
-        (F.expr("o.oi = 0 and o.oj = 0 and o.ok = 0")).alias("home"), "n", "s", "q", *[f"m_{a}" for a in axes], "v")
+        F.expr("o.oi = 0 and o.oj = 0 and o.ok = 0").alias("home"), *nodes.columns)
+    # The own nodes of a full box are dealt to several groups, each of which meets all nodes of the box and those next to it.
+    sizes = boxes.groupBy(*box).agg(F.count_if("home").alias("own"), F.count(F.lit(1)).alias("all"))
+    full = staged(sizes.withColumn("parts", F.ceil(F.col("own") * F.col("all") / F.lit(_GROUP_PAIRS)).cast("int")).filter("parts > 1").drop("own", "all"), "lag-parts")
+    dealt = lookup_join(boxes, full, box, "left", small_rows=full.count()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("i", "j", "k"), F.col("parts")).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("asks", F.col("home") & (F.col("mine") == F.col("part")))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((3, n_lags))
-
-        def add(h2: np.ndarray, pairs: np.ndarray, squares: np.ndarray) -> None:
-            h = np.sqrt(h2)
-            near = (h < reach) & (pairs > 0)
-            at = np.minimum((h[near] / lag).astype(int), n_lags - 1)
-            for row, weight in enumerate((pairs[near], pairs[near] * h[near], squares[near])):
-                total[row] += np.bincount(at, weight, n_lags)
-
-        rows = rows.sort_values("home", ascending=False)
-        n, s, q, v = (rows[c].to_numpy(float) for c in ("n", "s", "q", "v"))
-        places, own = rows[[f"m_{a}" for a in axes]].to_numpy(float), int(rows["home"].sum())
-        m = n[:own]
-        add(2 * v[:own] * m / np.maximum(m - 1, 1), m * (m - 1) / 2, m * q[:own] - s[:own] ** 2)
-        size = max(1, _MEET_CELLS // len(rows))
-        for lo in range(0, own, size):
-            a = np.arange(lo, min(own, lo + size))[:, None]
-            b = np.arange(lo, len(rows))[None, :]
-            h2 = v[a] + v[b]
-            for axis in places.T:
-                h2 = h2 + (axis[a] - axis[b]) ** 2
-            ia, ib = np.nonzero((b > a) & (h2 < reach * reach))
-            near, a, b = h2[ia, ib], a[ia, 0], b[0, ib]
-            add(near, n[a] * n[b], n[b] * q[a] + n[a] * q[b] - 2 * s[a] * s[b])
-        return pd.DataFrame({"lag": np.arange(n_lags, dtype=np.int32), "p": total[0], "hp": total[1], "sq": total[2]})
-
-    met = boxes.groupBy("bi", "bj", "bk").applyInPandas(meet, "lag int, p double, hp double, sq double")
-    return (
-        met.groupBy("lag").agg(F.sum("p").alias("pairs"), F.sum("hp").alias("hp"), F.sum("sq").alias("sq"))
-        .filter("pairs > 0")
-        .select("lag", (F.col("hp") / F.col("pairs")).alias("h"), F.col("pairs").cast("bigint").alias("pairs"),
-                (F.col("sq") / (2 * F.col("pairs"))).alias("gamma"))
-    )
-
-
-def cell_lag_table(
+        total, across = np.zeros((4, n_lags)), []
+        # The nodes that ask come first, then the box's others, then those next to it.
+        rows = rows.sort_values(["asks", "home", "i", "j", "k"], ascending=[False, False, True, True, True], kind="stable")
+        keys = rows[["i", "j", "k"]].to_numpy(np.int64)
+        n, s, q, v, r = (rows[c].to_numpy(float) for c in ("n", "s", "q", "v", "r"))
+        mean, middle = (rows[[f"{p}_{a}" for a in _AXES]].to_numpy(float) for p in ("m", "c"))
+        home = rows["home"].to_numpy(bool)
+        # Two nodes of the box meet where the one with the smaller key asks, whichever group has it.
+        order = np.empty(len(rows), np.int64)
+        order[np.lexsort(keys.T[::-1])] = np.arange(len(rows))
+        asking = int(rows["asks"].sum())
+
+        def add(a: np.ndarray, b: np.ndarray, lags: np.ndarray, same: np.ndarray) -> None:
+            h2 = ((mean[a] - mean[b]) ** 2).sum(axis=1) + v[a] + v[b]
+            pairs = np.where(same, n[a] * (n[a] - 1) / 2, n[a] * n[b])
+            h2 = np.where(same, h2 * n[a] / np.maximum(n[a] - 1, 1), h2)
+            squares = np.where(same, n[a] * q[a] - s[a] ** 2, n[b] * q[a] + n[a] * q[b] - 2 * s[a] * s[b])
+            for row, weight in enumerate((pairs, pairs * np.sqrt(h2), pairs * h2, squares)):
+                total[row] += np.bincount(lags, weight, n_lags)
+
+        size = max(1, _MEET_CELLS // max(len(rows), 1))
+        for lo in range(0, asking, size):
+            a = np.arange(lo, min(asking, lo + size))[:, None]
+            b = np.arange(len(rows))[None, :]
+            d = (middle[a, 0] - middle[b, 0]) ** 2
+            for axis in (1, 2):
+                d = d + (middle[a, axis] - middle[b, axis]) ** 2
+            d = np.sqrt(d)
+            wide = np.where(r[a] + r[b] > 0, r[a] + r[b] + 1e-9 * (1 + d), 0.0)
+            wanted = (d - wide < reach) & (~home[b] | (order[b] >= order[a]))
+            wanted &= (a != b) | (n[a] > 1)
+            ia, ib = np.nonzero(wanted)
+            d, one, two = d[ia, ib], a[ia, 0], b[0, ib]
+            same = one == two
+            first, last = _edge_lags(d, np.where(same, 2 * r[one], r[one] + r[two]), lag)
+            within = first == last
+            inside = within & (first < n_lags)
+            add(one[inside], two[inside], first[inside].astype(int), same[inside])
+            if not within.all():
+                across.append(np.column_stack((keys[one[~within]], keys[two[~within]])))
+        sums = pd.DataFrame({"lag": np.arange(n_lags), **dict(zip(_SUMS, total))})
+        sums = sums[sums.p > 0].assign(ai=None, aj=None, ak=None, bi=None, bj=None, bk=None)
+        split = np.concatenate(across) if across else np.empty((0, 6), np.int64)
+        rest = pd.DataFrame(split, columns=["ai", "aj", "ak", "bi", "bj", "bk"]).assign(lag=-1, **dict.fromkeys(_SUMS, 0.0))
+        return pd.concat([sums, rest[sums.columns]]) if len(rest) and len(sums) else rest[sums.columns] if len(rest) else sums
+
+    schema = "lag int, p double, hp double, h2p double, sq double, ai bigint, aj bigint, ak bigint, bi bigint, bj bigint, bk bigint"
+    return dealt.groupBy(*box, "part").applyInPandas(meet, schema)
+
+
+def _refined(pairs: DataFrame, parts: DataFrame, lag: float, n_lags: int) -> DataFrame:
+    """Pairs of the parts of straddling nodes: their sums and their least and greatest lag (``first``, ``last``)."""
+    def side(name: str) -> DataFrame:
+        return parts.select(F.col("up").alias(name), F.struct(*[F.col(c) for c in parts.columns if c != "up"]).alias(f"{name}_part"))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter("a <> b or a_part.key <= b_part.key")
+    a, b = (lambda c: F.col(f"a_part.{c}")), (lambda c: F.col(f"b_part.{c}"))
+    same = (F.col("a") == F.col("b")) & (a("key") == b("key"))
+
+    def squared(p: str) -> Column:
+        gaps = [a(f"{p}_{x}") - b(f"{p}_{x}") for x in _AXES]
+        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+
+    d, r = F.sqrt(squared("c")), F.when(same, 2 * a("r")).otherwise(a("r") + b("r"))
+    slack = F.when(r > 0, r + 1e-9 * (1 + d)).otherwise(0.0)
+    h2 = squared("m") + a("v") + b("v")
+    pairs_of = F.when(same, a("n") * (a("n") - 1) / 2).otherwise(a("n") * b("n"))
+    h2 = F.when(same, h2 * a("n") / F.greatest(a("n") - 1, F.lit(1.0))).otherwise(h2)
+    squares = F.when(same, a("n") * a("q") - a("s") * a("s")).otherwise(b("n") * a("q") + a("n") * b("q") - 2 * a("s") * b("s"))
+    found = met.select(
+        F.floor(F.greatest(d - slack, F.lit(0.0)) / lag).cast("int").alias("first"), F.floor((d + slack) / lag).cast("int").alias("last"),
+        pairs_of.alias("p"), (pairs_of * F.sqrt(h2)).alias("hp"), (pairs_of * h2).alias("h2p"), squares.alias("sq"),
+        a("key").alias("a"), b("key").alias("b"))
+    return found.filter((F.col("first") < n_lags) & (F.col("p") > 0))
+
+
+def lag_table(
     df: DataFrame, lag: float, n_lags: int, cell: tuple[float, float, float], value: str = "grade",
 ) -> DataFrame:
-    """``lag_table`` by the offsets between cells, as the SQL of ``variogram_lags`` has it.
-
-    Pair distance is the distance between cells, so lags are right only for points on cell
-    centres; nothing is fitted to this table.
+    """Experimental variogram ``lag, h, pairs, gamma, h_rms`` over all point pairs within the last lag.
+
+    Points are first reduced to nodes of a grid of ``cell`` size.  Two nodes whose boxes leave their
+    pairs only one lag are added by their sums: the squared differences and squared distances of all their
+    pairs follow from these.  Nodes across a lag's edge are taken apart into nodes of half the size, and
+    after some halvings into locations, so ``pairs``, ``gamma`` and ``h_rms`` (root mean square distance)
+    are those of all pairs of points for any cell; ``h`` takes a node pair's distances as equal.  Nodes meet in boxes as wide
+    as the last lag and the boxes next to them; a full box is dealt to several groups.
     """
+    rows = df.filter(F.col(value).isNotNull()).select(*_AXES, F.col(value).alias("_z"))
     # Centring keeps n*sum(z^2) from cancelling against the squared sum.
-    mean = df.agg(F.avg(value)).first()[0] or 0.0
-    nodes = variogram_nodes(df.withColumn(value, F.col(value) - F.lit(mean)), cell, value)
-    moved = _with_offsets(nodes, cell, lag, n_lags).select(
-        (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), (F.col("k") + F.col("dk")).alias("k"),
-        "lag", "h", F.col("n").alias("na"), F.col("s").alias("sa"), F.col("q").alias("qa"))
-    # A node is met at most once per offset, so no key of this join is hot.
-    other = F.broadcast(nodes) if is_small(nodes) else nodes
-    met = moved.join(other, ["i", "j", "k"])
-    inside = F.col("h") == 0
-    pairs = F.when(inside, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("na") * F.col("n"))
-    squares = F.when(inside, F.col("n") * F.col("q") - F.col("s") * F.col("s")).otherwise(
-        F.col("n") * F.col("qa") + F.col("na") * F.col("q") - 2 * F.col("sa") * F.col("s"))
-    return (
-        met.select("lag", "h", pairs.alias("p"), squares.alias("sq"))
-        .groupBy("lag")
-        .agg(F.sum("p").alias("pairs"), F.sum(F.col("h") * F.col("p")).alias("hp"), F.sum("sq").alias("sq"))
-        .filter("pairs > 0")
-        .select("lag", (F.col("hp") / F.col("pairs")).alias("h"), F.col("pairs").cast("bigint").alias("pairs"),
-                (F.col("sq") / (2 * F.col("pairs"))).alias("gamma"))
-    )
+    mean = rows.agg(F.avg("_z")).first()[0] or 0.0
+    z = F.col("_z") - F.lit(mean)
+
+    def keys(halvings: int) -> list[Column]:
+        return [F.floor(F.col(a) / F.lit(float(c) / 2**halvings)).cast("bigint").alias(k) for a, c, k in zip(_AXES, cell, "ijk")]
+
+    met = staged(_meetings(_nodes(rows, keys(0), z), cell, lag, n_lags), "lag-pairs")
+    sums = [met.filter("lag >= 0").select("lag", *_SUMS)]
+    key = F.struct("i", "j", "k")
+    pairs = met.filter("lag < 0").select(F.struct(*[F.col(f"a{k}").alias(k) for k in "ijk"]).alias("a"), F.struct(*[F.col(f"b{k}").alias(k) for k in "ijk"]).alias("b"))
+    for level in range(1, _HALVINGS + 2):
+        if pairs.isEmpty():
+            break
+        if level <= _HALVINGS:
+            parts = _nodes(rows, keys(level), z)
+            up = F.struct(*[F.floor(F.col(k) / 2).cast("bigint").alias(k) for k in "ijk"])
+        else:
+            # Locations, which have no extent: no pair of them straddles an edge.
+            parts = _nodes(rows, [F.col(a).alias(k) for a, k in zip(_AXES, "ijk")], z)
+            up = F.struct(*[F.floor(F.col(k) / F.lit(float(c) / 2**_HALVINGS)).cast("bigint").alias(k) for k, c in zip("ijk", cell)])
+        parts = parts.select(up.alias("up"), key.alias("key"), *[c for c in parts.columns if c not in "ijk"])
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("up")).distinct()
+        found = staged(_refined(pairs, parts.join(wanted, "up", "left_semi"), lag, n_lags), "lag-refined")
+        sums.append(found.filter("first = last").select(F.col("first").alias("lag"), *_SUMS))
+        pairs = found.filter("first < last").select("a", "b")
+    whole = sums[0]
+    for more in sums[1:]:
+        whole = whole.unionByName(more)
+    total = whole.groupBy("lag").agg(*[F.sum(c).alias(c) for c in _SUMS]).filter("p > 0")
+    return total.select(
+        "lag", (F.col("hp") / F.col("p")).alias("h"), F.col("p").cast("bigint").alias("pairs"), (F.col("sq") / (2 * F.col("p"))).alias("gamma"),
+        F.sqrt(F.col("h2p") / F.col("p")).alias("h_rms"))
 
 
 def fit_variogram(lags: DataFrame, models: tuple[str, ...] = MODELS) -> tuple[Variogram, float]:

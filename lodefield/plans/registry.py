@@ -296,28 +296,25 @@ def _(spark, sf):
     return V.samples(spark, sf).select("sample_id", *[variogram.gamma_column(h, v).alias(f"g_{name}") for name, v in _VG.items()])
 
 
-_LAG, _LAGS, _CELL = 60.0, 5, (100.0, 100.0, 10.0)
-# Cells of the tables that variograms are fitted to.
+_LAG, _LAGS = 60.0, 5
 _FIT_CELL = (15.0, 15.0, 2.0)
 
 
 @query("variogram_lags", sql(f"""
-    , z as (select cast(floor(x / {_CELL[0]}) as bigint) as i, cast(floor(y / {_CELL[1]}) as bigint) as j,
-                   cast(floor(depth / {_CELL[2]}) as bigint) as k, grade - (select avg(grade) from cleaned) as v from cleaned),
-    nodes as (select i, j, k, cast(count(*) as double) as n, sum(v) as s, sum(v * v) as q from z group by all),
-    offsets as (select di, dj, dk, sqrt(di * di * 10000.0 + dj * dj * 10000.0 + dk * dk * 100.0) as h
-                from range(0, 4) a(di), range(-3, 4) b(dj), range(-30, 31) c(dk)
-                where (di > 0 or (di = 0 and (dj > 0 or (dj = 0 and dk >= 0))))),
-    pairs as (select cast(floor(h / {_LAG}) as bigint) as lag, h,
-                     case when h = 0 then b.n * (b.n - 1) / 2 else a.n * b.n end as p,
-                     case when h = 0 then b.n * b.q - b.s * b.s else b.n * a.q + a.n * b.q - 2 * a.s * b.s end as sq
-              from nodes a join offsets o on h < {_LAG * _LAGS}
-              join nodes b on b.i = a.i + di and b.j = a.j + dj and b.k = a.k + dk)
-    select lag, {rnd('sum(h * p) / sum(p) as h')}, cast(sum(p) as bigint) as pairs, {rnd('sum(sq) / (2 * sum(p)) as gamma')}
-    from pairs group by lag having sum(p) > 0""", "cleaned"))
-def _(spark, sf):
-    """Lags by cell offsets, as in the SQL; the fits below take lags from the points' own places."""
-    return variogram.cell_lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _CELL)
+    , z as (select x, y, depth, cast(floor(x / {_LAG * _LAGS}) as bigint) as i, cast(floor(y / {_LAG * _LAGS}) as bigint) as j,
+                   cast(count(*) as double) as n, sum(grade - m) as s, sum((grade - m) * (grade - m)) as q
+            from cleaned, (select avg(grade) as m from cleaned) group by all),
+    near as (select z.*, i + di as ni, j + dj as nj from z, range(-1, 2) a(di), range(-1, 2) b(dj)),
+    pairs as (select sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.depth - b.depth) * (a.depth - b.depth)) as h,
+                     a.n * b.n as p, b.n * a.q + a.n * b.q - 2 * a.s * b.s as sq
+              from near a join z b on b.i = a.ni and b.j = a.nj and (a.x, a.y, a.depth) < (b.x, b.y, b.depth)
+              union all select 0, n * (n - 1) / 2, n * q - s * s from z where n > 1)
+    select cast(floor(h / {_LAG}) as bigint) as lag, cast(sum(p) as bigint) as pairs,
+           {rnd('sqrt(sum(h * h * p) / sum(p)) as h_rms', 'sum(sq) / (2 * sum(p)) as gamma')}
+    from pairs where h < {_LAG * _LAGS} group by 1""", "cleaned"))
+def _(spark, sf):
+    """All pairs within the last lag; the SQL lists the pairs of locations."""
+    return variogram.lag_table(V.cleaned(spark, sf), _LAG, _LAGS, _FIT_CELL).select("lag", "pairs", "h_rms", "gamma")
 
 
 _TRIALS_SQL = """select hole_id as trial, case hole_id % 3 when 0 then 'spherical' when 1 then 'exponential' else 'gaussian' end as model,

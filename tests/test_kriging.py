@@ -148,8 +148,29 @@ def test_lags_of_random_places_are_those_of_all_pairs(spark):
         got = table.orderBy("lag").toPandas()
         return np.abs(got[["pairs", "h", "gamma"]].to_numpy(float) / want - 1).max(axis=0)
 
-    assert (error(variogram.lag_table(df, 60.0, 5, (15.0, 15.0, 2.0))) < 0.02).all()
-    assert error(variogram.cell_lag_table(df, 60.0, 5, (100.0, 100.0, 10.0)))[0] > 0.1
+    rms = np.array([np.sqrt(np.mean(h[a] ** 2)) for a in at])
+    for cell in ((15.0, 15.0, 2.0), (100.0, 100.0, 10.0), (70.0, 45.0, 130.0)):
+        table = variogram.lag_table(df, 60.0, 5, cell)
+        off = error(table)
+        assert off[0] == 0 and off[1] < 0.02 and off[2] < 1e-9
+        assert np.allclose([r.h_rms for r in table.orderBy("lag").collect()], rms, rtol=1e-9)
+
+
+def test_lags_of_repeats_full_boxes_and_nothing(spark, monkeypatch):
+    monkeypatch.setattr(variogram, "_GROUP_PAIRS", 500)
+    rng = np.random.default_rng(6)
+    xyz = np.round(rng.uniform(0, 60, (400, 3)))
+    xyz[:100] = xyz[0]
+    xyz[100:160] = [30.0, 30.0, 30.0]
+    z = rng.normal(0, 1, 400)
+    df = spark.createDataFrame(pd.DataFrame(xyz, columns=["x", "y", "depth"]).assign(grade=z))
+    i, j = np.triu_indices(400, 1)
+    lag = np.floor(np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(1)) / 5).astype(int)
+    got = variogram.lag_table(df, 5.0, 8, (12.0, 7.0, 30.0)).orderBy("lag").collect()
+    assert [r.pairs for r in got] == [(lag == k).sum() for k in range(8)]
+    assert np.allclose([r.gamma for r in got], [0.5 * np.mean((z[i] - z[j])[lag == k] ** 2) for k in range(8)])
+    assert variogram.lag_table(df.limit(0), 5.0, 8, (12.0, 7.0, 30.0)).count() == 0
+    assert variogram.lag_table(df.limit(1), 5.0, 8, (12.0, 7.0, 30.0)).count() == 0
 
 
 def test_fit_recovers_a_variogram(spark):
