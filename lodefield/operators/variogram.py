@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodefield.functions.joins import lookup_join
+from lodefield.operators.cells import spread
 from lodefield.sources.staging import staged
 
 # Fixed value: the model names.
@@ -64,6 +65,8 @@ def gamma_column(h: Column, v: Variogram) -> Column:
 # Node pairs held at once, and those that one group compares at most (about).
 _MEET_CELLS = 1_000_000
 _GROUP_PAIRS = 20_000_000
+# Node pairs that count as one row when groups are dealt to tasks.
+_PAIRS_PER_ROW = 400
 # Halvings of the cells before straddling nodes are taken apart into locations.
 _HALVINGS = 4
 _AXES = ("x", "y", "depth")
@@ -154,7 +157,8 @@ def _meetings(nodes: DataFrame, cell: tuple[float, float, float], lag: float, n_
         return pd.concat([sums, rest[sums.columns]]) if len(rest) and len(sums) else rest[sums.columns] if len(rest) else sums
 
     schema = "lag int, p double, hp double, h2p double, sq double, ai bigint, aj bigint, ak bigint, bi bigint, bj bigint, bk bigint"
-    return dealt.groupBy(*box, "part").applyInPandas(meet, schema)
+    meeting = sizes.agg(F.sum(F.col("own") * F.col("all"))).first()[0] or 0
+    return spread(dealt, [*box, "part"], meeting // _PAIRS_PER_ROW).groupBy(*box, "part").applyInPandas(meet, schema)
 
 
 def _refined(pairs: DataFrame, parts: DataFrame, lag: float, n_lags: int) -> DataFrame:
@@ -162,7 +166,7 @@ def _refined(pairs: DataFrame, parts: DataFrame, lag: float, n_lags: int) -> Dat
     def side(name: str) -> DataFrame:
         return parts.select(F.col("up").alias(name), F.struct(*[F.col(c) for c in parts.columns if c != "up"]).alias(f"{name}_part"))
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b").filter("a <> b or a_part.key <= b_part.key")
+    met = spread(pairs, ["a"], pairs.count()).join(side("a"), "a").join(side("b"), "b").filter("a <> b or a_part.key <= b_part.key")
     a, b = (lambda c: F.col(f"a_part.{c}")), (lambda c: F.col(f"b_part.{c}"))
     same = (F.col("a") == F.col("b")) & (a("key") == b("key"))
 
