@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodefield.functions.keyed import keyed_hash, keyed_normal
 from lodefield.operators.clean import fit_tails, select_tails
 
+# Fixed value: tail rows drawn unless the caller says otherwise.
 MAX_DRAWS = 1000
 # Hash space of keyed_hash cut into equal ranges; fixes the size of the offset table.
 _RANGES = 65536
@@ -46,10 +47,12 @@ def draw_tails(tails: DataFrame, draws: int, seed: int, key: str = "sample_id")
     return picked.drop("_h", "_range", "_start", "_pos")
 
 
-def oversample_extremes(df: DataFrame, target: str = "grade", k: float = 0.02, seed: int = 42, key: str = "sample_id") -> DataFrame:
-    """Append min(tail rows, 1000) tail rows drawn with replacement; their key is suffixed."""
+def oversample_extremes(
+    df: DataFrame, target: str = "grade", k: float = 0.02, seed: int = 42, key: str = "sample_id", draws: int = MAX_DRAWS,
+) -> DataFrame:
+    """Append min(tail rows, ``draws``) tail rows drawn with replacement; their key is suffixed."""
     tails = select_tails(df, fit_tails(df, target, k), target)
-    copies = draw_tails(tails, MAX_DRAWS, seed, key)
+    copies = draw_tails(tails, draws, seed, key)
     copies = copies.withColumn(key, F.concat_ws("", F.col(key), F.lit("+o"), F.col("draw")))
     return df.unionByName(copies.select(*df.columns))
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import factorial
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +17,7 @@ from lodefield.functions.quantiles import exact_quantiles
 from lodefield.operators.split import add_fold, subsample
 from lodefield.operators.trees import TreeParams, fit_trees, rmse_of, run_parallel, score_trees
 
-# Rows explained, features in dependence tables, learning-curve sizes.
-EXPLAIN_ROWS = 4000
+# Features in dependence tables, learning-curve sizes.
 TOP_FEATURES = 4
 CURVE_SIZES = (0.1, 0.28, 0.46, 0.64, 0.82, 1.0)
 
@@ -74,44 +78,121 @@ def partial_dependence(
         F.avg("_p").alias("mean_pred"), F.count(F.lit(1)).alias("n"))
 
 
+@dataclass(frozen=True)
+class Leaves:
+    """Leaves of a boosted model.  Bit j of a leaf's mask is set where a row meets the interval of its j-th path feature."""
+
+    paths: list[tuple[tuple[int, float, float], ...]]  # (feature, above, up to) for each distinct feature of the path
+    values: list[float]  # prediction times the tree's weight
+
+
+def leaves_of(model: GBTRegressionModel) -> Leaves:
+    """Leaves of all trees, read from the model's description."""
+    paths, values, weight = [], [], 1.0
+    # Sides taken on the way down, with the indent of their line: a line replaces those at its indent and below.
+    way: list[tuple[int, float, bool, int]] = []
+    for line in model.toDebugString.splitlines():
+        words = line.replace("(", " ").replace(")", " ").split()
+        if words[:1] == ["Tree"]:
+            weight, way = float(words[3].rstrip(":")), []
+        elif words[:1] in (["If"], ["Else"]):
+            indent = len(line) - len(line.lstrip())
+            way = [w for w in way if w[3] < indent] + [(int(words[2]), float(words[4]), words[0] == "If", indent)]
+        elif words[:1] == ["Predict:"]:
+            bounds: dict[int, tuple[float, float]] = {}
+            for feature, threshold, left, _ in way:
+                low, high = bounds.get(feature, (-np.inf, np.inf))
+                bounds[feature] = (low, min(high, threshold)) if left else (max(low, threshold), high)
+            paths.append(tuple((f, low, high) for f, (low, high) in bounds.items()))
+            values.append(weight * float(words[1]))
+    return Leaves(paths, values)
+
+
+def _masks(x: np.ndarray, path: tuple[tuple[int, float, float], ...]) -> np.ndarray:
+    """Mask of every row for one leaf.  NaN goes right at each split, as when the model predicts."""
+    out = np.zeros(len(x), np.int64)
+    for j, (feature, low, high) in enumerate(path):
+        v = x[:, feature]
+        inside = ~(v <= low) if np.isinf(high) else ~(v <= low) & (v <= high)
+        out |= inside.astype(np.int64) << j
+    return out
+
+
+def background_masks(background: DataFrame, features: list[str], leaves: Leaves) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per leaf the masks that rows of ``background`` have, and the share of rows that have each.
+
+    All rows count; each task sends counts, at most 2 to the number of path features a leaf, so what reaches the driver
+    grows with the model only.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            x = batch.to_numpy(float)
+            for leaf, path in enumerate(leaves.paths):
+                for mask, n in zip(*(a.tolist() for a in np.unique(_masks(x, path), return_counts=True))):
+                    seen[leaf, mask] = seen.get((leaf, mask), 0) + n
+        if seen:
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["leaf", "mask", "n"])
+
+    rows = background.select(*[F.col(c).cast("double") for c in features]).mapInPandas(count, "leaf int, mask bigint, n bigint")
+    found = rows.groupBy("leaf", "mask").agg(F.sum("n").alias("n")).toPandas().sort_values(["leaf", "mask"])
+    if found.empty:
+        raise ValueError("Shapley values need at least one background row")
+    by_leaf = {leaf: part for leaf, part in found.groupby("leaf")}
+    return [(by_leaf[i]["mask"].to_numpy(np.int64), by_leaf[i]["n"].to_numpy(float) / by_leaf[i]["n"].sum()) for i in range(len(leaves.paths))]
+
+
+def _leaf_shares(own: np.ndarray, other: np.ndarray, share: np.ndarray, d: int) -> np.ndarray:
+    """Mean Shapley values of the leaf's indicator for each of its ``d`` path features, for rows with masks ``own``.
+
+    Against one background row the leaf is reached by the coalitions that hold all ``u`` features only the row meets and none of
+    the ``v`` only the background row meets: a feature of the first kind earns (u-1)! v! / (u+v)!, one of the second loses u! (v-1)! / (u+v)!.
+    """
+    whole = (1 << d) - 1
+    bits = [1 << j for j in range(d)]
+    mine, theirs = own[:, None] & ~other[None, :], other[None, :] & ~own[:, None]
+    u = sum(((mine & b) > 0).astype(np.int64) for b in bits)
+    v = sum(((theirs & b) > 0).astype(np.int64) for b in bits)
+    reached = ((own[:, None] | other[None, :]) == whole) * share[None, :]
+    fact = np.array([factorial(i) for i in range(2 * d + 1)], float)
+    gain = reached * fact[np.maximum(u - 1, 0)] * fact[v] / fact[u + v]
+    loss = reached * fact[u] * fact[np.maximum(v - 1, 0)] / fact[u + v]
+    return np.column_stack([(gain * ((mine & b) > 0) - loss * ((theirs & b) > 0)).sum(axis=1) for b in bits])
+
+
 def shapley(
-    df: DataFrame, model: GBTRegressionModel, features: list[str], key: str = "sample_id", n_rows: int = EXPLAIN_ROWS,
-    n_paths: int = 8, seed: int = 42,
+    df: DataFrame, model: GBTRegressionModel, features: list[str], key: str = "sample_id", background: DataFrame | None = None,
+    n_rows: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Sampled Shapley values ``key, feature, value, phi`` of a keyed subsample of rows.
+    """Exact interventional Shapley values ``key, feature, value, phi`` of all rows, or of a keyed subsample of ``n_rows``.
 
-    Each path walks from a background row to the explained row, switching features
-    in a random order; a feature's gain at its switch counts for it.  Over a row the
-    values add up to its prediction minus the background's mean prediction.
+    ``background`` (all of ``df`` by default) stands for absent features, every row of it alike.  Over a row the values add up to its
+    prediction minus the background's mean prediction.  Leaves are few and known, so a background of any size comes down to
+    counts of the masks its rows have in each leaf; each row then needs one pass over the leaves, without a shuffle.
     """
-    rng = np.random.default_rng(seed)
-    base = subsample(df.select(key, *features), n_paths, seed + 1, key).select(*features).toPandas().to_numpy(float)
-    n_paths, p = len(base), len(features)
-    orders = np.array([rng.permutation(p) for _ in range(n_paths)])
-    switch_at = np.argsort(orders, axis=1)
-    rows = subsample(df.select(key, *features), n_rows, seed, key)
-
-    def per_path(values) -> F.Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_path") + 1)
-
-    walked = rows.withColumn("_path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))).withColumn(
-        "_step", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    mixed = walked.withColumns({f"_x{i}": F.col(c) for i, c in enumerate(features)}).withColumns({
-        c: F.when(F.col("_step") > per_path(switch_at[:, i].tolist()), F.col(c)).otherwise(per_path(base[:, i].tolist()))
-        for i, c in enumerate(features)})
-    scored = score_trees(mixed, model, features, "_p")
-    # The score at step s adds to the feature switched at s and takes from the next one.
-    table = F.array(*[F.array(*[F.lit(int(f)) for f in order]) for order in orders])
-    order = F.element_at(table, F.col("_path") + 1)
-    shares = F.array(
-        F.struct(F.when(F.col("_step") > 0, F.get(order, F.col("_step") - 1)).alias("i"), F.col("_p").alias("d")),
-        F.struct(F.when(F.col("_step") < p, F.get(order, F.col("_step"))).alias("i"), (-F.col("_p")).alias("d")))
-    own = F.array(*[F.col(f"_x{i}") for i in range(p)])
-    parts = scored.select(key, own.alias("_own"), F.explode(shares).alias("s")).filter("s.i is not null")
-    names = F.array(*[F.lit(c) for c in features])
-    return parts.groupBy(key, F.col("s.i").alias("_i")).agg(
-        F.first(F.get("_own", F.col("s.i"))).alias("value"), (F.sum("s.d") / n_paths).alias("phi"),
-    ).select(key, F.get(names, F.col("_i")).alias("feature"), "value", "phi")
+    leaves = leaves_of(model)
+    shared = df.sparkSession.sparkContext.broadcast((leaves, background_masks(df if background is None else background, features, leaves)))
+    rows = df if n_rows is None else subsample(df, n_rows, seed, key)
+    p = len(features)
+
+    @F.pandas_udf("array<double>")
+    def values(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        known, masks = shared.value
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(float) for c in columns])
+            phi = np.zeros((len(x), p))
+            for path, value, (other, share) in zip(known.paths, known.values, masks):
+                if path:
+                    own, at = np.unique(_masks(x, path), return_inverse=True)
+                    phi[:, [f for f, _, _ in path]] += value * _leaf_shares(own, other, share, len(path))[at]
+            yield pd.Series(list(phi))
+
+    cells = F.arrays_zip(
+        F.array(*[F.lit(c) for c in features]).alias("feature"), F.array(*[F.col(c).cast("double") for c in features]).alias("value"),
+        F.col("_phi").alias("phi"))
+    done = rows.select(key, *features).withColumn("_phi", values(*[F.col(c).cast("double") for c in features]))
+    return done.select(key, F.inline(cells))
 
 
 def shapley_summary(values: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
+from math import sqrt
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,38 +92,37 @@ def grid_search(
     key: str = "sample_id",
     parallelism: int = 4,
 ) -> tuple[DataFrame, GBTRegressionModel]:
-    """Trial table and the model of the first lowest validation RMSE."""
+    """Trial table and the model of the first lowest validation RMSE.
+
+    Trials that differ in the number of trees only are one fit of the largest number: a boosted model's first trees are those of
+    the shorter fit, and one pass over the validation rows gives the error after each tree.  A shorter winner is fitted once more.
+    """
     spark = train.sparkSession
     parts = split_fraction(train.select(key, *features, label), valid_size, base.seed + 7, key)
     rows = assemble(parts, features).select("_features", label, "_set").persist()
+    names = ("n_trees", "depth", "step", "row_share", "column_share")
+    lengths = [int(n) for n in grid.get("n_trees", (base.n_trees,))]
+    others = [name for name in grid if name != "n_trees"]
+    settings = [replace(base, n_trees=max(lengths), **dict(zip(others, chosen))) for chosen in product(*(grid[name] for name in others))]
     try:
         fit_rows, valid_rows = rows.filter("_set = 'Train'"), rows.filter("_set = 'Test'")
-        estimator = _regressor(base, label)
-        targets = {"n_trees": estimator.maxIter, "depth": estimator.maxDepth, "step": estimator.stepSize,
-                   "row_share": estimator.subsamplingRate, "column_share": estimator.featureSubsetStrategy}
-        builder = ParamGridBuilder()
-        for name, values in grid.items():
-            builder = builder.addGrid(targets[name], [_columns(v) if name == "column_share" else v for v in values])
-        maps = builder.build()
-
-        def trial(i: int):
-            model = estimator.copy(maps[i]).fit(fit_rows)
-            return model, rmse_of(model.transform(valid_rows), label, "_prediction")
-
-        done = run_parallel(spark, [lambda i=i: trial(i) for i in range(len(maps))], parallelism)
+
+        def prefixes(params: TreeParams):
+            model = _regressor(params, label).fit(fit_rows)
+            errors = model.evaluateEachIteration(valid_rows, "squared")
+            return model, [sqrt(errors[n - 1]) for n in lengths]
+
+        done = run_parallel(spark, [lambda p=p: prefixes(p) for p in settings], parallelism)
+        trials = [(replace(params, n_trees=n), rmse, model) for params, (model, rmses) in zip(settings, done) for n, rmse in zip(lengths, rmses)]
+        best, _, model = min(trials, key=lambda t: t[1])
+        if best.n_trees < max(lengths):
+            model = _regressor(best, label).fit(fit_rows)
     finally:
         rows.unpersist()
-    records = []
-    for i, (pmap, (_, rmse)) in enumerate(zip(maps, done)):
-        chosen = {name: pmap.get(param) for name, param in targets.items()}
-        given = {name: chosen[name] if chosen[name] is not None else getattr(base, name) for name in targets}
-        share = given["column_share"]
-        records.append((i, given["n_trees"], given["depth"], given["step"], given["row_share"],
-                        1.0 if share == "all" else float(share), rmse))
+    records = [(i, *(getattr(params, name) for name in names), rmse) for i, (params, rmse, _) in enumerate(trials)]
     table = spark.createDataFrame(
         records, "trial int, n_trees int, depth int, step double, row_share double, column_share double, rmse double")
-    best = min(range(len(done)), key=lambda i: done[i][1])
-    return table, done[best][0]
+    return table, model
 
 
 def fit_clusters(train: DataFrame, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = 42) -> KMeansModel:

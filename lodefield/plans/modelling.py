@@ -151,7 +151,7 @@ def run_model(
 def diagnose(run: ModelRun, curve_sizes: tuple[float, ...] = explain.CURVE_SIZES, k: int = 5, params: TreeParams = TreeParams()) -> dict[str, DataFrame]:
     """All tables drawn from a modelling run."""
     df, models = run.predictions, ["kriging_pred", "xgb_pred", "hybrid_pred", "fusion_pred"]
-    values = explain.shapley(df, run.tree_model, run.features)
+    values = explain.shapley(df, run.tree_model, run.features, background=run.train)
     return {
         "compare": metrics.compare_models(run.metrics),
         "pairs": metrics.prediction_pairs(df, models),

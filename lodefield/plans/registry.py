@@ -684,6 +684,8 @@ def _(spark, sf):
 _SYSTEM = 600
 _TREES = trees.TreeParams(n_trees=20, depth=5, step=0.2)
 _SMALL_TREES = trees.TreeParams(n_trees=10, depth=4, step=0.2)
+# As many combinations as the full grid, of smaller trees.
+_GRID = trees.FULL_GRID | {"n_trees": (6, 9, 12), "depth": (3, 4, 5)}
 _MODEL = variogram.Variogram("spherical", 150.0, 60.0, 2.0)
 
 
@@ -695,7 +697,7 @@ def _sets(spark, sf):
 def _modelling(spark, sf):
     """Training and test rows with scaled features fitted on the training rows."""
     train, test = _sets(spark, sf)
-    params = fit_features(train, 0)
+    params = fit_features(train)
     return apply_features(train, params), apply_features(test, params), params.features
 
 
@@ -766,21 +768,22 @@ def _(spark, sf):
 
 @query("grid")
 def _(spark, sf):
+    """All 108 combinations, as 36 fits."""
     train, _, features = _modelling(spark, sf)
-    return trees.grid_search(train, features, {"depth": (3, 5), "step": (0.1, 0.2)}, _SMALL_TREES)[0]
+    return trees.grid_search(train, features, _GRID)[0]
 
 
 @query("clusters")
 def _(spark, sf):
     df = V.cleaned(spark, sf)
-    return trees.assign_clusters(df, trees.fit_clusters(df, restarts=3)).select("sample_id", "cluster")
+    return trees.assign_clusters(df, trees.fit_clusters(df)).select("sample_id", "cluster")
 
 
 @query("hybrid")
 def _(spark, sf):
     train, test, features = _modelling(spark, sf)
     known, kriged = kriging.krige_with_held_out(train, test, _MODEL, n_max=_SYSTEM)
-    clusters = trees.fit_clusters(train, restarts=2)
+    clusters = trees.fit_clusters(train)
     known = known.withColumn("residual", F.col("grade") - F.col("kriging_pred")).filter("residual is not null")
     residual = trees.assign_clusters(known, clusters)
     local = trees.fit_cluster_models(residual, features, params=_SMALL_TREES)
@@ -803,7 +806,7 @@ def _(spark, sf):
 @query("learning_curve")
 def _(spark, sf):
     train, _, features = _modelling(spark, sf)
-    return explain.learning_curve(train, features, sizes=(0.1, 0.5, 1.0), k=3, params=_SMALL_TREES)
+    return explain.learning_curve(train, features, params=_SMALL_TREES)
 
 
 @query("pdp")
@@ -815,4 +818,4 @@ def _(spark, sf):
 @query("shapley")
 def _(spark, sf):
     train, test, features = _modelling(spark, sf)
-    return explain.shapley(test, trees.fit_trees(train, features, params=_SMALL_TREES), features)
+    return explain.shapley(test, trees.fit_trees(train, features, params=_SMALL_TREES), features, background=train)

@@ -1,10 +1,14 @@
+from math import factorial
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from lodefield.functions.moments import moments
 from lodefield.operators import explain, fusion, trees
+from lodefield.operators.split import split_fraction
 from lodefield.operators.trees import TreeParams
 
 QUICK = TreeParams(n_trees=5, depth=3, step=0.3)
@@ -86,17 +90,77 @@ def test_small_clusters_share_one_model(data):
     assert models[1] is models[2] and models[0] is not models[1]
 
 
+def test_grid_trials_equal_separate_fits(data):
+    table, model = trees.grid_search(data, FEATURES, {"n_trees": (2, 6, 4), "row_share": (0.7, 1.0), "column_share": (0.67, 1.0)}, QUICK)
+    got = table.orderBy("trial").collect()
+    assert len(got) == 12
+    parts = split_fraction(data, 0.25, QUICK.seed + 7)
+    fit_rows, valid = parts.filter("_set = 'Train'"), parts.filter("_set = 'Test'")
+    for r in got:
+        alone = trees.fit_trees(fit_rows, FEATURES, params=TreeParams(r.n_trees, r.depth, r.step, r.row_share, r.column_share))
+        assert r.rmse == pytest.approx(trees.rmse_of(trees.score_trees(valid, alone, FEATURES, "p"), "grade", "p"), rel=1e-9)
+    best = min(got, key=lambda r: r.rmse)
+    assert model.getNumTrees == best.n_trees
+    assert trees.rmse_of(trees.score_trees(valid, model, FEATURES, "p"), "grade", "p") == pytest.approx(best.rmse, rel=1e-9)
+
+
+def test_grid_with_a_shorter_winner(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "grade": rng.normal(size=300), "sample_id": [f"s{i}" for i in range(300)]})
+    table, model = trees.grid_search(spark.createDataFrame(pdf), ["a"], {"n_trees": (1, 15)}, TreeParams(depth=5, step=1.0))
+    rmse = {r.n_trees: r.rmse for r in table.collect()}
+    assert rmse[1] < rmse[15] and model.getNumTrees == 1
+
+
 def test_shapley_adds_up(data):
     model = trees.fit_trees(data, FEATURES, params=QUICK)
-    values = explain.shapley(data, model, FEATURES, n_rows=50, n_paths=6)
+    values = explain.shapley(data, model, FEATURES)
     scored = trees.score_trees(data, model, FEATURES, "p").select("sample_id", "p")
-    base = trees.score_trees(
-        explain.subsample(data.select("sample_id", *FEATURES), 6, 43), model, FEATURES, "p").agg(F.avg("p")).first()[0]
+    base = scored.agg(F.avg("p")).first()[0]
     total = values.groupBy("sample_id").agg(F.sum("phi").alias("s"), F.count(F.lit(1)).alias("n")).join(scored, "sample_id").collect()
-    assert len(total) == 50 and all(r.n == 3 and r.s == pytest.approx(r.p - base) for r in total)
+    assert len(total) == 600 and all(r.n == 3 and r.s == pytest.approx(r.p - base) for r in total)
     summary = {r.feature: r.mean_abs_phi for r in explain.shapley_summary(values).collect()}
     assert max(summary, key=summary.get) == "a" and summary["c"] < 0.2
-    assert explain.shapley_dependence(values, model, FEATURES, 2).count() == 100
+    assert explain.shapley_dependence(values, model, FEATURES, 2).count() == 1200
+    assert explain.shapley(data, model, FEATURES, n_rows=50).count() == 150
+
+
+def test_shapley_equals_all_subsets(spark):
+    """Eight features, every subset, every background row, scored by the model itself; one row has a NaN, some rows repeat."""
+    rng = np.random.default_rng(4)
+    names = [f"f{i}" for i in range(8)]
+    x = rng.integers(-3, 4, (400, 8)).astype(float)
+    pdf = pd.DataFrame(x, columns=names)
+    pdf["grade"] = x[:, 0] * x[:, 1] + 3 * (x[:, 2] > 0) * (x[:, 3] < 1) + x[:, 4] - x[:, 5] * (x[:, 6] > x[:, 7])
+    pdf["sample_id"] = [f"s{i}" for i in range(400)]
+    model = trees.fit_trees(spark.createDataFrame(pdf), names, params=TreeParams(6, 5, 0.4))
+    rows, others = pdf.iloc[:3].copy(), pdf.iloc[[10, 11, 11, 12]]
+    rows.loc[2, "f2"] = np.nan
+    got = explain.shapley(spark.createDataFrame(rows), model, names, background=spark.createDataFrame(others)).toPandas()
+    # Every mixture of an explained and a background row.
+    subsets = np.array([[s >> i & 1 for i in range(8)] for s in range(256)], bool)
+    mixed = np.where(subsets[None, None], rows[names].to_numpy()[:, None, None], others[names].to_numpy()[None, :, None])
+    flat = spark.createDataFrame(pd.DataFrame(mixed.reshape(-1, 8), columns=names).assign(at=np.arange(3 * 4 * 256)))
+    assembled = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep").transform(flat)
+    score = model.transform(assembled).select("at", "_prediction").toPandas().sort_values("at")["_prediction"].to_numpy()
+    worth = score.reshape(3, 4, 256).mean(axis=1)
+    size = subsets.sum(axis=1)
+    for r, sample in enumerate(rows.sample_id):
+        for i, name in enumerate(names):
+            without = np.flatnonzero(~subsets[:, i])
+            weight = np.array([factorial(k) * factorial(7 - k) / factorial(8) for k in size[without]])
+            want = (weight * (worth[r, without | 1 << i] - worth[r, without])).sum()
+            phi = got[(got.sample_id == sample) & (got.feature == name)].phi.item()
+            assert phi == pytest.approx(want, abs=1e-9)
+
+
+def test_shapley_of_stumps_and_empty_tables(spark, data):
+    flat = trees.fit_trees(data.withColumn("grade", F.lit(3.0)), FEATURES, params=QUICK)  # no splits at all
+    assert {r.phi for r in explain.shapley(data, flat, FEATURES).collect()} == {0.0}
+    model = trees.fit_trees(data, FEATURES, params=QUICK)
+    assert explain.shapley(data.limit(0), model, FEATURES, background=data).count() == 0
+    with pytest.raises(ValueError, match="background"):
+        explain.shapley(data, model, FEATURES, background=data.limit(0))
 
 
 def test_partial_dependence_is_a_mean_over_rows(data):
