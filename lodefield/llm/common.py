@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodefield.session import checkpoint_folder, ship_package
 
@@ -43,6 +46,18 @@ def private(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` whose bigint columns come as ``Int64``, so that a null beside them does not turn them into doubles."""
+    kinds = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get) for batch in given)
+        for frame in run(frames):
+            yield pa.RecordBatch.from_pandas(frame, schema=kinds, preserve_index=False)
+
+    return df.mapInArrow(batches, schema)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings that hold for what runs inside."""

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodefield.llm.common import new_folder, private, settings, table
+from lodefield.llm.common import map_frames, new_folder, private, settings, table
 from lodefield.llm.components import components
 from lodefield.llm.shingles import mix, shingle_sets
 
@@ -110,11 +110,11 @@ def sets_of(docs: DataFrame, k_words: int = K_WORDS, percent: int = PERCENT) ->
                 part = batch.iloc[at : at + _SETS_ROWS]
                 sets = shingle_sets(part["text"], k_words)
                 yield pd.DataFrame({
-                    "id": part["id"].astype("Int64"), "n": [len(s) for s in sets],
+                    "id": part["id"], "n": [len(s) for s in sets],
                     "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "k": [_prefix(len(s), percent)[1] for s in sets], "least_k": [_least_k(len(s), percent) for s in sets], "prefix": [_short(s[: _prefix(len(s), percent)[0]]) for s in sets]})
 
-    return docs.mapInPandas(run, "id bigint, n bigint, key binary, k bigint, least_k bigint, prefix array<bigint>")
+    return map_frames(docs, run, "id bigint, n bigint, key binary, k bigint, least_k bigint, prefix array<bigint>")
 
 
 def whole_sets(docs: DataFrame, k_words: int = K_WORDS) -> DataFrame:
@@ -289,8 +289,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     member = sets.select("id", "n", "key").join(groups.select("key", "rep"), "key", "left")
     named = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(own, F.col("id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
+    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

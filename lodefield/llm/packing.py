@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodefield.llm.common import new_folder, table
+from lodefield.llm.common import map_frames, new_folder, table
 
 TOKENS = 1024
 END_ID = 2
@@ -231,8 +231,8 @@ def place(pieces: DataFrame, capacity_docs: int = TOKENS, capacity_cost: float =
             yield b[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(
                 sequence_id=plan.first_bin[at] + within // plan.per_bin[at], offset=plan.offset[at] + within % plan.per_bin[at] * length)
 
-    return ranked.drop("chunk").mapInPandas(
-        run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return map_frames(
+        ranked.drop("chunk"), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, vocabulary: Vocabulary | None = None, **settings) -> tuple[DataFrame, DataFrame]:

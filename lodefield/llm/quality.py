@@ -9,7 +9,9 @@ The model is fitted on a bounded sample of graded rows (``SAMPLE``); every whole
 Defined results: null text is empty and scores by the thresholds alone; labels with a null part or id are not learned;
 several labels of a document are joined to the lowest; with no graded rows, or one grade only, every text has
 the expected grade that the rows have (the highest when there are none); repeated rows score alike; an empty
-table gives an empty result.
+table gives an empty result.  Texts of any length are scored whole, as one value of a batch.  Equally strong features are taken in the
+order of their buckets, and a probability equal to the threshold is enough.  Further columns of any name and type stay as they are
+and never leave the JVM.
 """
 
 from __future__ import annotations
@@ -95,19 +97,16 @@ def grades_of(labels: DataFrame) -> DataFrame:
 def grade(docs: DataFrame, labels: DataFrame, least: int = 1, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, expected_grade, reaches``, the last being P(grade >= ``least``)."""
     model = train(docs, grades_of(labels), sample=sample)
-    scored = linear_scores(docs.select("doc_id", "text"), model.buckets, model.weights, ["doc_id"])
+    scored = linear_scores(docs.select("doc_id", "text"), model.buckets, model.weights)
     return scored.select("doc_id", model.expected(F.col("score")).alias("expected_grade"), model.reach(F.col("score"), least).alias("reaches"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: int = 1, probability: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with its columns, whose text reaches grade ``least`` with at least ``probability``."""
     model = train(docs, grades_of(labels), sample=sample)
-    kept = [c for c in docs.columns]
-    name = private(docs, "score")
-    named = docs if name == "score" else docs.withColumnRenamed("score", f"{name}_own")
-    scored = linear_scores(named, model.buckets, model.weights, named.columns)
-    good = scored.filter(model.reach(F.col("score"), least) >= probability).drop("score")
-    return good.toDF(*kept)
+    name = private(docs, "_quality")
+    scored = linear_scores(docs, model.buckets, model.weights, name)
+    return scored.filter(model.reach(F.col(name), least) >= probability).drop(name)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,23 +168,23 @@ class Selected:
         return out * self.scale
 
 
-def linear_scores(docs: DataFrame, buckets: np.ndarray, weights: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score``, the sum of weights times values, for every row of ``docs``."""
-    schema = docs.select(*keep).schema.add("score", "double")
+def linear_scores(docs: DataFrame, buckets: np.ndarray, weights: np.ndarray, name: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``name``, the sum of weights times values, for every row.  Only the text goes to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scores_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features(buckets)
         for batch in batches:
             scores = np.zeros(len(batch))
-            for r, text in enumerate(batch["_text"]):
+            for r, text in enumerate(batch):
                 index, value = features(text)
                 if len(buckets) and len(index):
                     at = np.minimum(np.searchsorted(buckets, index), len(buckets) - 1)
                     hit = buckets[at] == index
                     scores[r] = float(value[hit] @ weights[at[hit]])
-            yield batch[keep].assign(score=scores)
+            yield pd.Series(scores)
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInPandas(run, schema)
+    return docs.withColumn(name, scores_of(F.col(text_col).cast("string")))
 
 
 def sigmoid(x):

@@ -14,7 +14,9 @@ every whole text is scored.
 
 Defined results: null text is empty and scores by the intercept; labels that are null or have a null id
 are not learned; several labels of a document count as toxic if one is; with no labelled rows every score is 0;
-repeated rows score alike; an empty table gives an empty result.
+repeated rows score alike; an empty table gives an empty result.  Texts of any length are scored whole, as one value of
+a batch.  Equally strong features are taken in the order of their buckets, and a score equal to the threshold counts as toxic.  Further
+columns of any name and type stay as they are and never leave the JVM.
 """
 
 from __future__ import annotations
@@ -200,25 +202,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     return ToxicityModel(chosen.buckets, weights * chosen.scale, intercept, model)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``score`` between 0 and 1 for every row."""
-    raw = linear_scores(docs, model.buckets, model.weights, keep)
-    return raw.withColumn("score", 1.0 / (1.0 + F.exp(-(F.col("score") + F.lit(float(model.intercept))))))
+def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """``docs`` with a score between 0 and 1 in ``name``."""
+    raw = linear_scores(docs, model.buckets, model.weights, name)
+    return raw.withColumn(name, 1.0 / (1.0 + F.exp(-(F.col(name) + F.lit(float(model.intercept))))))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, with its columns, that score below ``threshold``."""
     model = train(docs, learnable(labels), sample)
-    kept = list(docs.columns)
-    name = private(docs, "score")
-    named = docs if name == "score" else docs.withColumnRenamed("score", f"{name}_own")
-    return score(named, model, named.columns).filter(F.col("score") < threshold).drop("score").toDF(*kept)
+    name = private(docs, "_toxicity")
+    return score(docs, model, name).filter(F.col(name) < threshold).drop(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, learnable(table(spark, sf_dir, "labels")))
-    scored = score(docs, model, ["doc_id"])
+    scored = score(docs, model)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -154,8 +154,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+        # Typed from the start: a null would turn a column of numbers into doubles.
+        kinds = dict.fromkeys(names, object) | {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"}
+        return pd.DataFrame({name: pd.Series(values, dtype=kinds[name]) for name, values in zip(names, zip(*rows))})
 
     for batch in batches:
         for raw in batch["content"]:

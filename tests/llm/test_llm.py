@@ -306,7 +306,7 @@ def labelled(spark):
 def test_toxicity_finds_held_out_texts(spark, labelled):
     table, labels = labelled
     model = toxicity.train(table, toxicity.learnable(labels))
-    out = toxicity.score(table.select("doc_id", "text"), model, ["doc_id"]).toPandas().merge(labels.toPandas(), on="doc_id")
+    out = toxicity.score(table.select("doc_id", "text"), model).toPandas().merge(labels.toPandas(), on="doc_id")
     out = out[[zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id]]
     assert ((out.score >= 0.5).astype(int) == out.toxic).mean() > 0.97
     assert toxicity.learnable(labels).filter("pmod(crc32(cast(doc_id as string)), 5) = 0").count() == 0
@@ -336,13 +336,65 @@ def test_classifiers_without_labels_or_rows(spark, labelled):
     table, labels = labelled
     odd = docs(spark, EDGE).select("doc_id", "text")
     model = toxicity.train(odd, toxicity.learnable(labels.limit(0)))
-    assert max(r.score for r in toxicity.score(odd, model, ["doc_id"]).collect()) < 1e-9
+    assert max(r.score for r in toxicity.score(odd, model).collect()) < 1e-9
     assert quality.keep_good(odd, labels.limit(0)).count() == len(EDGE)
     nulls = spark.createDataFrame([(None, 1, 1), (1, None, None)], "doc_id bigint, quality int, toxic int")
     assert toxicity.learnable(nulls).count() == 0 and quality.grades_of(nulls).count() == 0
     assert quality.grade(odd.limit(0), labels).count() == 0
 
 
+# Identifiers and further columns
+
+BIG = 2**53 + 1  # the first whole number that a double cannot hold
+HARD_IDS = [BIG, None, BIG - 1, 7, -BIG]
+ODD_COLUMNS = ["_text", "score", "_score_own", "_toxicity", "_QUALITY", "_dropped", "a.b", "marks", "then"]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Ids beside a null, and columns with names and types that get in the way."""
+    words = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4)]
+    rows = list(zip(HARD_IDS, [words[0], words[1], words[2], words[1], words[3]]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    return df.select(
+        "doc_id", "text", *[F.lit("own").alias(c) for c in ODD_COLUMNS[:7]], F.create_map(F.lit("k"), F.col("doc_id")).alias("marks"),
+        F.lit("1500-01-01 00:00:00").cast("timestamp").alias("then"))
+
+
+def ids(df, name="doc_id"):
+    return sorted((r[0] for r in df.select(name).collect()), key=str)
+
+
+def test_ids_beside_nulls_stay_whole(spark, hard, labelled, tmp_path):
+    want = sorted(HARD_IDS, key=str)
+    table, labels = labelled
+    model = toxicity.train(table, toxicity.learnable(labels))
+    assert ids(toxicity.score(hard.drop("score"), model)) == ids(quality.grade(hard, labels)) == want
+    pieces_, places = packing.pack(hard)
+    assert ids(pieces_) == ids(places) == want
+    joined = {r.doc_id: r.component_id for r in ngram_join.near_components(hard).collect()}
+    assert joined == {i: i for i in HARD_IDS}  # the null's twin, 7, does not lend it a component
+    vectors = spark.createDataFrame(
+        [(i, v, "l") for i, v in zip(HARD_IDS, ([1.0, 0.0], [1.0, 1.0], [1.0, 2.0], [1.0, 1.0], [-1.0, 0.0]))], "vec_id bigint, embedding array<double>, label string")
+    near = {r.vec_id: r.component_id for r in embedding_join.near_vectors(vectors.coalesce(1)).collect()}
+    assert near == {BIG: BIG, None: None, BIG - 1: BIG - 1, 7: 7, -BIG: -BIG}
+    pages = spark.createDataFrame([(i, None if i is None else f"http://a/{i}", "same " * 10) for i in HARD_IDS], "page_id bigint, url string, html string")
+    warc.write_archives(warc.resolve(pages.coalesce(1)), str(tmp_path / "archive"))
+    back = warc.read_archives(spark, str(tmp_path / "archive"))
+    assert ids(back, "page_id") == want and {r.refers_to for r in back.collect()} == {None, -BIG}
+
+
+def test_stages_leave_further_columns_alone(hard, labelled):
+    _, labels = labelled
+    for keep in (lambda d: quality.keep_good(d, labels), lambda d: toxicity.keep_clean(d, toxicity.learnable(labels)), ngram_join.keep_first):
+        out = keep(hard)
+        assert out.columns == hard.columns and out.dtypes == hard.dtypes
+        rows = out.drop("then").collect()
+        assert len(rows) == 5 and all(r["a.b"] == r["score"] == r["_QUALITY"] == "own" for r in rows)
+        assert sorted((r.doc_id for r in rows), key=str) == sorted(HARD_IDS, key=str)
+        assert all(r.marks == {"k": r.doc_id} for r in rows) and out.filter("year(then) = 1500").count() == 5
+
+
 # 9: vectors
 
 def test_vectors_equal_brute_force(spark):
