@@ -4,8 +4,9 @@ Voters fire on a text or not: given word lists, lists of words found in the labe
 label is one more, noisy, voter.  A
 generative model of the votes has a hidden class; every voter has rates of firing in each class, given
 the vote of the one voter it depends on most (a tree of dependences by class-conditional mutual information, so
-correlated voters are not counted twice).  The rates of the label have a prior, as strong as
-the sample, that it is rarely wrong.  Expectation-maximisation fits rates, tree and class share.
+correlated voters are not counted twice).  The rates of the label have a prior of a few votes (``LABEL_WEIGHT``) that it is rarely
+wrong, which says which class is which; the other votes can move them.  Expectation-maximisation, begun at the
+label, fits rates, tree and class share.
 A linear classifier over hashed text features is then trained on the posterior labels; it alone gives the
 score, so a score depends on nothing but the text.
 
@@ -52,6 +53,8 @@ _ADDRESS = re.compile(r"\b(?:you(?:'re| are)?|your|du bist|tu es|vous êtes|eres
 _DIRECT = re.compile(r"\b(\w+)[!]+", re.IGNORECASE)
 #: What is held of the given label, the first voter, beforehand: its rate of firing in each class.
 LABEL_RATE = (0.001, 0.98)
+#: Votes in each class that this is worth, whatever the size of the sample.
+LABEL_WEIGHT = 20
 #: Lists into which learned words are dealt; each is a voter.
 LEARNED = 6
 _CLASS_STEPS = 60
@@ -144,7 +147,7 @@ def fit_label_model(votes: np.ndarray, first: np.ndarray, steps: int = _CLASS_ST
                 for g in (0, 1):
                     w = weight * (votes[:, p] == g) if p >= 0 else weight
                     rate[y, g, j] = ((w * votes[:, j]).sum() + 0.5) / (w.sum() + 1.0)
-            rate[y, :, 0] = (weight @ votes[:, 0] + LABEL_RATE[y] * len(votes)) / (weight.sum() + len(votes))
+            rate[y, :, 0] = (weight @ votes[:, 0] + LABEL_RATE[y] * LABEL_WEIGHT) / (weight.sum() + LABEL_WEIGHT)
         model = LabelModel(float((post.sum() + 1) / (len(post) + 2)), parent, rate)
         post = model.posterior(votes)
     return model

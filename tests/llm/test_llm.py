@@ -315,6 +315,36 @@ def test_toxicity_finds_held_out_texts(spark, labelled):
     assert kept.columns == table.columns and 900 < kept.count() < 1100 and kept.first().score == "q"
 
 
+def test_label_model_corrects_flipped_labels():
+    """A tenth of the labels is wrong; three independent voters and a copy of one of them move most of them back."""
+    rng = np.random.default_rng(8)
+    true = (rng.random(4000) < 0.12).astype(int)
+    given = np.where(rng.random(4000) < 0.1, 1 - true, true)
+    voters = [np.where(rng.random(4000) < np.where(true == 1, hit, false), 1, 0) for hit, false in ((0.8, 0.02), (0.7, 0.01), (0.75, 0.05))]
+    votes = np.column_stack([given, *voters, voters[0]])
+    model = toxicity.fit_label_model(votes, np.where(given == 1, 0.95, 0.02))
+    wrong = ((model.posterior(votes) >= 0.5) != true).mean()
+    assert (given != true).mean() > 0.08 and wrong < 0.02
+    assert abs(model.share - true.mean()) < 0.02
+    # The label's rates were learned: 0.1 and 0.9, not the prior's.
+    assert np.abs(model.rate[:, :, 0].mean(axis=1) - [0.1, 0.9]).max() < 0.04
+
+
+def test_posterior_equals_the_joint_probability():
+    """Every combination of four votes, by multiplying the probabilities of the tree."""
+    rng = np.random.default_rng(3)
+    parent, rate = (-1, 0, 1, 0), rng.uniform(0.05, 0.95, (2, 2, 4))
+    model = toxicity.LabelModel(0.3, parent, rate)
+    every = np.array(list(itertools.product((0, 1), repeat=4)))
+    for row, got in zip(every, model.posterior(every)):
+        joint = [0.7, 0.3]
+        for y in (0, 1):
+            for j, p in enumerate(parent):
+                fires = rate[y, row[p] if p >= 0 else 0, j]
+                joint[y] *= fires if row[j] else 1 - fires
+        assert got == pytest.approx(joint[1] / sum(joint))
+
+
 def test_quality_orders_grades(spark, labelled):
     table, labels = labelled
     out = quality.grade(table, labels).toPandas().merge(labels.toPandas(), on="doc_id")
