@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefield.operators import balance, clean, explain, fusion, metrics, reports, samples, search, surface, trees
+from lodefield.operators import balance, clean, contours, explain, fusion, metrics, reports, samples, search, surface, trees
 from lodefield.operators.components import apply_components, fit_components
 from lodefield.operators.kriging import FAST_ROWS, krige_with_held_out, regression_kriging
 from lodefield.operators.split import split_exact, split_fraction, train_test
@@ -197,6 +197,8 @@ def report_tables(
         "slice_classes": reports.slice_classes(sliced),
         "contour_cells": reports.contour_cells(sliced),
     }
+    out["contour_segments"] = contours.contour_segments(out["contour_cells"])
+    out["contour_lines"] = contours.contour_lines(out["contour_segments"])
     if line:
         out |= {"sections": reports.section_summary(both, line), "section_points": reports.section_points(both, line)}
     if layer:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodefield.functions.binning import grade_class
 from lodefield.functions.moments import moments
-from lodefield.operators import balance, blocks, clean, explain, fusion, kriging, metrics, reports, samples, search, split, surface, trees, variogram
+from lodefield.operators import balance, blocks, clean, contours, explain, fusion, kriging, metrics, reports, samples, search, split, surface, trees, variogram
 from lodefield.operators.components import apply_components, fit_components
 from lodefield.operators.proxy import rolling_mean
 from lodefield.plans import views as V
@@ -543,6 +543,74 @@ def _(spark, sf):
     return reports.contour_cells(_sliced(spark, sf))
 
 
+# Lines run through neighbouring cells that hold points; these rows of holes are over 800 m apart.
+_CONTOUR_CELL = 1000.0
+_CONTOURS = f""", {_sql_slices(20, 10)},
+    cells as (select z0, cast(floor(x / {_CONTOUR_CELL}) as bigint) as cx, cast(floor(y / {_CONTOUR_CELL}) as bigint) as cy, count(*) as n, avg(grade) as g
+              from sliced group by 1, 2, 3 qualify sum(count(*)) over (partition by z0) >= 10),
+    spans as (select z0, (max(g) - min(g)) / 12 as raw from cells group by z0 having max(g) > min(g)),
+    powers as (select z0, raw, pow(10.0, floor(log10(raw))) as p from spans),
+    steps as (select z0, case when p >= raw then p when 2.0 * p >= raw then 2.0 * p when 2.5 * p >= raw then 2.5 * p when 5.0 * p >= raw then 5.0 * p
+                              else 10.0 * p end as step from powers),
+    corners as (select a.z0, a.cx, a.cy, a.g as sw, b.g as se, c.g as ne, d.g as nw, step
+                from cells a join steps using (z0)
+                join cells b on b.z0 = a.z0 and b.cx = a.cx + 1 and b.cy = a.cy
+                join cells c on c.z0 = a.z0 and c.cx = a.cx + 1 and c.cy = a.cy + 1
+                join cells d on d.z0 = a.z0 and d.cx = a.cx and d.cy = a.cy + 1),
+    near as (select corners.*, unnest(range(cast(floor(least(sw, se, ne, nw) / step) as bigint), cast(floor(greatest(sw, se, ne, nw) / step) as bigint) + 2)) as m
+             from corners),
+    cut as (select near.*, m * step as level from near
+            where m * step > least(sw, se, ne, nw) and m * step <= greatest(sw, se, ne, nw)),
+    -- The four sides of a square, right-handed from the lower one.
+    sides as (
+        select z0, level, cx, cy, 0 as i, sw as a, se as b, cx as kx, cy as ky, 0 as side, (level - sw) / (se - sw) as part, (sw + se + ne + nw) / 4 as mid from cut
+        union all select z0, level, cx, cy, 1, se, ne, cx + 1, cy, 1, (level - se) / (ne - se), (sw + se + ne + nw) / 4 from cut
+        union all select z0, level, cx, cy, 2, ne, nw, cx, cy + 1, 0, (level - nw) / (ne - nw), (sw + se + ne + nw) / 4 from cut
+        union all select z0, level, cx, cy, 3, nw, sw, cx, cy, 1, (level - sw) / (nw - sw), (sw + se + ne + nw) / 4 from cut),
+    crossed as (
+        select z0, level, cx, cy, i, kx, ky, side, a >= level as falls, mid >= level as joined,
+               (kx + 0.5 + case side when 0 then part else 0 end) * {_CONTOUR_CELL} as x, (ky + 0.5 + case side when 1 then part else 0 end) * {_CONTOUR_CELL} as y,
+               count(*) over (partition by z0, level, cx, cy) as n
+        from sides where (a >= level) <> (b >= level)),
+    segments as (
+        select f.z0, f.level, f.kx as cx, f.ky as cy, f.side, f.x, f.y, t.kx as to_cx, t.ky as to_cy, t.side as to_side, t.x as to_x, t.y as to_y
+        from crossed f join crossed t on f.z0 = t.z0 and f.level = t.level and f.cx = t.cx and f.cy = t.cy and f.falls and not t.falls
+        where f.n = 2 or t.i = (f.i + case when f.joined then 1 else 3 end) % 4)"""
+
+
+def _contours(spark, sf):
+    return contours.contour_segments(reports.contour_cells(_sliced(spark, sf), _CONTOUR_CELL), _CONTOUR_CELL)
+
+
+@query("contour_segments", sql(f"""{_CONTOURS}
+    select {rnd('z0', 'level', 'x', 'y', 'to_x', 'to_y')}, cx, cy, cast(side as bigint) as side, to_cx, to_cy, cast(to_side as bigint) as to_side from segments""", "labelled"))
+def _(spark, sf):
+    return _contours(spark, sf)
+
+
+# Lines by following the segments one by one: from points without a segment before them, then round what is left.
+@query("contour_lines", sql(f"""{_CONTOURS},
+    links as (select z0, level, struct_pack(cx := cx, cy := cy, side := side) as a, struct_pack(cx := to_cx, cy := to_cy, side := to_side) as b, x, y, to_x, to_y
+              from segments),
+    open_lines as (
+        select z0, level, a as line, a as node, x, y, 0 as place from links l where not exists (select 1 from links p where p.z0 = l.z0 and p.level = l.level and p.b = l.a)
+        union all
+        select o.z0, o.level, o.line, l.b, l.to_x, l.to_y, o.place + 1 from open_lines o join links l on l.z0 = o.z0 and l.level = o.level and l.a = o.node),
+    rest as (select l.* from links l where not exists (select 1 from open_lines o where o.z0 = l.z0 and o.level = l.level and o.node = l.a)),
+    walks as (
+        select z0, level, a as line, a as node, x, y, 0 as place from rest
+        union all
+        select w.z0, w.level, w.line, r.b, r.to_x, r.to_y, w.place + 1 from walks w join rest r on r.z0 = w.z0 and r.level = w.level and r.a = w.node
+        where r.b > w.line),
+    -- Only the walk from a closed line's least point comes back to it, by a last segment that the walk leaves out.
+    loops as (select w.* from walks w join (select w.z0, w.level, w.line from walks w join rest r on r.z0 = w.z0 and r.level = w.level and r.a = w.node
+                                            where r.b = w.line) k on k.z0 = w.z0 and k.level = w.level and k.line = w.line)
+    select {rnd('z0', 'level', 'x', 'y')}, line.cx as line_cx, line.cy as line_cy, cast(line.side as bigint) as line_side, closed, cast(place as bigint) as place
+    from (select *, false as closed from open_lines union all select *, true from loops) v""", "labelled").replace("with ", "with recursive ", 1))
+def _(spark, sf):
+    return contours.contour_lines(_contours(spark, sf))
+
+
 _CLASS = "case when grade < 30 then '<30' when grade < 40 then '30-40' when grade < 50 then '40-50' else '>=50' end"
 
 
