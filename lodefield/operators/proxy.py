@@ -7,10 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodefield.functions.joins import lookup_join
+from lodefield.sources.staging import staged
 
 CHUNK_ROWS = 200_000
 
 
+def rank_chunks(df: DataFrame, keys: list[str], chunk_rows: int, rows: int | None = None) -> DataFrame:
+    """``df`` with ``_chunk``: pieces of the exact order of ``keys``, of about ``chunk_rows`` rows however the values repeat.
+
+    Spark samples the splitters.  The rows are written with their chunk, so every later pass sees the same cut.
+    """
+    pieces = max(1, -(-(df.count() if rows is None else rows) // chunk_rows))
+    return staged(df.repartitionByRange(pieces, *keys).withColumn("_chunk", F.spark_partition_id()), "rank-chunks")
+
+
 def rolling_mean(
     df: DataFrame,
     value: str = "grade",
@@ -22,23 +32,32 @@ def rolling_mean(
 ) -> DataFrame:
     """Mean of the row and up to ``window - 1`` rows before it in its group's order.
 
-    A group of more than ``chunk_rows`` rows is cut into depth chunks that roll in
-    parallel; each chunk also sees the last rows of the chunks before it.
+    Groups of more than ``chunk_rows`` rows are cut by the order of (depth, id) into
+    chunks that roll in parallel, also where all their rows share one depth; each chunk
+    also sees the last rows of the chunks before it.  Rows without a group are one group,
+    missing depths come first, and missing values are left out of a mean.
     """
     by, tie = order
-    spans = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    parts = F.ceil(F.col("_n") / F.lit(chunk_rows))
-    long_groups = spans.filter((F.col("_n") > F.lit(chunk_rows)) & (F.col("_hi") > F.col("_lo"))).select(
-        group, "_lo", ((F.col("_hi") - F.col("_lo")) / parts).alias("_w"), parts.alias("_parts"))
-    cut = lookup_join(df, long_groups, [group], "left", salt_by=tie)
-    place = F.least(F.col("_parts") - 1, F.floor((F.col(by) - F.col("_lo")) / F.col("_w")))
-    rows = cut.withColumn("_chunk", F.coalesce(place.cast("bigint"), F.lit(0).cast("bigint"))).drop("_lo", "_w")
-
     back = window - 1
+
+    def rolled(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn(out, F.avg(value).over(W.partitionBy(*keys).orderBy(by, tie).rowsBetween(-back, 0)))
+
+    # A struct equals another where both hold null, unlike the bare column.
+    keyed = df.withColumn("_group", F.struct(F.col(group).alias("g")))
+    sizes = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    counted = staged(sizes.filter(F.col("_n") > chunk_rows), "long-groups")
+    n_long, long_rows = counted.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if not n_long:
+        return rolled(df, group)
+    long_groups = counted.select("_group")
+    short = lookup_join(keyed, long_groups, ["_group"], "left_anti", salt_by=tie, small_rows=n_long).drop("_group")
+    long = lookup_join(keyed, long_groups, ["_group"], "left_semi", salt_by=tie, small_rows=n_long).drop("_group")
+    rows = rank_chunks(long, [group, by, tie], chunk_rows, long_rows)
+
     latest = W.partitionBy(group, "_chunk").orderBy(F.desc(by), F.desc(tie))
     ends = (
-        rows.filter("_parts is not null")
-        .select(group, "_chunk", by, tie, value)
+        rows.select(group, "_chunk", by, tie, value)
         .withColumn("_rn", F.row_number().over(latest))
         .filter(F.col("_rn") <= back)
         .drop("_rn")
@@ -52,6 +71,6 @@ def rolling_mean(
         .select(group, "_chunk", "_row.*")
         .withColumn("_halo", F.lit(True))
     )
-    seen = rows.drop("_parts").withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    rolling = W.partitionBy(group, "_chunk").orderBy(by, tie).rowsBetween(-back, 0)
-    return seen.withColumn(out, F.avg(value).over(rolling)).filter(~F.col("_halo")).drop("_halo", "_chunk")
+    seen = rows.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    done = rolled(seen, group, "_chunk").filter(~F.col("_halo")).drop("_halo", "_chunk")
+    return rolled(short, group).unionByName(done)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodefield.operators import balance, split
-from lodefield.operators.proxy import rolling_mean
+from lodefield.operators.proxy import rank_chunks, rolling_mean
 
 
 def rows(spark, n=3000, parts=5):
@@ -71,3 +71,29 @@ def test_rolling_mean_equals_pandas_with_a_hot_hole(spark, chunk_rows):
     want = want.assign(p=want.groupby("hole_id").grade.transform(lambda s: s.rolling(3, min_periods=1).mean())).sort_values("sample_id")
     got = rolling_mean(spark.createDataFrame(pdf).repartition(6), chunk_rows=chunk_rows).toPandas().sort_values("sample_id")
     assert len(got) == 900 and np.allclose(got.kriging_pred, want.p)
+
+
+def test_rolling_mean_spreads_a_hole_of_one_depth(spark):
+    n = 200_000
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"hole_id": np.where(np.arange(n) % 40 == 0, 2.0, 1.0), "depth": -5.0, "grade": rng.normal(size=n), "sample_id": rng.permutation(n)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    sizes = rank_chunks(df, ["hole_id", "depth", "sample_id"], 10_000).groupBy("_chunk").count().toPandas()["count"]
+    assert len(sizes) == 20 and sizes.max() < 20_000
+    want = pdf.sort_values(["hole_id", "depth", "sample_id"])
+    want = want.assign(p=want.groupby("hole_id").grade.transform(lambda s: s.rolling(3, min_periods=1).mean())).sort_values("sample_id")
+    got = rolling_mean(df, chunk_rows=10_000).toPandas().sort_values("sample_id")
+    assert len(got) == n and np.allclose(got.kriging_pred, want.p)
+
+
+@pytest.mark.parametrize("chunk_rows", [4, 10**6])
+def test_rolling_mean_of_missing_groups_depths_and_values(spark, chunk_rows):
+    rows = [(None if i % 3 else "h", None if i % 4 == 0 else float(-i), i, None if i % 5 == 0 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "hole_id string, depth double, sample_id bigint, grade double")
+    got = {r.sample_id: r.kriging_pred for r in rolling_mean(df, chunk_rows=chunk_rows).collect()}
+    for hole in ("h", None):
+        held = sorted((r for r in rows if r[0] == hole), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        for i, r in enumerate(held):
+            near = [g for *_, g in held[max(0, i - 2) : i + 1] if g is not None]
+            assert got[r[2]] == (pytest.approx(sum(near) / len(near)) if near else None)
+    assert rolling_mean(df.limit(0), chunk_rows=chunk_rows).count() == 0
