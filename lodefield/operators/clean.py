@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodefield.functions.quantiles import exact_quantiles, quantiles_from_spans
+from lodefield.functions.quantiles import exact_quantiles, quantiles_and
 
 BASE_FEATURES = ("x", "y", "depth", "r", "xy", "depth2", "r2", "depth_norm")
 
@@ -26,17 +26,13 @@ class ColumnStats:
 
 
 def fit_outliers(df: DataFrame, cols: list[str], approx: bool = False) -> dict[str, ColumnStats]:
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"avg_{c}"), F.stddev_samp(c).alias(f"std_{c}"),
-                 F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
-    row = df.agg(*aggs).first()
-    spans = {c: (row[f"n_{c}"], row[f"lo_{c}"], row[f"hi_{c}"]) for c in cols}
+    """Count, mean, spread and quartiles per column; NULL and NaN are left out."""
+    aggs = [f(c).alias(f"{p}_{c}") for c in cols for p, f in (("count", F.count), ("avg", F.avg), ("std", F.stddev_samp))]
     if approx:
-        quart = exact_quantiles(df, cols, [0.25, 0.75], approx=True)
+        row, quart = df.agg(*aggs).first(), exact_quantiles(df, cols, [0.25, 0.75], approx=True)
     else:
-        quart = quantiles_from_spans(df, spans, [0.25, 0.75])
-    return {c: ColumnStats(row[f"n_{c}"], row[f"avg_{c}"], row[f"std_{c}"], *(quart[c] or (None, None))) for c in cols}
+        quart, row = quantiles_and(df, cols, [0.25, 0.75], aggs)
+    return {c: ColumnStats(row[f"count_{c}"], row[f"avg_{c}"], row[f"std_{c}"], *(quart[c] or (None, None))) for c in cols}
 
 
 def apply_outliers(df: DataFrame, stats: dict[str, ColumnStats], z_limit: float = 4.0) -> DataFrame:

@@ -25,6 +25,38 @@ def test_quantiles_equal_numpy(spark, monkeypatch, values, finish):
     assert np.allclose(got, np.quantile(values, PROBS), rtol=1e-12, atol=0)
 
 
+def test_quantiles_of_wide_values_take_three_scans(spark, monkeypatch):
+    # Log-normal of sigma 20 spans over 70 powers of ten; the first two scans are the sketches and the counts of their brackets.
+    values = np.exp(20 * np.random.default_rng(4).normal(size=200_000))
+    passes, one_pass = [], quantiles._one_pass
+    monkeypatch.setattr(quantiles, "_one_pass", lambda *a: passes.append(1) or one_pass(*a))
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "w": values[::-1]})).repartition(7)
+    got = quantiles.exact_quantiles(df, ["v", "w"], [0.001, 0.25, 0.5, 0.75, 0.999])
+    want = np.quantile(values, [0.001, 0.25, 0.5, 0.75, 0.999])
+    assert np.allclose(got["v"], want, rtol=1e-12, atol=0) and np.allclose(got["w"], want, rtol=1e-12, atol=0)
+    assert len(passes) == 1
+
+
+@pytest.mark.parametrize("finish", [50_000, 20])
+def test_quantiles_leave_out_nan_and_keep_infinities(spark, monkeypatch, finish):
+    monkeypatch.setattr(quantiles, "FINISH_ROWS", finish)
+    values = np.r_[np.random.default_rng(5).normal(size=900), np.repeat(np.inf, 60), np.repeat(-np.inf, 40), np.repeat(np.nan, 100), 1.7e308, -1.7e308]
+    kept = np.sort(values[~np.isnan(values)])
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles.exact_quantiles(frame(spark, values), ["v"], probs)["v"]
+    for p, v in zip(probs, got):
+        at = p * (len(kept) - 1)
+        lo, hi = kept[int(np.floor(at))], kept[int(np.ceil(at))]
+        assert v == lo == hi or np.isclose(v, lo + (hi - lo) * (at % 1), rtol=1e-12, atol=0)
+    assert got[0] == -np.inf and got[-1] == np.inf
+
+
+def test_a_wrong_bracket_is_left(spark):
+    df = frame(spark, range(100))
+    found = quantiles.order_statistics(df, {"v": {10, 90}}, {"v": (100, 0.0, 99.0)}, {("v", 10): (5.0, 12.0), ("v", 90): (20.0, 30.0)})
+    assert [found[("v", r)].lo for r in (10, 90)] == [10.0, 90.0]
+
+
 def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(frame(spark, [1.0]).filter("v > 2"), ["v"], PROBS)["v"] == []
 
