@@ -178,9 +178,11 @@ def export_run(run: ModelRun, path: str) -> None:
 
 def report_tables(
     train: DataFrame, test: DataFrame, dem: DataFrame | None = None, interval: float = 80.0, band: float = 10.0,
-    line: str | None = None, layer: str | None = None,
+    line: str | None = None, layer: str | None = None, contour_cell: float | None = None,
 ) -> dict[str, DataFrame]:
-    """Labelled samples and their slice, section and layer tables.
+    """Labelled samples and their slice, section and layer tables; with ``contour_cell`` also isolines of cells of that size.
+
+    A cell should be as wide as holes are apart, since lines run through neighbouring cells that hold points.
 
     ``line`` and ``layer`` default to the first column whose name marks one; tables
     without such a column are left out.
@@ -197,8 +199,10 @@ def report_tables(
         "slice_classes": reports.slice_classes(sliced),
         "contour_cells": reports.contour_cells(sliced),
     }
-    out["contour_segments"] = contours.contour_segments(out["contour_cells"])
-    out["contour_lines"] = contours.contour_lines(out["contour_segments"])
+    if contour_cell:
+        out["contour_cells"] = reports.contour_cells(sliced, contour_cell)
+        out["contour_segments"] = contours.contour_segments(out["contour_cells"], contour_cell)
+        out["contour_lines"] = contours.contour_lines(out["contour_segments"])
     if line:
         out |= {"sections": reports.section_summary(both, line), "section_points": reports.section_points(both, line)}
     if layer:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from lodefield.operators import contours
+from lodefield.plans import modelling
 
 
 def cells_of(spark, fields):
@@ -89,3 +90,13 @@ def test_saddles_follow_the_mean_and_missing_cells_end_lines(spark):
     assert gone.count() == 0 and contours.contour_lines(gone).count() == 0
     empty = contours.contour_segments(cells_of(spark, {0.0: np.zeros((1, 1))}).limit(0))
     assert contours.contour_lines(empty).count() == 0
+
+
+def test_reports_hold_isolines_of_the_given_cell(spark):
+    rows = [(float(10 * i + 5), float(10 * j + 5), -float(d), float(i + j), f"{i}-{j}-{d}") for i in range(8) for j in range(8) for d in (1, 2)]
+    df = spark.createDataFrame(rows, "x double, y double, depth double, grade double, sample_id string")
+    out = modelling.report_tables(df.filter("depth < -1.5"), df.filter("depth > -1.5"), contour_cell=10.0)
+    lines = out["contour_lines"].collect()
+    # The grade is (x + y - 10) / 10, so every point lies on its level.
+    assert lines and all(abs((r.x + r.y - 10) / 10 - r.level) < 1e-9 for r in lines)
+    assert "contour_lines" not in modelling.report_tables(df.filter("depth < -1.5"), df.filter("depth > -1.5"))
