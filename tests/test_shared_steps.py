@@ -1,6 +1,10 @@
 """Steps that many queries share: rows made once, equal rows handled as one."""
 
+import numpy as np
+import pandas as pd
+
 from lodefield.functions import quantiles
+from lodefield.operators import variogram
 from lodefield.plans import registry
 from lodefield.plans import views as V
 
@@ -16,3 +20,35 @@ def test_quantiles_stay_exact_with_wide_brackets(spark, monkeypatch):
     want = df.selectExpr("percentile(v, array(0.02, 0.25, 0.5, 0.98))").first()[0]
     monkeypatch.setattr(quantiles, "FINISH_ROWS", 5)
     assert quantiles.exact_quantiles(df, ["v"], [0.02, 0.25, 0.5, 0.98])["v"] == want
+
+
+def test_columns_of_locations_give_the_lags_of_all_pairs(spark):
+    """Vertical holes with repeats, equal depths and pairs exactly on a lag's edge, for any number of groups a box."""
+    rng = np.random.default_rng(11)
+    hole = rng.integers(0, 12, 900)
+    pdf = pd.DataFrame({"x": -20.0 + 12 * (hole % 4), "y": 9.0 * (hole // 4), "depth": -rng.integers(0, 400, 900) / 5, "grade": rng.normal(40, 9, 900)})
+    df = spark.createDataFrame(pdf)
+    places = pdf.groupby(["x", "y", "depth"]).grade.agg(n="count", s="sum", q=lambda g: (g * g).sum()).reset_index().astype(float)
+    xyz, g = pdf[["x", "y", "depth"]].to_numpy(), pdf.grade.to_numpy()
+    i, j = np.triu_indices(len(g), 1)
+    h = np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(1))
+    lag = np.floor(h / 6).astype(int)
+    for groups in (0, 1, 3):
+        if groups:
+            got = variogram._lag_means(variogram._column_meetings(spark.createDataFrame(places), 6.0, 5, groups)).toPandas()
+        else:
+            got = variogram.lag_table(df, 6.0, 5, (3.0, 3.0, 1.0)).toPandas()
+        got = got.sort_values("lag")
+        assert got.pairs.tolist() == [(lag == k).sum() for k in range(5)]
+        assert np.allclose(got.gamma, [((g[i] - g[j]) ** 2)[lag == k].mean() / 2 for k in range(5)], rtol=1e-9)
+        assert np.allclose(got.h_rms, [np.sqrt((h[lag == k] ** 2).mean()) for k in range(5)], rtol=1e-9)
+        assert np.allclose(got.h, [h[lag == k].mean() for k in range(5)], rtol=1e-2)
+
+
+def test_vertical_holes_meet_as_columns(spark, monkeypatch):
+    def nodes(*_):
+        raise AssertionError("columns were reduced to nodes")
+
+    monkeypatch.setattr(variogram, "_meetings", nodes)
+    df = spark.range(400).selectExpr("cast(id % 4 as double) as x", "0.0D as y", "-cast(id div 4 as double) as depth", "cast(id % 7 as double) as grade")
+    assert variogram.lag_table(df, 5.0, 2, (2.0, 2.0, 2.0)).count() == 2
