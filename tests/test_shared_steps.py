@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 
 from lodefield.functions import quantiles
-from lodefield.operators import variogram
+from lodefield.operators import explain, trees, variogram
+from lodefield.operators.trees import TreeParams
 from lodefield.plans import registry
 from lodefield.plans import views as V
 
@@ -52,3 +53,33 @@ def test_vertical_holes_meet_as_columns(spark, monkeypatch):
     monkeypatch.setattr(variogram, "_meetings", nodes)
     df = spark.range(400).selectExpr("cast(id % 4 as double) as x", "0.0D as y", "-cast(id div 4 as double) as depth", "cast(id % 7 as double) as grade")
     assert variogram.lag_table(df, 5.0, 2, (2.0, 2.0, 2.0)).count() == 2
+
+
+def test_rows_of_equal_bins_give_the_trees_of_all_rows(spark):
+    """MLlib over the single rows, repeats and all, makes the same trees; the fit itself has a row for each place."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"a": rng.integers(0, 20, 3000) / 4, "b": rng.integers(-5, 6, 3000) * 1.0})
+    pdf["grade"] = pdf.a * pdf.b + 3 * (pdf.b > 1) + rng.normal(size=3000)
+    df = spark.createDataFrame(pdf)
+    params = TreeParams(4, 3, 0.3)
+    direct = trees._regressor(params, "grade").fit(trees.assemble(df, ["a", "b"]))
+    model = trees.fit_trees(df, ["a", "b"], params=params)
+    assert trees.grouped_rows(df, trees.bin_values(df, ["a", "b"]), "grade").count() == 220
+    one, other = (trees.score_trees(df, m, ["a", "b"], "p").select("p").toPandas().p.to_numpy() for m in (model, direct))
+    assert np.allclose(one, other, rtol=1e-9, atol=1e-9)
+    assert np.allclose(model.featureImportances.toArray(), direct.featureImportances.toArray(), atol=1e-9)
+
+
+def test_bins_of_many_values_are_cut_as_the_model_cuts(spark):
+    """Raw values fall on the side of each threshold on which their bin's value is; a value most rows share leaves the rest their bins."""
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"a": rng.normal(size=2000), "b": np.where(rng.uniform(size=2000) < 0.98, 0.0, rng.uniform(1, 9, 2000))})
+    pdf["grade"] = np.sin(3 * pdf.a) + 5 * (pdf.b > 4)
+    df = spark.createDataFrame(pdf)
+    values = trees.bin_values(df, ["a", "b"])
+    assert len(values["a"]) == 32 and len(values["b"]) > 8
+    model = trees.fit_trees(df, ["a", "b"], params=TreeParams(10, 4, 0.3))
+    middles = {i: np.array(trees.middles(values[c])) for i, c in enumerate("ab")}
+    ends = [(f, t) for path in explain.leaves_of(model).paths for f, *ends in path for t in ends if np.isfinite(t)]
+    assert {f for f, _ in ends} == {0, 1} and all(np.abs(middles[f] - t).min() < 1e-12 for f, t in ends)
+    assert trees.rmse_of(trees.score_trees(df, model, ["a", "b"], "p"), "grade", "p") < 0.35
