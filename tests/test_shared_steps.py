@@ -83,3 +83,14 @@ def test_bins_of_many_values_are_cut_as_the_model_cuts(spark):
     ends = [(f, t) for path in explain.leaves_of(model).paths for f, *ends in path for t in ends if np.isfinite(t)]
     assert {f for f, _ in ends} == {0, 1} and all(np.abs(middles[f] - t).min() < 1e-12 for f, t in ends)
     assert trees.rmse_of(trees.score_trees(df, model, ["a", "b"], "p"), "grade", "p") < 0.35
+
+
+def test_clusters_weigh_a_place_by_its_rows(spark):
+    """Centres are the means of the rows, and the fit's cost is that of all rows."""
+    rng = np.random.default_rng(14)
+    places = np.r_[rng.normal(0, 1, (10, 3)), rng.normal(50, 1, (10, 3))]
+    pdf = pd.DataFrame(places[rng.integers(0, 20, 500) // (1 + (np.arange(500) % 2))], columns=["x", "y", "depth"])
+    model = trees.fit_clusters(spark.createDataFrame(pdf), 2, 2)
+    want = np.array([part.mean() for _, part in pdf.groupby(pdf.x > 25)])
+    assert np.allclose(sorted(map(tuple, model.clusterCenters())), sorted(map(tuple, want)))
+    assert "_n" == model.getWeightCol() and model.summary.trainingCost > 0
