@@ -239,3 +239,49 @@ def test_out_of_fold_and_search_use_rows_beyond_one_system(spark):
         here = (F.col("x") == float(pdf.x[at])) & (F.col("y") == float(pdf.y[at]))
         moved = cells.withColumn("value", F.when(here, F.col("value") + 1000).otherwise(F.col("value")))
         assert search.cross_validate(moved, [V], k=2).first().rmse > base + 5
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_fold_errors_come_from_factors_and_equal_refits(model, monkeypatch):
+    """No system is inverted as a whole, and a stack that cannot be factored is solved trial by trial."""
+    pdf = field(90)
+    xyz, z, folds = pdf[["x", "y", "depth"]].to_numpy(), pdf.grade.to_numpy(), np.arange(90) % 5
+    trials = [Variogram(model, 60.0, 4.0, 0.5), Variogram(model, 20.0, 2.0, 1.0)]
+    with monkeypatch.context() as m:
+        m.setattr(kriging, "inverse_system", lambda *_: pytest.fail("a whole inverse"))
+        found = kriging.fold_estimates_of(xyz, z, folds, trials)
+    monkeypatch.setattr(kriging, "covariance_factors", lambda *_: None)
+    for v, estimates, slow in zip(trials, found, kriging.fold_estimates_of(xyz, z, folds, trials)):
+        assert np.allclose(estimates, slow, atol=1e-8)
+        for f in range(5):
+            out = folds == f
+            refit = kriging.solve_kriging(xyz[~out], z[~out], v).predict(xyz[out])[0]
+            assert np.allclose(estimates[out], refit, atol=1e-8)
+
+
+def test_estimates_of_a_reach_equal_all_points_and_skip_the_far_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    points, targets = rng.uniform(0, 1000, (800, 3)), rng.uniform(-300, 1300, (700, 3))
+    targets[0], targets[1] = points[0], [np.nan, 0, 0]
+    for dims in (2, 3):
+        system = kriging.solve_kriging(points, rng.normal(40, 5, 800), Variogram("spherical", 120.0, 6.0, 1.0), dims)
+        with monkeypatch.context() as m:
+            m.setattr(kriging, "distances", lambda *_: pytest.fail("all points were met"))
+            near = system.predict(targets)[0]
+        far = system.variogram.gamma(kriging.distances(targets[:, :dims], system.points)) @ system.weights + system.level
+        assert np.allclose(near, far, rtol=1e-9, atol=1e-9, equal_nan=True) and np.isnan(near[1]) and not np.isnan(near[0])
+
+
+def test_two_dimensions_estimate_a_place_once(spark, monkeypatch):
+    train = field(200)
+    targets = pd.concat([field(30, 1).assign(depth=-float(d), sample_id=[f"t{d}-{i}" for i in range(30)]) for d in range(40)])
+    met = []
+    plain = kriging._krige_cells
+    monkeypatch.setattr(kriging, "_krige_cells", lambda p, t, *a, **k: met.append(t.count()) or plain(p, t, *a, **k))
+    out = by_id(kriging.krige_blocks(spark.createDataFrame(train), spark.createDataFrame(targets), V, (2, 2, 1), 150, dims=2, variance=True))
+    assert met == [30] and len(out) == 1200 and set(targets.depth) == set(out.depth)
+    first = out.groupby(["x", "y"]).kriging_pred.agg(["min", "max"])
+    assert len(first) == 30 and (first["min"] == first["max"]).all() and (out.kriging_pred_status == "ok").all()
+    missing = spark.createDataFrame([("n", None, 5.0, -1.0)], "sample_id string, x double, y double, depth double")
+    kept = kriging.krige_blocks(spark.createDataFrame(train), missing, V, (1, 1, 1), 300, dims=2).first()
+    assert kept.sample_id == "n" and kept.kriging_pred is None and kept.kriging_pred_status is not None
