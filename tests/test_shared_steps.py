@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from lodefield.functions import quantiles
-from lodefield.operators import explain, trees, variogram
+from lodefield.operators import explain, split, trees, variogram
 from lodefield.operators.trees import TreeParams
 from lodefield.plans import registry
 from lodefield.plans import views as V
@@ -94,3 +94,19 @@ def test_clusters_weigh_a_place_by_its_rows(spark):
     want = np.array([part.mean() for _, part in pdf.groupby(pdf.x > 25)])
     assert np.allclose(sorted(map(tuple, model.clusterCenters())), sorted(map(tuple, want)))
     assert "_n" == model.getWeightCol() and model.summary.trainingCost > 0
+
+
+def test_split_finds_its_edge_in_one_pass(spark, monkeypatch):
+    """Uniform hashes need one pass; others, as when the rank lies elsewhere, are searched as a whole."""
+    plain, searched = quantiles.order_statistics, []
+    monkeypatch.setattr(quantiles, "order_statistics", lambda *a: searched.append(a) or plain(*a))
+    df = spark.range(20_000).selectExpr("concat('s', id) as sample_id", "id")
+    hashes = np.sort(df.select(split.keyed_hash("42p", "sample_id").alias("h")).toPandas().h.to_numpy())
+    test = split.split_exact(df, 0.3).filter("_set = 'Test'").select(split.keyed_hash("42p", "sample_id").alias("h")).toPandas().h
+    assert not searched and len(test) == 6000 and test.max() == hashes[5999]
+    crowded = spark.range(1000).selectExpr("id * id as h")
+    found = quantiles.uniform_rank(crowded, "h", 700, 1000, 2**60 - 1)
+    assert searched and (found.lo, found.below, found.rows) == (490_000, 700, 1)
+    ties = spark.range(900).selectExpr("(id % 3) * cast(pow(2, 58) as bigint) as h")
+    found = quantiles.uniform_rank(ties, "h", 450, 900, 2**59)
+    assert (found.lo, found.below, found.rows) == (2**58, 300, 300)
