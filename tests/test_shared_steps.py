@@ -2,9 +2,10 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from lodefield.functions import quantiles
-from lodefield.operators import explain, split, trees, variogram
+from lodefield.operators import explain, kriging, split, trees, variogram
 from lodefield.operators.trees import TreeParams
 from lodefield.plans import registry
 from lodefield.plans import views as V
@@ -110,3 +111,22 @@ def test_split_finds_its_edge_in_one_pass(spark, monkeypatch):
     ties = spark.range(900).selectExpr("(id % 3) * cast(pow(2, 58) as bigint) as h")
     found = quantiles.uniform_rank(ties, "h", 450, 900, 2**59)
     assert (found.lo, found.below, found.rows) == (2**58, 300, 300)
+
+
+def test_hybrid_kriges_points_without_their_features(spark, sf, monkeypatch):
+    """The tables that kriging writes and shuffles hold the points' own columns, and no copy of the features is kept."""
+    met, kept = [], []
+    krige, fit = kriging.krige_with_held_out, trees.fit_cluster_models
+    monkeypatch.setattr(kriging, "krige_with_held_out", lambda train, test, *a, **k: met.extend([train.columns, test.columns]) or krige(train, test, *a, **k))
+
+    def watched(train, *a, **k):
+        kept.append(type(train).persist)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(type(train), "persist", lambda df, *_: kept.append(df.columns) or df)
+            return fit(train, *a, **k)
+
+    monkeypatch.setattr(trees, "fit_cluster_models", watched)
+    found = registry.QUERIES["hybrid"](spark, sf)
+    assert met == [["sample_id", "x", "y", "depth", "grade"]] * 2
+    assert kept and all("_n" in columns for columns in kept[1:])
+    assert found.filter("hybrid_pred is null").count() == 0
