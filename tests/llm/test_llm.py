@@ -491,6 +491,27 @@ def test_op8_decodes_every_document(spark, tmp_path):
         assert rows[i].round_trip == (None if t is None else back == t)
     assert [i for i, r in rows.items() if r.round_trip is False] == [len(texts) - 1]
 
+def test_words_are_cut_where_no_piece_crosses(spark):
+    import pyarrow as pa
+
+    table, longest, byte_zero, unknown = pieces.piece_table(spark, pieces.public_model())
+    known = {r.piece for r in table.collect()}
+    cut = pieces._cutter(sorted(known))
+    words = ["der", "", "x\ny" * 3, "  two", "日本\U0001f642語", "antidisestablishmentarianism", "\n", "日" * 5_000]
+    parts, sizes = cut(pa.array(words))
+    at, parts = 0, parts.to_pylist()
+    for word, n in zip(words, sizes):
+        whole, ends = (" " + word).replace(" ", pieces.SPACE), set()
+        assert "".join(parts[at:at + n]) == whole
+        for part in parts[at:at + n]:
+            ends.add(len(part) + max(ends, default=0))
+        crossed = {k for a in range(len(whole)) for b in range(a + 2, min(len(whole), a + longest) + 1) if whole[a:b] in known for k in range(a + 1, b)}
+        assert not crossed & ends
+        at += n
+    assert max(map(len, parts)) < 40  # a long word of signs without joint pieces is not folded whole
+    found = pieces._words(pa.array([None, "", "a b", " a  b ", "c▁d"])).to_pylist()
+    assert found == [None, [], ["a", "b"], [" a", " b", ""], ["c", "d"]]
+
 
 def test_pieces_of_rare_words_are_joined(spark):
     texts = [*EDGE, "one two\nthree 42 " + "x" * 90, "one two\nthree 42", "one two\nthree 42", "two\r\n\tone 7b7"]
