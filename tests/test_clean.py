@@ -122,3 +122,15 @@ def test_moments_by_fold_subtract(spark):
     rest = total.minus(parts[1])
     kept = np.array([r[1:] for r in rows if r[0] != 1])
     assert rest.n == 200 and np.allclose(rest.mean, kept.mean(0)) and np.allclose(rest.cov, np.cov(kept.T))
+
+
+def test_many_quantiles_are_found_in_passes_of_few_intervals(spark, monkeypatch):
+    q, rng = quantiles, np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(20_000, 3)), columns=list("abc"))
+    sizes, one_pass = [], q._one_pass
+    monkeypatch.setattr(q, "_one_pass", lambda df, ivs, types: sizes.append(len(ivs)) or one_pass(df, ivs, types))
+    probs = [i / 15 for i in range(16)]
+    got = q.exact_quantiles(spark.createDataFrame(pdf), list(pdf.columns), probs)
+    assert all(got[c] == pytest.approx(np.quantile(pdf[c], probs), abs=1e-12) for c in pdf.columns)
+    # The code of a pass over many more intervals is not compiled by the JVM.
+    assert len(sizes) > 1 and max(sizes) <= q.PASS_INTERVALS
