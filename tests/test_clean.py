@@ -132,5 +132,5 @@ def test_many_quantiles_are_found_in_passes_of_few_intervals(spark, monkeypatch)
     probs = [i / 15 for i in range(16)]
     got = q.exact_quantiles(spark.createDataFrame(pdf), list(pdf.columns), probs)
     assert all(got[c] == pytest.approx(np.quantile(pdf[c], probs), abs=1e-12) for c in pdf.columns)
-    # The code of a pass over many more intervals is not compiled by the JVM.
+    # Passes over many more intervals are far slower.
     assert len(sizes) > 1 and max(sizes) <= q.PASS_INTERVALS
