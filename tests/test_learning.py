@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from lodefield.functions.moments import moments
-from lodefield.operators import explain, fusion, trees
+from lodefield.operators import boosting, explain, fusion, trees
 from lodefield.operators.split import split_fraction
 from lodefield.operators.trees import TreeParams
 
@@ -177,3 +177,61 @@ def test_partial_dependence_is_a_mean_over_rows(data):
 def test_learning_curve_sizes(data):
     got = explain.learning_curve(data, FEATURES, sizes=(0.3, 1.0), k=2, params=QUICK).orderBy("size").collect()
     assert [r.folds for r in got] == [2, 2] and got[0].train_rows < got[1].train_rows == pytest.approx(300)
+
+
+def test_drawn_trees_equal_mllib_where_all_rows_are_drawn(spark, data):
+    thresholds = {c: trees.middles(held) for c, held in trees.bin_values(data, FEATURES).items()}
+    params = TreeParams(n_trees=6, depth=4, step=0.2)
+    fit = boosting.fit_drawn(data, thresholds, "grade", [params])[0]
+    own = boosting.as_model(spark, fit.trees, thresholds, trees._regressor(params, "grade"))
+    other = trees.fit_trees(data, FEATURES, params=params)
+    both = trees.score_trees(trees.score_trees(data, own, FEATURES, "p"), other, FEATURES, "q")
+    assert both.filter("abs(p - q) > 1e-9").count() == 0
+    assert np.allclose(own.featureImportances.toArray(), other.featureImportances.toArray())
+    assert own.getNumTrees == 6 and own.getMaxDepth() == 4 and own.totalNumNodes == other.totalNumNodes
+
+
+def test_drawn_trees_depend_on_rows_not_on_partitions(spark, data, monkeypatch):
+    """Also with many tasks that draw, groups dealt by their labels, and few trees and fits at a time."""
+    rows = data.withColumn("a", F.when(F.col("b") > 0, 0.5).otherwise(F.col("a"))).withColumn("b", F.lit(0.0)).withColumn("c", F.round("c"))
+    rows = rows.unionByName(rows.withColumn("grade", F.col("grade") + 1)).select(*FEATURES, "grade")
+    params = TreeParams(n_trees=5, depth=3, step=0.2, row_share=0.6, column_share=0.5)
+
+    def fits(parts: int):
+        cuts = {c: trees.middles(held) for c, held in trees.bin_values(rows, FEATURES).items()}
+        held = rows.withColumn("_held", F.col("a") > 0.9).repartition(parts)
+        return boosting.fit_drawn(held, cuts, "grade", [params, TreeParams(3, 2, 0.1, 0.9)], "_held")
+
+    first = fits(1)
+    assert [len(f.errors) for f in first] == [5, 3]
+    assert [[round(e, 9) for e in f.errors] for f in fits(5)] == [[round(e, 9) for e in f.errors] for f in first]
+    monkeypatch.setattr(boosting, "_SUM_BYTES", 1)
+    assert [[round(e, 9) for e in f.errors] for f in fits(2)] == [[round(e, 9) for e in f.errors] for f in first]
+    monkeypatch.setattr(boosting, "_DRAW_ROWS", 100)
+    for f in fits(3):
+        n = sum(t.stats[0, 0] for t in f.trees) / len(f.trees) / rows.filter("a <= 0.9").count()
+        assert n == pytest.approx(f.params.row_share, abs=0.04)
+
+
+def test_drawn_trees_of_many_groups_go_to_mllib(data, monkeypatch):
+    monkeypatch.setattr(boosting, "MOST_GROUPS", 10)
+    model = trees.fit_trees(data, FEATURES, params=TreeParams(4, 3, 0.3, 0.8))
+    assert model.getNumTrees == 4 and trees.rmse_of(trees.score_trees(data, model, FEATURES, "p"), "grade", "p") < 4
+
+
+def test_grid_query_has_the_full_settings(spark, sf, monkeypatch):
+    from lodefield.plans import registry
+
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def grid_search(train, features, grid=trees.FULL_GRID, *rest, **more):
+        asked["grid"] = grid
+        raise Asked
+
+    monkeypatch.setattr(trees, "grid_search", grid_search)
+    with pytest.raises(Asked):
+        registry.QUERIES["grid"](spark, sf)
+    assert asked["grid"] == trees.FULL_GRID and max(asked["grid"]["n_trees"]) == 400 and max(asked["grid"]["depth"]) == 10
