@@ -235,3 +235,21 @@ def test_grid_query_has_the_full_settings(spark, sf, monkeypatch):
     with pytest.raises(Asked):
         registry.QUERIES["grid"](spark, sf)
     assert asked["grid"] == trees.FULL_GRID and max(asked["grid"]["n_trees"]) == 400 and max(asked["grid"]["depth"]) == 10
+
+
+def test_stack_query_has_the_full_settings(spark, sf, monkeypatch):
+    from lodefield.plans import registry
+
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def fit_trees(train, features, label="grade", params=TreeParams()):
+        asked["stack"] = params
+        raise Asked
+
+    monkeypatch.setattr(fusion, "fit_trees", fit_trees)
+    with pytest.raises(Asked):
+        registry.QUERIES["stack"](spark, sf)
+    assert asked["stack"] == trees.META_PARAMS and (asked["stack"].n_trees, asked["stack"].depth) == (200, 4)
