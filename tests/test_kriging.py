@@ -300,3 +300,29 @@ def test_out_of_fold_systems_are_factored_not_inverted(spark, monkeypatch):
     monkeypatch.setattr(kriging, "covariance_factors", lambda *_: None)
     slow, _, slow_status = kriging._score_folds(table, wanted, V, 5)
     assert np.isfinite(pred).all() and np.allclose(pred, slow, atol=1e-8) and list(status) == list(slow_status) == ["ok"] * 69
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_covariances_are_made_in_tiles(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    points, values = rng.uniform(0, 200, (n, 3)), rng.normal(30, 5, n)
+    monkeypatch.setattr(kriging, "_TILE_CELLS", 1000)
+    largest = []
+    apart = kriging.distances
+    monkeypatch.setattr(kriging, "distances", lambda a, b: largest.append(len(a) * len(b)) or apart(a, b))
+    for model in ("spherical", "exponential", "gaussian"):
+        v = Variogram(model, 120.0, 9.0, 1.5)
+        assert (kriging.covariances(points, v) == v.sill - v.gamma(apart(points, points))).all()
+        tiled = kriging.covariance_factors(None, values, [v, v], points)
+        whole = kriging.covariance_factors(apart(points, points), values, [v, v])
+        assert np.array_equal(tiled.half, whole.half) and np.array_equal(tiled.u, whole.u)
+    assert max(largest) <= 1000
+
+
+def test_inverse_of_large_triangles():
+    rng = np.random.default_rng(4)
+    lower = np.tril(rng.normal(size=(2, 700, 700)) * 0.02) + 2 * np.eye(700)
+    assert np.allclose(kriging._lower_inverse(lower), np.linalg.inv(lower), rtol=0, atol=1e-12)
+    full = rng.normal(size=(2, 30, 700))
+    assert np.allclose(kriging._full_by_lower(full, lower), full @ lower) and np.allclose(
+        kriging._lower_by_full(lower, full.transpose(0, 2, 1)), lower @ full.transpose(0, 2, 1))
