@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.sql import functions as F
 
 from lodefield.functions import quantiles
 from lodefield.operators import explain, kriging, split, trees, variogram
@@ -130,3 +132,23 @@ def test_hybrid_kriges_points_without_their_features(spark, sf, monkeypatch):
     assert met == [["sample_id", "x", "y", "depth", "grade"]] * 2
     assert kept and all("_n" in columns for columns in kept[1:])
     assert found.filter("hybrid_pred is null").count() == 0
+
+
+def test_cluster_restarts_move_together_and_equal_mllib(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    # Neighbouring parts overlap, so that rounds are needed, but the best of some restarts is the same whatever the first centres.
+    middle = np.array([[0, 0, 0], [400, 0, 0], [0, 400, 0], [400, 400, 0]])[rng.integers(0, 4, 900)]
+    pdf = pd.DataFrame(middle + rng.normal(size=(900, 3)).round(1) * 90, columns=["x", "y", "depth"])
+    df = spark.createDataFrame(pdf).repartition(3)
+    together, moved = [], trees._moved
+    monkeypatch.setattr(trees, "_moved", lambda packed, starts: together.append(len(starts)) or moved(packed, starts))
+    own = trees.fit_clusters(df, 4, 6)
+    places = trees.assemble(df.groupBy("x", "y", "depth").count().withColumn("_n", F.col("count").cast("double")), ["x", "y", "depth"])
+    alone = [
+        KMeans(k=4, seed=42 + s, maxIter=50, featuresCol="_features", predictionCol="cluster", weightCol="_n").fit(places) for s in range(6)]
+    assert own.summary.trainingCost == pytest.approx(min(m.summary.trainingCost for m in alone), rel=1e-3)
+    best = min(alone, key=lambda m: m.summary.trainingCost)
+    assert np.allclose(sorted(map(tuple, own.clusterCenters())), sorted(map(tuple, best.clusterCenters())), rtol=0, atol=3)
+    assert together[0] == 6 and together == sorted(together, reverse=True) and len(together) <= 50
+    marked = trees.assign_clusters(df, own)
+    assert marked.groupBy("cluster").agg(*[F.avg(a).alias(a) for a in ("x", "y", "depth")]).count() == 4 and own.getK() == 4
